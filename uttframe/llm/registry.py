@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, warc
+from . import licenses, mixing, quality, secrets, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,9 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": _over("pages", warc.query),
+    "op2_secrets": _over("documents", secrets.query),
     "op3_sharding": _over("documents", sharding.query),
+    "op6_licenses": _over("documents", licenses.query),
     "op9_mixing": _over("documents", mixing.query),
     "op10_quality": _over("documents", quality.query),
 }
