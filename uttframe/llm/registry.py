@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, quality, secrets, sharding, warc
+from . import licenses, log_templates, mixing, passages, quality, secrets, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,9 @@ QUERIES: dict[str, Query] = {
     "op1_warc": _over("pages", warc.query),
     "op2_secrets": _over("documents", secrets.query),
     "op3_sharding": _over("documents", sharding.query),
+    "op5_passages": _over("documents", passages.query),
     "op6_licenses": _over("documents", licenses.query),
+    "op8_log_templates": _over("documents", log_templates.query),
     "op9_mixing": _over("documents", mixing.query),
     "op10_quality": _over("documents", quality.query),
 }
