@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, log_templates, mixing, passages, quality, secrets, sharding, warc
+from . import contamination, licenses, log_templates, mixing, passages, quality, secrets, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": _over("documents", sharding.query),
     "op5_passages": _over("documents", passages.query),
     "op6_licenses": _over("documents", licenses.query),
+    "op7_contamination": lambda spark, sf_dir: contamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_log_templates": _over("documents", log_templates.query),
     "op9_mixing": _over("documents", mixing.query),
     "op10_quality": _over("documents", quality.query),
