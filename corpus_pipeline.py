@@ -1,24 +1,52 @@
-"""From raw documents to shards of training data, stage by stage."""
+"""From raw documents to shards of training data: each stage works on what the one before has kept.
+
+Quality rules drop rows that fail them, the n-gram Jaccard join leaves one row of each near-duplicate class, benchmark
+decontamination drops rows that hold a benchmark item, mixing leaves rows out or repeats them so that sources meet their
+target weights, and sharding adds the shard. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from uttframe.llm import mixing, quality, sharding
+from uttframe.llm import chosen_path, contamination, mixing, quality, sharding
+from uttframe.llm.common import materialise, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return chosen_path.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(docs)
+
 
 STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality.keep_good(docs)),
-    ("mixing sources", lambda spark, docs, sf_dir: mixing.mix_documents(docs)),
-    ("sharding", lambda spark, docs, sf_dir: sharding.shard_documents(docs)),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing_sources),
+    ("sharding", into_shards),
 ]
 
+#: The join is a randomised search and the shards come from differencing: no SQL for these.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from uttframe.llm.common import materialise
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,6 +20,7 @@ from .common import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
+SHORT = 0  # the leaf of lines too short to drop
 #: So many leaves or templates (8 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -35,14 +36,16 @@ def _in(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
     """Keys found in min_docs texts or more: pairs are counted first, so that a frequent key is no hot group."""
-    return lines.groupBy(key, "doc").agg(F.lit(1).alias("one")).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select(key)
+    pairs = lines.groupBy(key, "doc").agg(F.lit(1).alias("one"))
+    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.max(key).alias("k")).filter((F.col("n") >= min_docs) & (F.col("k") != SHORT)).select(key)
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", *, depth: int = 3, min_tokens: int = 5, min_docs: int = 10, share: float = 0.6) -> DataFrame:
     """doc (hash of the text) and the sorted numbers of its dropped lines, from 0, for texts that have any."""
     text = docs.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
-    lines = text.select("doc", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")).select("doc", "pos", F.array_remove(F.split("line", SPACE, -1), "").alias("w")).filter(F.size("w") >= min_tokens)
-    leaf = F.xxhash64(F.size("w"), *[_masked(F.get("w", F.lit(i))) for i in range(depth)])
+    lines = text.select("doc", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")).select("doc", "pos", F.array_remove(F.split("line", SPACE, -1), "").alias("w"))
+    # No filter on the tokens: it would be pushed below them and cut each line up twice.
+    leaf = F.when(F.size("w") >= min_tokens, F.xxhash64(F.size("w"), *[_masked(F.get("w", F.lit(i))) for i in range(depth)])).otherwise(F.lit(SHORT).cast("long"))
     lines = lines.withColumn("leaf", leaf)
 
     leaves = materialise(_recurring(lines.select("leaf", "doc"), "leaf", min_docs), "log-leaves")

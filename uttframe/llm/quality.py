@@ -71,64 +71,63 @@ def repeated_words(w: Column, k: int = 8) -> Column:
     return F.when(F.size(w) <= k, 0).otherwise(found).cast("long")
 
 
-def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the counts and ratios that rules refer to; its own columns of these names are replaced."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    w = F.col("_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "stop_ratio": ("n_stop_words", "n_words"),
+    "capital_ratio": ("n_capitals", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"),
+}
+
+
+def counts(text: Column) -> Column:
+    """A struct of COUNTS. Words and lines are bound, so each is made once for a text."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return (
-        docs.withColumn("_words", words(text))
-        .withColumns({
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-            "n_capitals": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long"),
-            "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
-            "_lines": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
-            "n_repeat_words": repeated_words(w),
-        })
-        .withColumns({"n_lines": F.col("_lines.n").cast("long"), "n_dup_lines": (F.col("_lines.n") - F.col("_lines.d")).cast("long")})
-        .withColumns({
-            "mean_word_chars": ratio("word_chars", "n_words"),
-            "symbol_ratio": ratio("n_symbols", "n_words"),
-            "stop_ratio": ratio("n_stop_words", "n_words"),
-            "capital_ratio": ratio("n_capitals", "word_chars"),
-            "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-            "repeat_ratio": ratio("n_repeat_words", "n_words"),
-        })
-        .drop("_words", "_lines")
-    )
-
-
-def failed(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The names of the rules that a row of metrics() fails, in the table's order."""
-
-    def broken(r: Rule) -> Column:
-        out = [F.col(r.metric) < r.low] if r.low is not None else []
-        out += [F.col(r.metric) > r.high] if r.high is not None else []
-        return (F.col("n_words") >= r.min_words) & reduce(Column.__or__, out)
-
-    return F.filter(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+
+    def count(x: Column) -> Column:
+        w, n_lines = x["words"], F.size(x["lines"])
+        found = [
+            F.size(w), F.length(F.array_join(w, "")), F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, "")), F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", "")),
+            F.size(F.filter(w, lambda t: F.lower(t).isin(STOP_WORDS))), n_lines, n_lines - F.size(F.array_distinct(x["lines"])), repeated_words(w),
+        ]
+        return F.struct(*[c.cast("long").alias(k) for k, c in zip(COUNTS, found, strict=True)])
+
+    return let(F.struct(words(text).alias("words"), lines.alias("lines")), count)
+
+
+def judged(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One expression of the text: a struct of counts, ratios, base_failed, failed_rules (in the table's order) and kept."""
+
+    def broken(m: Column, r: Rule) -> Column:
+        out = [m[r.metric] < r.low] if r.low is not None else []
+        out += [m[r.metric] > r.high] if r.high is not None else []
+        return (m["n_words"] >= r.min_words) & reduce(Column.__or__, out)
+
+    def with_ratios(m: Column) -> Column:
+        return F.struct(*[m[k].alias(k) for k in COUNTS], *[(m[a] / F.greatest(m[b], F.lit(1))).alias(k) for k, (a, b) in RATIOS.items()])
+
+    def judge(m: Column) -> Column:
+        base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        failed = F.filter(F.array(*[F.when(broken(m, r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+        return let(failed, lambda f: F.struct(*[m[k].alias(k) for k in (*COUNTS, *RATIOS)], base.alias("base_failed"), f.alias("failed_rules"), (~base & (F.size(f) == 0)).alias("kept")))
+
+    return let(let(counts(text), with_ratios), judge)
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """docs with metrics, base_failed, failed_rules and kept."""
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return metrics(docs, text_col).withColumns({"base_failed": base, "failed_rules": failed(rules)}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    """docs with the column quality: the struct of judged()."""
+    return docs.withColumn("quality", judged(F.col(text_col), rules))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, with the columns of docs alone."""
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
-    return quality(row, rules, "_text").filter("kept").select("_row.*")
+    return docs.filter(judged(F.col(text_col), rules)["kept"])
 
 
 DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return quality(docs.select("doc_id", "text")).select(*DIGEST)
+    return quality(docs.select("doc_id", "text")).select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in DIGEST[1:]])
 
 
 ORACLE = f"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, licenses, log_templates, mixing, passages, quality, secrets, sharding, warc
+from . import chosen_path, contamination, licenses, log_templates, mixing, passages, quality, secrets, sharding, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc": _over("pages", warc.query),
     "op2_secrets": _over("documents", secrets.query),
     "op3_sharding": _over("documents", sharding.query),
+    "op4_chosen_path": _over("documents", chosen_path.query),
     "op5_passages": _over("documents", passages.query),
     "op6_licenses": _over("documents", licenses.query),
     "op7_contamination": lambda spark, sf_dir: contamination.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
