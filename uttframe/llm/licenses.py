@@ -58,8 +58,9 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), BREAKS, -1), "")
     texts = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), words.alias("_w"))
     hashes = F.when(F.size("_w") >= K, F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(K)])))
-    grams = texts.select("_id", "key_a", "key_b", F.size("_w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(0).cast("long")), F.coalesce(hashes, F.array().cast("array<long>")))).alias("_p", "gram"))
+    grams = texts.select("_id", "key_a", "key_b", F.size("_w").cast("long").alias("n_words"), F.posexplode_outer(F.concat(F.array(F.lit(0).cast("long")), F.coalesce(hashes, F.array().cast("array<long>")))).alias("_p", "gram"))
 
+    # Outer, though no array is empty: else Spark infers a filter on its size and makes the words twice.
     row = ["_id", "key_a", "key_b", "n_words"]
     hits = grams.join(F.broadcast(templates(spark)), "gram").withColumn("diagonal", F.col("_p") - 1 - F.col("t"))
     votes = hits.groupBy(*row, "template", "base", "label", "n_grams", "diagonal").agg(F.count("*").alias("n"), F.collect_set("t").alias("at"))

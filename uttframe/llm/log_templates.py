@@ -43,8 +43,8 @@ def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, text_col: str = "text", *, depth: int = 3, min_tokens: int = 5, min_docs: int = 10, share: float = 0.6) -> DataFrame:
     """doc (hash of the text) and the sorted numbers of its dropped lines, from 0, for texts that have any."""
     text = docs.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
-    lines = text.select("doc", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line")).select("doc", "pos", F.array_remove(F.split("line", SPACE, -1), "").alias("w"))
-    # No filter on the tokens: it would be pushed below them and cut each line up twice.
+    lines = text.select("doc", F.posexplode_outer(F.split("_text", "\n", -1)).alias("pos", "line")).select("doc", "pos", F.array_remove(F.split("line", SPACE, -1), "").alias("w"))
+    # Outer, though no array is empty, and no filter on the tokens: either filter would be pushed down, as a second split.
     leaf = F.when(F.size("w") >= min_tokens, F.xxhash64(F.size("w"), *[_masked(F.get("w", F.lit(i))) for i in range(depth)])).otherwise(F.lit(SHORT).cast("long"))
     lines = lines.withColumn("leaf", leaf)
 
