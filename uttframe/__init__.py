@@ -1,0 +1 @@
+"""Speech-corpus analytics as Spark DataFrame operators."""

@@ -1,4 +1,6 @@
 """Registered queries: name to function of (spark, sf_dir), and the same as SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import speech, tables, text  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
