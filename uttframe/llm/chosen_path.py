@@ -30,20 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import materialise, mix, row_key
 from .components import components
 
 WORD = re.compile(r"\w+")
 SAMPLES, ALIKE = 24, 13  # min-hashes of a set, and how many of them two sets of the threshold surely share
 BROADCAST_ROWS = 1_000_000
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A well-mixed hash of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
 
 
 def miss(depth: int) -> float:

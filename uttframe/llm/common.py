@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def row_key(*cols: Column) -> list[Column]:
     """Two 64-bit hashes: rows that agree in cols agree in them, and others don't in practice."""
     return [F.xxhash64(F.lit(1), *cols).alias("key_a"), F.xxhash64(F.lit(2), *cols).alias("key_b")]
+
+
+_ALNUM = np.array([chr(i).isalnum() for i in range(1 << 16)])
+
+
+def is_word(c: np.ndarray) -> np.ndarray:
+    """Which code points are letters or digits; all from 65536 on count as such."""
+    return _ALNUM[np.minimum(c, (1 << 16) - 1)] | (c >= 1 << 16)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A well-mixed hash of 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

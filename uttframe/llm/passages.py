@@ -14,59 +14,49 @@ and kept by ``drop_repeats``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import is_word, materialise, mix, row_key
 
-TOKEN = re.compile(r"\w+|[.!?\n]")
-ENDS = frozenset(".!?\n")
-MASK = (1 << 63) - 1
 LONGEST = 32
+ENDS = np.array([ord(x) for x in ".!?\n"], dtype=np.uint32)
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Hash of a word, kept for the next time."""
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
-
-def _units(text: str, hashes: _Hashes, cut: int) -> tuple[list[int], list[int], list[int], list[int]]:
+def _units(text: str, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Digests, word counts, and spans of the units of a text."""
-    digests, sizes, starts, ends = [], [], [], []
-    h, n, start, end = 0, 0, 0, 0
-    for m in TOKEN.finditer(text):
-        word = m[0]
-        if word in ENDS:
-            stop = True
-        else:
-            x = hashes[word.lower()]
-            if not n:
-                start = m.start()
-            h, n, end = (h * 0x9E3779B97F4A7C15 + x) & MASK, n + 1, m.end()
-            stop = not x % cut or n == LONGEST
-        if stop and n:
-            digests.append(h)
-            sizes.append(n)
-            starts.append(start)
-            ends.append(end)
-            h = n = 0
-    if n:
-        digests.append(h)
-        sizes.append(n)
-        starts.append(start)
-        ends.append(end)
-    return digests, sizes, starts, ends
+    low = text.lower()
+    if len(low) != len(text):  # some capitals have longer lower forms: these stay, so that offsets hold
+        low = "".join(x if len(x) == 1 else y for x, y in ((ch.lower(), ch) for ch in text))
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    word = np.concatenate(([False], is_word(c), [False]))
+    starts, ends = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    n = len(starts)
+    if not n:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none
+    lengths = ends - starts
+    chars = np.flatnonzero(word[1:-1])
+    place = chars - np.repeat(starts, lengths)
+    h = mix(_sums(mix(c[chars] + place.astype(np.uint64) * STEP), np.cumsum(lengths) - lengths))
+    stops = np.cumsum(np.isin(c, ENDS))
+    last = np.append(stops[starts[1:] - 1] > stops[ends[:-1] - 1], True) | (h % np.uint64(cut) == 0)
+    first = np.flatnonzero(np.concatenate(([True], last[:-1])))
+    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    first = np.flatnonzero(place % LONGEST == 0)
+    sizes = np.diff(np.append(first, n))
+    place = np.arange(n) - np.repeat(first, sizes)
+    digests = mix(_sums(mix(h + place.astype(np.uint64) * STEP), first))
+    return digests.view(np.int64), sizes, starts[first], ends[first + sizes - 1]
 
 
 UNITS = "digests array<long>, sizes array<int>, starts array<int>, ends array<int>"
@@ -75,9 +65,8 @@ UNITS = "digests array<long>, sizes array<int>, starts array<int>, ends array<in
 def units(text: Column, cut: int) -> Column:
     @F.pandas_udf(UNITS)
     def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = _Hashes()
         for texts in batches:
-            yield pd.DataFrame([_units(t or "", hashes, cut) for t in texts], columns=["digests", "sizes", "starts", "ends"])
+            yield pd.DataFrame([_units(t or "", cut) for t in texts], columns=["digests", "sizes", "starts", "ends"])
 
     return cut_up(text)
 
@@ -104,24 +93,28 @@ def runs(min_words: int):
     return find
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: int = 6, min_words: int = 25) -> DataFrame:
-    """A row for each row of docs: _id, key, n_units, and removed (structs of start, end, words)."""
-    rows = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), units(F.col(text_col), cut).alias("u")).select("_id", "key_a", "key_b", "u.*")
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: int = 12, min_words: int = 25) -> DataFrame:
+    """A row for each row of docs: _id, key_a, n_units, and removed (structs of start, end, words)."""
+    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col))[0], units(F.col(text_col), cut).alias("u")).select("_id", "key_a", "u.*")
     rows = materialise(rows, "passage-units")
+    each = rows.select("_id", "key_a", F.posexplode_outer("digests").alias("pos", "digest"))
+    # Digests are counted first, by themselves; only what is found twice takes its place in the ranking along.
+    twice = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    found = materialise(each.join(twice, "digest", "left_semi"), "passage-found")
     rank = F.struct(F.col("_id").isNull().alias("null_id"), F.col("_id"), F.col("key_a"), F.col("pos"))
-    each = rows.select("_id", "key_a", "key_b", F.posexplode("digests").alias("pos", "digest"))
-    first = each.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter(F.col("first") != F.col("last")).select("digest", "first")
-    later = each.join(first, "digest").filter(rank != F.col("first")).groupBy("key_a", "key_b").agg(F.collect_set("pos").alias("repeated"))
-    out = rows.select("_id", "key_a", "key_b", F.size("digests").alias("n_units"), "sizes", "starts", "ends").join(later, ["key_a", "key_b"], "left")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"))
+    later = found.join(first, "digest").filter(rank != F.col("first")).groupBy("_id", "key_a").agg(F.collect_set("pos").alias("repeated"))
+    out = rows.select("_id", "key_a", F.size("digests").alias("n_units"), "sizes", "starts", "ends")
+    out = out.join(later.withColumnRenamed("_id", "_i").withColumnRenamed("key_a", "_k"), (F.col("key_a") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left")
     removed = F.when(F.col("repeated").isNull(), F.array().cast(SPANS)).otherwise(runs(min_words)("sizes", "starts", "ends", F.coalesce("repeated", F.array().cast("array<int>"))))
-    return out.select("_id", "key_a", "key_b", "n_units", removed.alias("removed"))
+    return out.select("_id", "key_a", "n_units", removed.alias("removed"))
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the removed spans taken out of their texts."""
-    spans = repeats(docs, **options).select("key_a", "key_b", "removed").dropDuplicates(["key_a", "key_b"])
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *row_key(F.col("doc_id"), F.col("text")), F.col("text").alias("_text"))
-    row = row.join(spans.filter(F.size("removed") > 0), ["key_a", "key_b"], "left")
+    spans = materialise(repeats(docs, **options).dropDuplicates(["_id", "key_a"]), "passage-spans").filter(F.size("removed") > 0).select(F.col("_id").alias("_i"), F.col("key_a").alias("_k"), "removed")
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), row_key(F.col("doc_id"), F.col("text"))[0], F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    row = row.join(spans, (F.col("key_a") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left")
     cut = F.aggregate("removed", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
                       lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1, x["start"] - acc["at"])).alias("out")),
                       lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), acc["at"] + 1)))
