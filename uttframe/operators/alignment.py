@@ -52,14 +52,14 @@ def intervals_from_fires(peaks: DataFrame, keys: list[str], num_frames: str, fra
     The last peak closes at the end; if more than ``tail`` frames are left, the interval before it ends half way and one
     more interval takes the rest. A single peak gives one interval.
     """
-    w = _by(keys, "peak")
-    fire = F.col("peak") - 0.5
-    rows = peaks.select(*keys, num_frames, fire.alias("fire"), (F.lead("peak").over(w) - 0.5).alias("next"), F.row_number().over(w).alias("idx"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    left = F.max("fire").over(Window.partitionBy(*keys))
-    rows = rows.withColumns({"last": left, "frames": F.col(num_frames).cast("double")}).withColumn("mid", F.when(F.col("frames") - F.col("last") > tail, (F.col("frames") + F.col("last")) / 2))
-    end = F.when(F.col("idx") < F.col("n") - 1, F.least("next", F.col("fire") + longest)).otherwise(F.coalesce("mid", "frames"))
-    body = rows.filter((F.col("idx") < F.col("n")) | (F.col("n") == 1)).select(*keys, "idx", (F.col("fire") * frame_rate).alias("start"), (F.when(F.col("n") == 1, F.col("frames")).otherwise(end) * frame_rate).alias("end"))
-    rest = rows.filter((F.col("idx") == F.col("n")) & (F.col("n") > 1) & F.col("mid").isNotNull()).select(*keys, "idx", (F.col("mid") * frame_rate).alias("start"), (F.col("frames") * frame_rate).alias("end"))
+    w, whole = _by(keys, "peak"), Window.partitionBy(*keys)
+    rows = peaks.select(*keys, F.col(num_frames).cast("double").alias("_frames"), (F.col("peak") - 0.5).alias("_fire"), F.row_number().over(w).alias("idx"), F.count("*").over(whole).alias("_n"))
+    rows = rows.withColumns({"_next": F.lead("_fire").over(Window.partitionBy(*keys).orderBy("idx")), "_last": F.max("_fire").over(whole)})
+    rows = rows.withColumn("_mid", F.when(F.col("_frames") - F.col("_last") > tail, (F.col("_frames") + F.col("_last")) / 2))
+    single, before_last = F.col("_n") == 1, F.col("idx") < F.col("_n") - 1
+    end = F.when(single, F.col("_frames")).when(before_last, F.least("_next", F.col("_fire") + longest)).otherwise(F.coalesce("_mid", "_frames"))
+    body = rows.filter((F.col("idx") < F.col("_n")) | single).select(*keys, "idx", (F.col("_fire") * frame_rate).alias("start"), (end * frame_rate).alias("end"))
+    rest = rows.filter((F.col("idx") == F.col("_n")) & ~single & F.col("_mid").isNotNull()).select(*keys, "idx", (F.col("_mid") * frame_rate).alias("start"), (F.col("_frames") * frame_rate).alias("end"))
     return body.unionByName(rest)
 
 

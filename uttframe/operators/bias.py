@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.rand import below, order_key, uniform
 from ..functions.text import split_words
@@ -25,22 +24,30 @@ def bias_phrases(df: DataFrame, rare: DataFrame, key: str = "key", text: str = "
     Each rare occurrence gives the phrase of up to n words before it and the word, and a distractor: n other words of the
     utterance and one other rare word, in hash order. With probability 1 - p_keep the lists are empty.
     """
-    words = df.select(key, split_words(F.col(text)).alias("_w"))
-    # Rare words in hash order, in a ring of places: the distractor's word is found by its place.
-    ring = rare.withColumn("_place", F.pmod(order_key("word", op="ring", seed=seed), F.lit(1 << 20)))
-    picks = ring.groupBy("_place").agg(F.min("word").alias("_other"))
-    n_places = picks.select(F.col("_other"), F.row_number().over(Window.partitionBy(F.pmod("_place", F.lit(256))).orderBy("_place")).alias("_n"), F.pmod("_place", F.lit(256)).alias("_cell"))
-    hits = words.select(key, "_w", F.posexplode("_w").alias("_i", "word")).join(rare, "word", "left_semi")
-    n = F.when(F.size("_w") <= 1, 0).otherwise(F.least(below(n_order, key, "_i", op="n", seed=seed), F.col("_i")))
-    hits = hits.withColumn("_k", n).withColumn("_cell", below(256, key, "_i", op="cell", seed=seed)).withColumn("_n", F.lit(1))
-    hits = hits.join(n_places, ["_cell", "_n"], "left")
-    phrase = F.array_join(F.slice("_w", F.col("_i") - F.col("_k") + 1, F.col("_k") + 1), " ")
-    others = F.slice(F.array_sort(F.transform(F.array_remove("_w", F.col("word")), lambda w: F.struct(order_key(F.col(key), F.col("_i"), w, op="other", seed=seed).alias("h"), w.alias("w")))), 1, F.col("_k"))
-    mixed = F.array_sort(F.concat(others, F.when(F.col("_other").isNotNull(), F.array(F.struct(order_key(F.col(key), F.col("_other"), op="other", seed=seed).alias("h"), F.col("_other").alias("w")))).otherwise(F.slice(others, 1, 0))))
-    rows = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", phrase.alias("p"), F.array_join(F.transform(mixed, lambda x: x["w"]), " ").alias("d")))).alias("_x"))
+    # Other rare words by hash cell; only places and words are joined, and a text's hits meet it again as one array.
+    ring = rare.select(F.col("word").alias("_other"), F.pmod(order_key("word", op="ring", seed=seed), F.lit(4096)).cast("int").alias("_cell"))
+    picks = ring.groupBy("_cell").agg(F.min("_other").alias("_other"))
+    each = df.select(key, F.posexplode(split_words(F.col(text))).alias("_i", "_word"))
+    hits = each.join(rare.select(F.col("word").alias("_word")), "_word", "left_semi").withColumn("_cell", below(4096, key, "_i", op="cell", seed=seed)).join(picks, "_cell", "left")
+    by_key = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_word", "_other"))).alias("_hits"))
+    rows = df.select(key, split_words(F.col(text)).alias("_w")).join(by_key, key)
+
+    def count(h: Column) -> Column:
+        return F.when(F.size("_w") <= 1, 0).otherwise(F.least(below(n_order, F.col(key), h["_i"], op="n", seed=seed), h["_i"]))
+
+    def phrase(h: Column) -> Column:
+        return F.array_join(F.slice("_w", h["_i"] - count(h) + 1, count(h) + 1), " ")
+
+    def distractor(h: Column) -> Column:
+        at = F.when(count(h) > 0, F.sequence(F.lit(1), count(h))).otherwise(F.array().cast("array<int>"))
+        others = F.transform(at, lambda j: F.get("_w", F.pmod(order_key(F.col(key), h["_i"], j, op="other", seed=seed), F.size("_w")).cast("int")))
+        found = F.filter(F.array_append(others, h["_other"]), lambda w: w.isNotNull() & (w != h["_word"]))
+        turned = F.transform(found, lambda w: F.struct(order_key(F.col(key), h["_i"], w, op="order", seed=seed).alias("h"), w.alias("w")))
+        return F.array_join(F.transform(F.array_sort(turned), lambda x: x["w"]), " ")
+
     keep = uniform(key, op="keep", seed=seed) < p_keep
     none = F.array().cast("array<string>")
-    return rows.select(key, F.when(keep, F.transform("_x", lambda x: x["p"])).otherwise(none).alias("phrases"), F.when(keep, F.transform("_x", lambda x: x["d"])).otherwise(none).alias("distractors"))
+    return rows.select(key, F.when(keep, F.transform("_hits", phrase)).otherwise(none).alias("phrases"), F.when(keep, F.transform("_hits", distractor)).otherwise(none).alias("distractors"))
 
 
 def sample_size(n: Column, epoch: int, max_epoch: int) -> Column:

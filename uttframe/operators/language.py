@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 
 def ngrams(text: Column, n: int = 3) -> Column:
     padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
-    return F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array(padded))
+    # A look-ahead takes all overlapping n-grams in one pass; substrings by place would count characters from the start each time.
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def train(df: DataFrame, text: str, lang: str, n: int = 3) -> DataFrame:

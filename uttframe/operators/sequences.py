@@ -154,7 +154,7 @@ def prefix_beam(frames: list[list[tuple[int, float]]], beam: int, blank: int = 0
                     x[4], x[5] = path, (*since, t)
         beams = dict(sorted(new.items(), key=lambda kv: (-(_plus(kv[1][0], kv[1][1]) + kv[1][7]), kv[0]))[:beam])
     out = [(k, _plus(v[0], v[1]) + v[7] + (trie.end(v[6]) if trie else 0.0), v[3] if v[2] >= v[4] else v[5]) for k, v in beams.items()]
-    return sorted(out, key=lambda r: (-r[1], r[0]))
+    return sorted((r for r in out if r[1] > -np.inf), key=lambda r: (-r[1], r[0]))
 
 
 def prefix_beam_search(frames: DataFrame, key: str = "key", scores: str = "logp", beam: int = 10, blank: int = 0, phrases: list[list[int]] | None = None, bonus: float = 0.0) -> DataFrame:

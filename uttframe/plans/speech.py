@@ -217,7 +217,7 @@ def distortion_gain_poly(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (CASE WHEN x > 0 THEN 1.0 WHEN x < 0 THEN -1.0 ELSE 0.0 END * 0.997)::DOUBLE)), 6) AS total FROM embeddings""")
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (CASE WHEN x > 0 THEN 1.0 WHEN x < 0 THEN -1.0 ELSE 0.0 END * 0.997)::DOUBLE)), 6) + 0.0::DOUBLE AS total FROM embeddings""")
 def distortion_max(t: Tables) -> DataFrame:
     out = N.distort(F.col("embedding"), N.maximal(), F.col("vec_id"), rate=1.0)
     return t.embeddings.select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

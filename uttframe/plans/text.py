@@ -88,8 +88,8 @@ def bias_phrases(t: Tables) -> DataFrame:
 
 @query()
 def bias_lists(t: Tables) -> DataFrame:
-    rows = bias_phrases(t).join(t.documents.select(F.col("doc_id").alias("key"), "source"), "key")
-    return bias.bias_list(rows, "source", epoch=2, max_epoch=9)
+    rows = bias_phrases(t).join(t.documents.select(F.col("doc_id").alias("key"), F.floor(F.col("doc_id") / 16).alias("batch")), "key")
+    return bias.bias_list(rows, "batch", epoch=2, max_epoch=9)
 
 
 VOCAB = {"<unk>": 1, T.SPACE: 2} | {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz", 3)}

@@ -77,7 +77,7 @@ def explode_archives(files: DataFrame) -> DataFrame:
                     rows += how(data, path)
                 except (ValueError, tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as e:
                     rows.append({"file_name": path, "tar_file_name": path, "extras": {}, "error": str(e) or type(e).__name__})
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 

@@ -88,7 +88,8 @@ def records(data: bytes) -> Iterator[dict]:
 
 
 def _rows(found: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=["key", "ints", "vector", "matrix"])
+    names = ["key", "ints", "vector", "matrix"]
+    return pd.DataFrame([[r.get(c) for c in names] for r in found], columns=names, dtype=object)
 
 
 def read_ark(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ def alignment_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def word_frequencies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "freq"))
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "freq"))
 
 
 def losses(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +82,7 @@ def losses(spark: SparkSession, path: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
     """A row for each flat YAML file of scalars: path, a map of its fields, and epoch, step, loss, tag."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract_all("value", F.lit(r"(?m)^(\w+): *([^\n#]*?) *$"), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(r"(?m)^(\w+): *([^\n#]*?) *$"), F.lit(2)).alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract_all("value", F.lit(r"(?m)^(\w+): *([^\n#]*?) *(?:#.*)?$"), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(r"(?m)^(\w+): *([^\n#]*?) *(?:#.*)?$"), F.lit(2)).alias("v"))
     rows = text.select("path", F.map_from_arrays(F.array_distinct("k"), F.slice("v", 1, F.size(F.array_distinct("k")))).alias("fields"))
     get: dict[str, Column] = {n: F.try_element_at("fields", F.lit(n)) for n in ("epoch", "step", "loss", "cv_loss", "tag")}
     return rows.select("path", "fields", get["epoch"].cast("int").alias("epoch"), get["step"].cast("bigint").alias("step"), F.coalesce(get["loss"], get["cv_loss"]).try_cast("double").alias("loss"), get["tag"].alias("tag"))
@@ -96,7 +96,7 @@ def cmvn(spark: SparkSession, path: str) -> DataFrame:
 
 def cmvn_text(spark: SparkSession, path: str) -> DataFrame:
     """The same of the bracketed text form: the sums and the count, then the squares and a 0."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.transform(F.regexp_extract_all(F.regexp_extract("value", r"(?s)\[(.*)\]", 1), F.lit(r"[^\s\[\]]+"), F.lit(0)), lambda v: v.cast("double")).alias("v"))
+    rows = spark.read.text(path, wholetext=True).select(F.transform(F.regexp_extract_all(F.regexp_extract("value", r"(?s)\[(.*)\]", 1), F.lit(r"[^\s\[\]]+"), F.lit(0)), lambda v: v.cast("double")).alias("v"))
     half = (F.size("v") / 2).cast("int")
     return rows.select(F.element_at("v", half).cast("bigint").alias("n"), F.posexplode(F.arrays_zip(F.slice("v", F.lit(1), half - 1).alias("a"), F.slice("v", half + 1, half - 1).alias("b")))).select(F.col("pos").alias("dim"), "n", F.col("col.a").alias("total"), F.col("col.b").alias("squares"))
 

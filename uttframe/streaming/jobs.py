@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from ..operators.batching import merges
 from ..functions.text import SWITCH
@@ -40,56 +36,37 @@ def rejections(stream: DataFrame, reason: Column, name: str = "rejections") -> D
     return stream.observe(name, F.count(F.lit(1)).alias("rows"), *counts).filter(reason.isNull())
 
 
-class _Budget(StatefulProcessor):
-    """Batches by a frame budget: (key, length) rows are kept until a batch is cut, or the timer ends it."""
+WAIT_MS = 5_000
 
-    def __init__(self, most: float, wait_ms: int) -> None:
-        self.most, self.wait_ms = most, wait_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", StructType.fromDDL("key string, length double"))
-        self.state = handle.getValueState("state", StructType.fromDDL("batch long, longest double, n long"))
+def budget_batches(stream: DataFrame, shard: str, key: str, pos: str, length: str, most: float = 12000, wait_ms: int = WAIT_MS) -> DataFrame:
+    """(shard, batch_id, keys, longest) of batches that a frame budget cuts; the open batch waits in the shard's state and is sent when the shard is quiet for wait_ms."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch, longest, n = self.state.get() if self.state.exists() else (0, 0.0, 0)
-        held = list(self.rows.get()) if n else []
-        for pdf in rows:
+    def run(key_, batches, state):
+        held, batch = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield _batch(key_[0], batch, held)
+            return
+        longest = max((h[1] for h in held), default=0.0)
+        for pdf in batches:
             for r in pdf.sort_values(["pos", "key"]).itertuples(index=False):
                 longest = max(longest, float(r.length))
-                if held and longest * (len(held) + 1) > self.most:
-                    yield _batch(key[0], batch, held)
+                if held and longest * (len(held) + 1) > most:
+                    yield _batch(key_[0], batch, held)
                     held, longest, batch = [], float(r.length), batch + 1
-                held.append((str(r.key), float(r.length)))
-        self.rows.clear()
-        if held:
-            self.rows.put(held)
-        self.state.update((batch, longest, len(held)))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch, _, n = self.state.get()
-        if n:
-            yield _batch(key[0], batch, list(self.rows.get()))
-            self.rows.clear()
-            self.state.update((batch + 1, 0.0, 0))
-
-    def close(self) -> None:
-        pass
+                held.append([str(r.key), float(r.length)])
+        state.update(([list(h) for h in held], batch))
+        state.setTimeoutDuration(wait_ms)
+
+    rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(key).cast("string").alias("key"), F.col(pos).alias("pos"), F.col(length).cast("double").alias("length"))
+    return rows.groupBy("shard").applyInPandasWithState(run, "shard string, batch_id long, keys array<string>, longest double", "held array<struct<key:string,length:double>>, batch long", "append", "ProcessingTimeTimeout")
 
 
 def _batch(shard: object, batch: int, held: list) -> pd.DataFrame:
     return pd.DataFrame({"shard": [str(shard)], "batch_id": [batch], "keys": [[h[0] for h in held]], "longest": [max(h[1] for h in held)]})
 
 
-def budget_batches(stream: DataFrame, shard: str, key: str, pos: str, length: str, most: float = 12000, wait_ms: int = 5000) -> DataFrame:
-    """(shard, batch_id, keys, longest) of batches that a budget cuts; the last of a quiet shard is sent after wait_ms."""
-    rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(key).cast("string").alias("key"), F.col(pos).alias("pos"), F.col(length).cast("double").alias("length"))
-    return rows.groupBy("shard").transformWithStateInPandas(_Budget(most, wait_ms), "shard string, batch_id long, keys array<string>, longest double", "append", "ProcessingTime")
-
-
 def merged_utterances(stream: DataFrame, shard: str, speaker: str, pos: str, seconds: str, text: str, **limits: float) -> DataFrame:
     """(shard, first pos, seconds, txt) of merged utterances; the open one waits in the group's state until the shard is quiet."""
     rule = {"least": 1.0, "enough": 10.0, "most": 20.0, "n_most": 7} | limits
@@ -111,7 +88,7 @@ def merged_utterances(stream: DataFrame, shard: str, speaker: str, pos: str, sec
         for g in done:
             yield _merged(key[0], g)
         state.update(([list(r) for r in last],))
-        state.setTimeoutDuration(5000)
+        state.setTimeoutDuration(WAIT_MS)
 
     rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(speaker).cast("string").alias("speaker"), F.col(pos).cast("long").alias("pos"), F.col(seconds).cast("double").alias("seconds"), F.col(text).alias("txt"))
     return rows.groupBy("shard").applyInPandasWithState(run, "shard string, pos long, seconds double, txt string", "held array<struct<pos:long,speaker:string,seconds:double,txt:string>>", "append", "ProcessingTimeTimeout")
@@ -124,34 +101,21 @@ def _merged(shard: object, rows: list) -> pd.DataFrame:
     return pd.DataFrame({"shard": [str(shard)], "pos": [rows[0][0]], "seconds": [sum(r[2] for r in rows)], "txt": [text.replace(f"{SWITCH} {SWITCH}", SWITCH)]})
 
 
-class _Quota(StatefulProcessor):
-    """Rows any of whose words is below its quota."""
-
-    def __init__(self, quota: int) -> None:
-        self.quota = quota
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", StructType.fromDDL("word string"), StructType.fromDDL("n long"))
+def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int) -> DataFrame:
+    """Rows any of whose words is below its quota in the shard so far; counts are the shard's state."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seen: dict[str, int] = {}
-        count = lambda w: seen.setdefault(w, self.counts.getValue((w,))[0] if self.counts.containsKey((w,)) else 0)
+    def run(key_, batches, state):
+        seen = dict(zip(*state.get, strict=True)) if state.exists else {}
         out = []
-        for pdf in rows:
+        for pdf in batches:
             for r in pdf.sort_values("pos").itertuples(index=False):
                 words = str(r.txt).split(" ")
-                if any(count(w) < self.quota for w in words):
+                if any(seen.get(w, 0) < quota for w in words):
                     for w in words:
-                        seen[w] = count(w) + 1
-                    out.append((str(key[0]), int(r.pos), str(r.txt)))
-        for w, n in seen.items():
-            self.counts.updateValue((w,), (n,))
+                        seen[w] = seen.get(w, 0) + 1
+                    out.append((str(key_[0]), int(r.pos), str(r.txt)))
+        state.update((list(seen), list(seen.values())))
         yield pd.DataFrame(out, columns=["shard", "pos", "txt"])
 
-    def close(self) -> None:
-        pass
-
-
-def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int) -> DataFrame:
     rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(pos).cast("long").alias("pos"), F.col(text).alias("txt"))
-    return rows.groupBy("shard").transformWithStateInPandas(_Quota(quota), "shard string, pos long, txt string", "append", "None")
+    return rows.groupBy("shard").applyInPandasWithState(run, "shard string, pos long, txt string", "words array<string>, counts array<long>", "append", "NoTimeout")
