@@ -90,7 +90,7 @@ def test_archive_round_trip(spark):
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     kinds = {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("revisit", 5), 5: ("response", None), None: ("response", None)}
     want = Counter((i, len((t or "").encode()), digest(t), *kinds[i]) for i, _, t in rows if i != 6)
-    want += Counter([(6, 20, digest(rows[5][2]), "response", None), (6, 20, digest(rows[5][2]), "revisit", 6)])
+    want += Counter([(6, 16, digest(rows[5][2]), "response", None), (6, 16, digest(rows[5][2]), "revisit", 6)])
     assert got == want
     root = stage_path(spark, "warc-test")
     warc.write_archive(pages, root)
