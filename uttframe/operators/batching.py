@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stage import materialise
 from ..functions.text import SWITCH, speaker_of
 
 
@@ -132,8 +132,8 @@ def pad_mask(length: Column, longest: Column) -> Column:
 
 
 def shard_of(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """df with shard: the i-th row goes to i modulo n, counted through range partitions."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """df with shard: the i-th row goes to i modulo n. Range partitions are written with their numbers, so that counting and numbering see the same ones."""
+    spread = materialise(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "shard-ranges")
     sizes = spread.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))  # a row a partition
     pos = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
@@ -161,8 +161,3 @@ def merge_utterances(df: DataFrame, shard: str, order: list[str], key: str = "ke
         F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.col("sep").alias("_sep"), F.col(text).alias("_text")))).alias("r"), F.sum(seconds).alias("seconds"), F.count("*").alias("n"))
     joined = F.array_join(F.transform("r", lambda x: F.concat(x["_sep"], x["_text"])), "")
     return rows.select(shard, F.get("r", F.lit(0))["_key"].alias(key), "n", "seconds", F.replace(joined, F.lit(f"{SWITCH} {SWITCH}"), F.lit(SWITCH)).alias(text))
-
-
-def batch_bound(lengths: np.ndarray) -> float:
-    """What a batch costs: its longest length times its count."""
-    return float(lengths.max() * len(lengths)) if len(lengths) else 0.0

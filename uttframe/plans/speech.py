@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..functions.stage import stage_path
 from ..operators import alignment, batching, features, ranking, sequences, speakers
 from ..sources import sinks
 from ..streaming import jobs
@@ -246,11 +247,8 @@ def masked_features(t: Tables) -> DataFrame:
 @query("SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS chunk_start, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def stream_chunks(t: Tables) -> DataFrame:
     """events as a stream, in hour chunks by user, written to a table and read again."""
-    import tempfile
-    import uuid
-
     spark = t.spark
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = stage_path(spark, "stream")
     stream = spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = jobs.chunks(stream, "ts", [F.count("*").alias("n"), F.sum("value").alias("value")], "user_id", seconds=3600)
 
