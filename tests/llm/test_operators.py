@@ -339,3 +339,10 @@ def test_log_templates(spark, docs, rows, empty):
     assert as_set(log_templates.query(docs), "doc_id") == Counter((r[0],) for r in rows)
     assert sum(r.n_dropped for r in log_templates.query(docs).collect()) == 0  # copies are one text
     assert log_templates.query(empty).count() == 0
+
+
+def test_empty_tables(spark, empty):
+    assert quality.query(empty).count() == secrets.query(empty).count() == licenses.query(empty).count() == 0
+    assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert sharding.query(empty).count() == 0
+    assert contamination.drop_leaks(empty, empty.selectExpr("doc_id AS item_id", "text")).count() == 0
