@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import uniform
-from ..functions.text import SWITCH, split_words, strip
+from ..functions.text import SWITCH, bind, split_words, strip
 
 
 @dataclass(frozen=True)
@@ -94,16 +94,19 @@ class SpecialTokens:
 
 def clean_special(text: Column, conf: SpecialTokens) -> Column:
     """The text with words relabelled and removed; null where a word rejects the utterance or nothing is left."""
+    table = F.create_map(*[F.lit(x) for pair in conf.relabel for x in pair]) if conf.relabel else None
+
+    def clean(words: Column) -> Column:
+        bad = F.exists(words, lambda w: w.isin(*conf.reject_on)) if conf.reject_on else F.lit(False)
+        kept = F.filter(words, lambda w: ~w.isin(*conf.remove)) if conf.remove else words
+        if table is not None:
+            kept = F.transform(kept, lambda w: F.coalesce(F.try_element_at(table, w), w))
+        return bind(F.array_join(kept, " "), lambda out: F.when(~bad & (out != ""), out))
+
     words = split_words(text)
     if conf.remove_trailing_dash:
-        words = F.transform(words, lambda w: F.regexp_replace(w, "-$", ""))
-    bad = F.exists(words, lambda w: w.isin(*conf.reject_on)) if conf.reject_on else F.lit(False)
-    kept = F.filter(words, lambda w: ~w.isin(*conf.remove)) if conf.remove else words
-    if conf.relabel:
-        table = F.create_map(*[F.lit(x) for pair in conf.relabel for x in pair])
-        kept = F.transform(kept, lambda w: F.coalesce(F.try_element_at(table, w), w))
-    out = F.array_join(kept, " ")
-    return F.when(~bad & (out != ""), out)
+        words = F.transform(words, lambda w: F.when(w.endswith("-"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    return bind(words, clean)
 
 
 def special_tokens(df: DataFrame, conf: SpecialTokens, text: str = "txt") -> DataFrame:
