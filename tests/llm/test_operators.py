@@ -346,3 +346,32 @@ def test_empty_tables(spark, empty):
     assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert sharding.query(empty).count() == 0
     assert contamination.drop_leaks(empty, empty.selectExpr("doc_id AS item_id", "text")).count() == 0
+
+
+# findings of the first review
+
+
+def test_passages_whole_lines_of_any_length(spark):
+    rng = random.Random(16)
+    texts = [f"{prose(rng, 40)}\nShare this page!\n{prose(rng, 30)}" for _ in range(3)] + [f"{prose(rng, 12)}\n\nOne two\nthree four\n\n{prose(rng, 9)}", f"{prose(rng, 12)}\n\none\ntwo three, four\n \n{prose(rng, 9)}", f"{prose(rng, 12)} share this page", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in passages.query(df.union(df.limit(2))).collect()}
+    cut = lambda i: [texts[i][a:b] for x in out[i].removed_spans.split(",") if x for a, b in [map(int, x.split(":"))]]
+    assert [cut(i) for i in range(7)] == [[], ["Share this page"], ["Share this page"], [], ["one\ntwo three, four"], [], []]
+
+
+def test_passages_inside_other_text(spark):
+    rng = random.Random(17)
+    texts, want = [], []
+    for i in range(60):  # no sentence ends, other text on both sides, and copies wrapped at other columns
+        shared = prose(rng, (51, 60, 75)[i % 3]).split()
+        wrapped = "\n".join(" ".join(shared[j : j + 11]) for j in range(0, len(shared), 11))
+        copy = wrapped.replace(" ", ", ", 3) if i % 2 else " ".join(shared)
+        before = prose(rng, 33)
+        texts += [f"{prose(rng, 20)} zu {' '.join(shared)} zu {prose(rng, 25)}", f"{before} za {copy} za {prose(rng, 15)}"]
+        want += [("", 0), (f"{len(before) + 4}:{len(before) + 4 + len(copy)}", len(shared))]
+    short = prose(rng, 20)
+    texts += [f"{prose(rng, 20)} zu {short} zu {prose(rng, 25)}", f"{prose(rng, 20)} za {short} za {prose(rng, 25)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.removed_spans, r.removed_words) for r in passages.query(df).collect()}
+    assert [out[i] for i in range(len(texts))] == [*want, ("", 0), ("", 0)]

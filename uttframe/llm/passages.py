@@ -1,11 +1,16 @@
 """Substring dedup by hashing normalised units: the earliest ranked occurrence stays, the rest is removed.
 
-A text is cut into lines, and lines into clauses: a unit ends at a line's end, after a sentence's end, and after a word
-whose hash says so (one in ``cut``) or after LONGEST words, so that a passage inside other text falls into the same units wherever it stands.
-Units are lower-cased words without punctuation; their 64-bit digests are grouped over the corpus and each digest keeps
-its earliest occurrence, ranked by id (nulls last), then by the row's hash, then by position. A run of later occurrences
-is removed if it has at least ``min_words`` words; shorter ones are chance or boilerplate phrases and stay. Offsets of
-removed spans are code points of the original text.
+Words are lower-cased and without punctuation. Two kinds of units have 64-bit digests: whole lines and paragraphs (lines
+between lines without words) of any length, and grams of GRAM words wherever they stand. Of each WINDOW grams in a row the one of
+least hash is taken (winnowing), so that equal passages of GRAM + WINDOW - 1 words share a gram, whatever line ends,
+punctuation and text are around. Digests are grouped over the corpus and each keeps its earliest occurrence, ranked by id
+(nulls last), then by the row's hash, then by position.
+
+Every later occurrence of a line or paragraph that has a word is removed. Later grams that touch form runs. The first and
+last gram of a run are compared word by word with what surrounds their first occurrence: a passage goes on for less than
+WINDOW words beyond its outermost common gram, so that many words on each side give its exact ends. A run is removed if it has at
+least ``min_words`` words then (GRAM + WINDOW - 1 at least); shorter ones are chance phrases and stay, unless they are lines.
+Offsets of removed spans are code points of the original text.
 
 A null text counts as an empty one. Rows that agree in id and text are one occurrence: all of them keep what the first
 keeps, and each gets its row of the result. An empty table gives an empty table. Other columns are ignored by ``query``
@@ -15,25 +20,54 @@ and kept by ``drop_repeats``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import is_word, materialise, mix, row_key
 
-LONGEST = 32
-ENDS = np.array([ord(x) for x in ".!?\n"], dtype=np.uint32)
+GRAM = WINDOW = 12
 STEP = np.uint64(0x9E3779B97F4A7C15)
+POWERS = [np.uint64(pow(int(STEP), n, 1 << 64)) for n in (1, 2, 4)]
+PLACES = 4  # a unit's number is PLACES times its first word, plus 0 for a gram, 1 for a line, 2 for a paragraph
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts)
 
 
-def _units(text: str, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digests, word counts, and spans of the units of a text."""
+def _pack(x: np.ndarray) -> bytes:
+    return x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _unpack(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint8 if len(x) == n else np.uint32).astype(np.int64)
+
+
+def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams taken: those that are the least of some WINDOW in a row."""
+    if len(h) < GRAM + WINDOW - 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    pairs = h[:-1] * POWERS[0] + h[1:]
+    fours = pairs[:-2] * POWERS[1] + pairs[2:]
+    eights = fours[:-4] * POWERS[2] + fours[4:]
+    g = mix(eights[:-4] * POWERS[2] + fours[8:])
+    least = g
+    for shift in (1, 2, 4, 4):
+        least = np.minimum(least[:-shift], least[shift:])
+    most = np.concatenate((np.zeros(WINDOW - 1, dtype=np.uint64), least, np.zeros(WINDOW - 1, dtype=np.uint64)))
+    for shift in (1, 2, 4, 4):
+        most = np.maximum(most[:-shift], most[shift:])
+    at = np.flatnonzero(g == most)
+    return at, g[at]
+
+
+def _units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes, bytes]:
+    """Digests, numbers and word counts of the units of a text; hashes and lengths of its words, and the gaps before them."""
     low = text.lower()
     if len(low) != len(text):  # some capitals have longer lower forms: these stay, so that offsets hold
         low = "".join(x if len(x) == 1 else y for x, y in ((ch.lower(), ch) for ch in text))
@@ -43,70 +77,142 @@ def _units(text: str, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     n = len(starts)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return none, none, none, b"", b"", b""
     lengths = ends - starts
     chars = np.flatnonzero(word[1:-1])
     place = chars - np.repeat(starts, lengths)
     h = mix(_sums(mix(c[chars] + place.astype(np.uint64) * STEP), np.cumsum(lengths) - lengths))
-    stops = np.cumsum(np.isin(c, ENDS))
-    last = np.append(stops[starts[1:] - 1] > stops[ends[:-1] - 1], True) | (h % np.uint64(cut) == 0)
-    first = np.flatnonzero(np.concatenate(([True], last[:-1])))
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    first = np.flatnonzero(place % LONGEST == 0)
-    sizes = np.diff(np.append(first, n))
-    place = np.arange(n) - np.repeat(first, sizes)
-    digests = mix(_sums(mix(h + place.astype(np.uint64) * STEP), first))
-    return digests.view(np.int64), sizes, starts[first], ends[first + sizes - 1]
-
-
-UNITS = "digests array<long>, sizes array<int>, starts array<int>, ends array<int>"
-
-
-def units(text: Column, cut: int) -> Column:
+    at, grams = _grams(h)
+    digests, numbers, sizes = [grams], [at * PLACES], [np.full(len(at), GRAM)]
+    line = np.searchsorted(np.flatnonzero(c == 10), starts)
+    new = np.append(0, np.diff(line))
+    first = None
+    for kind, begins in ((1, new > 0), (2, new > 1)):
+        begins[0] = True
+        lines, first = first, np.flatnonzero(begins)
+        size = np.diff(np.append(first, n))
+        digest = mix(_sums(mix(h + (np.arange(n) - np.repeat(first, size)).astype(np.uint64) * STEP), first))
+        if lines is not None:  # a paragraph of one line is that line
+            several = np.diff(np.append(np.searchsorted(lines, first), len(lines))) > 1
+            first, size, digest = first[several], size[several], digest[several]
+        digests.append(digest)
+        numbers.append(first * PLACES + kind)
+        sizes.append(size)
+    gaps = starts - np.append(0, ends[:-1])
+    return np.concatenate(digests).view(np.int64), np.concatenate(numbers), np.concatenate(sizes), (h >> np.uint64(32)).astype(np.uint32).tobytes(), _pack(lengths), _pack(gaps)
+
+
+UNITS = "digests array<long>, numbers array<int>, sizes array<int>, words binary, lengths binary, gaps binary"
+
+
+def units(text: Column) -> Column:
     @F.pandas_udf(UNITS)
     def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([_units(t or "", cut) for t in texts], columns=["digests", "sizes", "starts", "ends"])
+            yield pd.DataFrame([_units(t or "") for t in texts], columns=["digests", "numbers", "sizes", "words", "lengths", "gaps"])
 
     return cut_up(text)
 
 
+def around():
+    """The words on both sides of grams."""
+
+    @F.pandas_udf("array<struct<number:int,before:binary,after:binary>>")
+    def sides(words: pd.Series, numbers: pd.Series) -> pd.Series:
+        side, out = 4 * (WINDOW - 1), []
+        for w, ns in zip(words, numbers, strict=True):
+            ats = [(int(n), 4 * (int(n) // PLACES)) for n in ns]
+            out.append([(n, w[max(0, at - side) : at], w[at + 4 * GRAM : at + 4 * GRAM + side]) for n, at in ats])
+        return pd.Series(out)
+
+    return sides
+
+
+HITS = "array<struct<number:int,size:int,opens:boolean,closes:boolean,before:binary,after:binary>>"
 SPANS = "array<struct<start:int,end:int,words:int>>"
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _same(a: bytes, b: bytes, step: int) -> int:
+    """How many words agree, from the front (step 1) or from the back (-1)."""
+    pairs = zip(np.frombuffer(a, dtype=np.uint32)[::step], np.frombuffer(b, dtype=np.uint32)[::step], strict=False)
+    return sum(1 for _ in takewhile(lambda x: x[0] == x[1], pairs))
+
+
+def _spans(words: bytes, hits: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """Word spans to remove, from the later lines and the outermost later grams of runs, with what is around their first occurrences."""
+    side, lines, found, start = 4 * (WINDOW - 1), [], [], 0
+    for x in sorted(hits, key=lambda x: (x["number"], not x["opens"])):
+        at = x["number"] // PLACES
+        if x["number"] % PLACES:
+            lines.append((at, at + x["size"]))
+            continue
+        if x["opens"]:
+            start = at - _same(words[max(0, 4 * at - side) : 4 * at], x["before"], -1)
+        if x["closes"]:
+            end = at + GRAM
+            found.append((start, end + _same(words[4 * end : 4 * end + side], x["after"], 1)))
+    return _joined(lines + [(a, b) for a, b in _joined(found) if b - a >= min_words])
+
+
 def runs(min_words: int):
-    """From the units of a text and the numbers of those that occurred before: spans to remove."""
+    """From the words of a text and the units of it that occurred before: spans to remove."""
 
     @F.pandas_udf(SPANS)
-    def find(sizes: pd.Series, starts: pd.Series, ends: pd.Series, repeated: pd.Series) -> pd.Series:
+    def find(words: pd.Series, lengths: pd.Series, gaps: pd.Series, hits: pd.Series) -> pd.Series:
         out = []
-        for n, a, b, r in zip(sizes, starts, ends, repeated, strict=True):
-            at = np.sort(np.asarray(r, dtype=np.int64))
-            found = []
-            for part in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(at) else ():
-                words = int(np.asarray(n)[part].sum())
-                if words >= min_words:
-                    found.append((int(a[part[0]]), int(b[part[-1]]), words))
-            out.append(found)
+        for w, n, g, x in zip(words, lengths, gaps, hits, strict=True):
+            spans = _spans(w, list(x), min_words) if len(x) else []
+            if spans:
+                n = _unpack(n, len(w) // 4)
+                ends = np.cumsum(n + _unpack(g, len(n)))
+                spans = [(int(ends[a] - n[a]), int(ends[b - 1]), b - a) for a, b in spans]
+            out.append(spans)
         return pd.Series(out)
 
     return find
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: int = 12, min_words: int = 25) -> DataFrame:
+def _same_row(id_col: str, key: str) -> Column:
+    return (F.col("key_a") == F.col(key)) & F.col("_id").eqNullSafe(F.col(id_col))
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
     """A row for each row of docs: _id, key_a, n_units, and removed (structs of start, end, words)."""
-    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col))[0], units(F.col(text_col), cut).alias("u")).select("_id", "key_a", "u.*")
+    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col))[0], units(F.col(text_col)).alias("u")).select("_id", "key_a", "u.*")
     rows = materialise(rows, "passage-units")
-    each = rows.select("_id", "key_a", F.posexplode_outer("digests").alias("pos", "digest"))
+    each = rows.select("_id", "key_a", F.explode_outer(F.arrays_zip("digests", "numbers", "sizes")).alias("x")).select("_id", "key_a", F.col("x.digests").alias("digest"), F.col("x.numbers").alias("number"), F.col("x.sizes").alias("size"))
     # Digests are counted first, by themselves; only what is found twice takes its place in the ranking along.
     twice = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     found = materialise(each.join(twice, "digest", "left_semi"), "passage-found")
-    rank = F.struct(F.col("_id").isNull().alias("null_id"), F.col("_id"), F.col("key_a"), F.col("pos"))
+    rank = F.struct(F.col("_id").isNull().alias("null_id"), F.col("_id"), F.col("key_a"), F.col("number"))
     first = found.groupBy("digest").agg(F.min(rank).alias("first"))
-    later = found.join(first, "digest").filter(rank != F.col("first")).groupBy("_id", "key_a").agg(F.collect_set("pos").alias("repeated"))
-    out = rows.select("_id", "key_a", F.size("digests").alias("n_units"), "sizes", "starts", "ends")
-    out = out.join(later.withColumnRenamed("_id", "_i").withColumnRenamed("key_a", "_k"), (F.col("key_a") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left")
-    removed = F.when(F.col("repeated").isNull(), F.array().cast(SPANS)).otherwise(runs(min_words)("sizes", "starts", "ends", F.coalesce("repeated", F.array().cast("array<int>"))))
+    later = found.join(first, "digest").filter(rank != F.col("first"))
+
+    # Of the grams of a run only the outermost go on.
+    is_gram, nth = F.col("number") % PLACES == 0, Window.partitionBy("_id", "key_a", "gram").orderBy("number")
+    later = later.withColumn("gram", is_gram).withColumns({"opens": F.coalesce(F.col("number") - F.lag("number").over(nth) > GRAM * PLACES, F.lit(True)), "closes": F.coalesce(F.lead("number").over(nth) - F.col("number") > GRAM * PLACES, F.lit(True))})
+    later = later.filter(~F.col("gram") | F.col("opens") | F.col("closes"))
+    later = materialise(later.select("_id", "key_a", "number", "size", "gram", "opens", "closes", F.col("first._id").alias("_fi"), F.col("first.key_a").alias("_fk"), F.col("first.number").alias("_fn")), "passage-later")
+    wanted = later.filter("gram").groupBy("_fi", "_fk").agg(F.collect_set("_fn").alias("_wanted"))
+    sides = rows.select("_id", "key_a", "words").join(wanted, _same_row("_fi", "_fk")).select("_fi", "_fk", F.explode(around()("words", "_wanted")).alias("s"))
+    sides = sides.groupBy("_fi", "_fk", F.col("s.number").alias("_fn")).agg(F.first("s.before").alias("before"), F.first("s.after").alias("after"))  # equal rows are one
+
+    hit = ["_id", "key_a", "number", "size", "opens", "closes"]
+    grams = later.filter("gram").alias("l").join(sides.alias("s"), (F.col("l._fk") == F.col("s._fk")) & (F.col("l._fn") == F.col("s._fn")) & F.col("l._fi").eqNullSafe(F.col("s._fi"))).select(*hit, "before", "after")
+    lines = later.filter("NOT gram").select(*hit, F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
+    hits = grams.unionByName(lines).groupBy(F.col("_id").alias("_i"), F.col("key_a").alias("_k")).agg(F.collect_set(F.struct(*hit[2:], "before", "after")).alias("hits"))
+    out = rows.select("_id", "key_a", F.size("digests").alias("n_units"), "words", "lengths", "gaps").join(hits, _same_row("_i", "_k"), "left")
+    removed = F.when(F.col("hits").isNull(), F.array().cast(SPANS)).otherwise(runs(min_words)("words", "lengths", "gaps", F.coalesce("hits", F.array().cast(HITS))))
     return out.select("_id", "key_a", "n_units", removed.alias("removed"))
 
 
