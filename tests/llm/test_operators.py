@@ -375,3 +375,17 @@ def test_passages_inside_other_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: (r.removed_spans, r.removed_words) for r in passages.query(df).collect()}
     assert [out[i] for i in range(len(texts))] == [*want, ("", 0), ("", 0)]
+
+
+def test_leaks_of_quotes_inside_items(spark):
+    rng = random.Random(18)
+    items = [prose(rng, 45) for _ in range(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [(i, prose(rng, 40) + " " + items[i][at : at + 119] + " " + prose(rng, 40)) for i in range(6) for at in range(0, len(items[i]) - 119, 13)]
+    df = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(texts)], "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r.edits for r in contamination.query(df, bench).collect()}
+    assert out == {(n, i): 0 for n, (i, _) in enumerate(texts)}
+    middle = prose(rng, 40)[:100]  # the edits a whole item may have are more than a short segment may
+    changed = "".join("#" if 22 <= i < 78 and not i % 7 else ch for i, ch in enumerate(middle)).replace("#", "q")
+    (leak,) = contamination.query(spark.createDataFrame([(0, changed)], df.schema), spark.createDataFrame([(1, middle)], bench.schema)).collect()
+    assert leak.item_id == 1 and 6 < leak.edits <= 8

@@ -5,6 +5,9 @@ Benchmark items are normalised (lower-case words, one space between) and cut int
 edit spoils one at most, so a region of a text within the budget still has m // q - k of them, all on diagonals at most
 2k apart (text position minus segment position). Hits are counted in bands of diagonals that overlap by half; bands that
 reach the count are verified by banded alignment, and a text holds an item if one of its segments aligns within k edits.
+Items are cut twice, into segments of SEGMENT characters that overlap by half and into those of QUOTE: long ones may have more edits in
+one place, and each quote of QUOTE * 3 / 2 - 1 = 119 normalised characters (some 20 words) holds a whole short one. The edits
+of a leak are the least of its longest segments found.
 
 All texts are searched whole, in Arrow batches, against the index of the benchmark. The benchmark is cut into parts by a
 hash of the item, as many as keep a part under ``PART_CHARS`` characters, so what a task gets is bounded; each part is a
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import is_word
 
-Q, ERROR, SEGMENT = 8, 0.08, 160
+Q, ERROR, SEGMENT, QUOTE = 8, 0.08, 160, 80
 PART_CHARS = 4_000_000
 BITS = 20
 LEAKS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
@@ -64,9 +67,9 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.segments, grams = [], []
         for item, text in items:
-            n, half = normal(text or ""), SEGMENT // 2
-            for at in sorted({0, *range(half, len(n) - SEGMENT, half), max(0, len(n) - SEGMENT)}):
-                segment = n[at : at + SEGMENT]
+            n = normal(text or "")
+            for at, end in sorted({(at, min(at + size, len(n))) for size in (SEGMENT, QUOTE) for at in {0, *range(size // 2, len(n) - size, size // 2), max(0, len(n) - size)}}):
+                segment = n[at:end]
                 if len(segment) >= Q:
                     grams += [(h, len(self.segments), p) for p, h in zip(range(0, len(segment) - Q + 1, Q), gram_hashes(segment)[::Q].tolist(), strict=True)]
                     k = int(ERROR * len(segment))
@@ -111,18 +114,19 @@ class Index:
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) with code points of the text as given; the span covers all segments found."""
         c = normal(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[int, tuple[int, int, tuple[int, int]]] = {}
         for seg, diagonal in self.bands(c):
             item, pattern, k, _ = self.segments[seg]
             low, high = max(0, diagonal - k), min(len(c), diagonal + 2 * self.width + len(pattern) + k)
             if found := align(pattern, c[low:high], k):
                 edits, start, end = found[0], low + found[1], low + found[2]
-                first, last, least = best.get(item, (start, end, edits))
-                best[item] = (min(first, start), max(last, end), min(least, edits))
+                least = (-len(pattern), edits)
+                first, last, other = best.get(item, (start, end, least))
+                best[item] = (min(first, start), max(last, end), min(least, other))
         if not best:
             return []
         where = origins(text)
-        return sorted((item, where[start], where[end - 1] + 1, edits) for item, (start, end, edits) in best.items())
+        return sorted((item, where[start], where[end - 1] + 1, edits) for item, (start, end, (_, edits)) in best.items())
 
 
 def align(pattern: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
