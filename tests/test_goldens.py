@@ -386,3 +386,20 @@ def test_pipeline_configuration(spark):
     out = build_pipeline(conf)(df)
     assert out.count() == 10 and out.select("batch_id").distinct().count() == 3
     assert build_pipeline(preset(DEFAULTS, "eval"))(df).count() == 10
+
+
+def test_folds_stream_shards_over_batches(spark):
+    """A shard never is one frame: batches stay small, state goes on over them, and no text enters Python."""
+    rng = random.Random(19)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(1, 60), rng.choice(["x", "y", None]), " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(5)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, shard string, n long, job string, text string").repartition(5)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = batching.distribute_batch(df, "shard", ["id"], "id", "n", "job", "text", 200, True, 40, 6)
+        got = {(r.shard, r.id): r.batch_id for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    want = {(s, k): b for s in ("a", "b", None) for k, b in batching.quotas(((r[0], r[2], r[3], r[4]) for r in rows if r[1] == s), 200, True, 40, 6)}
+    assert got == want and "MapInPandas" in plan and "FlatMapGroups" not in plan

@@ -1,12 +1,14 @@
 """Batches: by count, length bucket, window, frame budget; collation; shards; merging of utterances.
 
 Order is explicit everywhere: ``shard`` and ``order`` columns. Budgets are sequential, so they are folds within a shard;
-only keys and lengths enter Python, and parallelism is the number of shards.
+only keys, lengths and word hashes enter Python, in Arrow batches, and parallelism is the number of shards. A fold holds a
+batch of rows and its own state (for word quotas, the counts of a shard's distinct words), never a whole shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,9 @@ from ..functions.stage import materialise
 from ..functions.text import SWITCH, speaker_of
 
 
+ROWS = 10_000  # of a fold's result in a batch
+
+
 def _pos(shard: list[str], order: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*shard).orderBy(*order)) - 1
 
@@ -47,14 +52,17 @@ def bucket_batch(df: DataFrame, shard: list[str], order: list[str], length: str,
 def _fold(df: DataFrame, shard: str, order: list[str], columns: list[str], step, schema: str) -> DataFrame:
     """step(rows in order) for each shard; yields tuples of the schema after the shard."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable")
-        out = [(rows[shard].iat[0], *r) for r in step(rows[columns].itertuples(index=False, name=None))]
-        return pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in pdf[[shard, *columns]].itertuples(index=False, name=None))
+        for key, own in groupby(rows, lambda r: None if pd.isna(r[0]) else r[0]):
+            out = ((key, *r) for r in step(r[1:] for r in own))
+            while some := list(islice(out, ROWS)):
+                yield pd.DataFrame(some, columns=names)
 
     kind = df.schema[shard].dataType.simpleString()
     names = [shard, *[c.split()[0] for c in schema.split(", ")]]
-    return df.select(*dict.fromkeys([shard, *order, *columns])).groupBy(shard).applyInPandas(run, f"{shard} {kind}, {schema}")
+    rows = df.select(*dict.fromkeys([shard, *order, *columns])).repartition(shard)
+    return rows.sortWithinPartitions(shard, *[F.col(c).asc_nulls_last() for c in order]).mapInPandas(run, f"{shard} {kind}, {schema}")
 
 
 def budget(rows: Iterator[tuple], most: float, drop_trigger: bool = False) -> Iterator[tuple]:
@@ -79,13 +87,13 @@ def dynamic_batch(df: DataFrame, shard: str, order: list[str], key: str, length:
 
 
 def quotas(rows: Iterator[tuple], most: float, one_per_job: bool, per_epoch: int, per_batch: int) -> Iterator[tuple]:
-    """(key, batch or None) of (key, length, job, text): a budget, one row a job in a batch, and word quotas. A row is taken if any word is below its quota."""
+    """(key, batch or None) of (key, length, job, words): a budget, one row a job in a batch, and word quotas. A row is taken if any word is below its quota."""
     batch, n, longest = 0, 0, 0.0
     jobs: set = set()
-    epoch: dict[str, int] = {}
-    words_of_batch: dict[str, int] = {}
-    for key, length, job, text in rows:
-        words = (text or "").split(" ")
+    epoch: dict = {}
+    words_of_batch: dict = {}
+    for key, length, job, words in rows:
+        words = words.split(" ") if isinstance(words, str) else [""] if words is None else words
         short = lambda counts, quota: quota <= 0 or any(counts.get(w, 0) < quota for w in words)
         if (one_per_job and job in jobs) or not short(epoch, per_epoch) or not short(words_of_batch, per_batch):
             yield key, None
@@ -106,7 +114,8 @@ def distribute_batch(df: DataFrame, shard: str, order: list[str], key: str, leng
     """(shard, key, batch_id), batch_id null for rows that a rule leaves out; rows without a job count as one job."""
     kind = df.schema[key].dataType.simpleString()
     step = lambda rows: quotas(rows, max_frames, one_per_job, max_words_per_epoch, max_words_per_batch)
-    return _fold(df, shard, order, [key, length, job, text], step, f"{key} {kind}, batch_id long")
+    words = F.transform(F.split(F.coalesce(text, F.lit("")), " ", -1), lambda w: F.xxhash64(w))
+    return _fold(df.withColumn("_words", words), shard, order, [key, length, job, "_words"], step, f"{key} {kind}, batch_id long")
 
 
 def pad(xs: Column, n: Column, value: object) -> Column:
