@@ -389,3 +389,10 @@ def test_leaks_of_quotes_inside_items(spark):
     changed = "".join("#" if 22 <= i < 78 and not i % 7 else ch for i, ch in enumerate(middle)).replace("#", "q")
     (leak,) = contamination.query(spark.createDataFrame([(0, changed)], df.schema), spark.createDataFrame([(1, middle)], bench.schema)).collect()
     assert leak.item_id == 1 and 6 < leak.edits <= 8
+
+
+def test_short_log_lines(spark):
+    rng = random.Random(20)
+    texts = [f"{prose(rng, 12)}\nconnection reset by peer\n\nretry {i}\n{prose(rng, 8)}" + "\nshort phrase" * (i < 39) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert Counter(r.dropped_lines for r in log_templates.query(df).collect()) == Counter({"1,3": 40})

@@ -6,7 +6,8 @@ least ``share`` of the leaf's lines is constant, and the other positions are fie
 constants (at least half of its tokens) has the leaf's template; another line has the template of its own tokens with
 fields masked. Lines whose template recurs in ``min_docs`` different texts are dropped.
 
-Lines end at \\n. Lines of fewer than ``min_tokens`` tokens are never dropped. Texts that are equal count as one text, so
+Lines end at \\n. A line of fewer than ``min_tokens`` tokens has all its tokens on its way, and its template must recur in
+``short_docs`` texts, as short phrases of prose recur by chance; lines without tokens are never dropped. Texts that are equal count as one text, so
 a copied document keeps its lines. A null text has no lines. Repeated rows are treated alike, a row of the result for
 each. An empty table gives an empty table. Other columns are ignored by ``query`` and kept by ``drop_templates``.
 """
@@ -20,7 +21,7 @@ from .common import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
-SHORT = 0  # the leaf of lines too short to drop
+EMPTY = 0  # the leaf of lines without tokens
 #: So many leaves or templates (8 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -34,21 +35,23 @@ def _in(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, "left_semi")
 
 
-def _recurring(lines: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """Keys found in min_docs texts or more: pairs are counted first, so that a frequent key is no hot group."""
-    pairs = lines.groupBy(key, "doc").agg(F.lit(1).alias("one"))
-    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.max(key).alias("k")).filter((F.col("n") >= min_docs) & (F.col("k") != SHORT)).select(key)
+def _recurring(lines: DataFrame, key: str, min_docs: int, short_docs: int) -> DataFrame:
+    """Keys found in min_docs texts or more (short_docs for short lines): pairs are counted first, so that a frequent key is no hot group."""
+    pairs = lines.groupBy(key, "doc").agg(F.max("short").alias("short"))
+    least = F.when(F.col("short"), short_docs).otherwise(min_docs)
+    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.max(key).alias("k"), F.max("short").alias("short")).filter((F.col("n") >= least) & (F.col("k") != EMPTY)).select(key)
 
 
-def dropped_lines(docs: DataFrame, text_col: str = "text", *, depth: int = 3, min_tokens: int = 5, min_docs: int = 10, share: float = 0.6) -> DataFrame:
+def dropped_lines(docs: DataFrame, text_col: str = "text", *, depth: int = 3, min_tokens: int = 5, min_docs: int = 10, share: float = 0.6, short_docs: int = 40) -> DataFrame:
     """doc (hash of the text) and the sorted numbers of its dropped lines, from 0, for texts that have any."""
     text = docs.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
     lines = text.select("doc", F.posexplode_outer(F.split("_text", "\n", -1)).alias("pos", "line")).select("doc", "pos", F.array_remove(F.split("line", SPACE, -1), "").alias("w"))
     # Outer, though no array is empty, and no filter on the tokens: either filter would be pushed down, as a second split.
-    leaf = F.when(F.size("w") >= min_tokens, F.xxhash64(F.size("w"), *[_masked(F.get("w", F.lit(i))) for i in range(depth)])).otherwise(F.lit(SHORT).cast("long"))
-    lines = lines.withColumn("leaf", leaf)
+    leaf = F.when(F.size("w") >= min_tokens, F.xxhash64(F.size("w"), *[_masked(F.get("w", F.lit(i))) for i in range(depth)]))
+    leaf = leaf.when(F.size("w") > 0, F.xxhash64(F.size("w"), F.lit("short"), F.transform("w", _masked))).otherwise(F.lit(EMPTY).cast("long"))
+    lines = lines.withColumns({"leaf": leaf, "short": F.coalesce(F.size("w") < min_tokens, F.lit(True))})
 
-    leaves = materialise(_recurring(lines.select("leaf", "doc"), "leaf", min_docs), "log-leaves")
+    leaves = materialise(_recurring(lines.select("leaf", "doc", "short"), "leaf", min_docs, short_docs), "log-leaves")
     hot = materialise(_in(lines, leaves, "leaf").dropDuplicates(["doc", "pos"]), "log-lines")
 
     # Lines are summed by leaf, position and token; only sums meet.
@@ -59,8 +62,8 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", *, depth: int = 3, mi
 
     agrees = F.forall("fixed", lambda x: F.xxhash64(_masked(F.get("w", x["i"]))) == x["token"])
     own = F.xxhash64(F.lit("line"), F.transform("w", _masked))
-    named = materialise(hot.join(fixed, "leaf", "left").select("doc", "pos", F.when(agrees, F.col("leaf")).otherwise(own).alias("template")), "log-templates")
-    common = materialise(_recurring(named, "template", min_docs), "log-common")
+    named = materialise(hot.join(fixed, "leaf", "left").select("doc", "pos", "short", F.when(agrees, F.col("leaf")).otherwise(own).alias("template")), "log-templates")
+    common = materialise(_recurring(named, "template", min_docs, short_docs), "log-common")
     return _in(named, common, "template").groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
 
 
