@@ -396,3 +396,33 @@ def test_short_log_lines(spark):
     texts = [f"{prose(rng, 12)}\nconnection reset by peer\n\nretry {i}\n{prose(rng, 8)}" + "\nshort phrase" * (i < 39) for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert Counter(r.dropped_lines for r in log_templates.query(df).collect()) == Counter({"1,3": 40})
+
+
+def test_mixing_of_many_sources_and_of_overlap(spark):
+    rng = random.Random(21)
+    docs = spark.range(5_200).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 7 AS INT)) AS text", "concat('s', id % 5101) AS source")
+    out = mixing.query(docs).collect()
+    totals = Counter()
+    for i in range(5_200):
+        totals[f"s{i % 5101}"] += 1 + i % 7
+    want = mixing.source_targets(dict(totals))
+    assert len(out) == 5_200 and all(r.target == pytest.approx(want[f"s{r.doc_id % 5101}"]) and r.source_size == totals[f"s{r.doc_id % 5101}"] for r in out)
+    taken = Counter()
+    for r in out:
+        taken[f"s{r.doc_id % 5101}"] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 7 for s in want)
+    for sizes in ({None: 7, "a": 0, "b": 5000, "c": 3, "é": 90}, {"a": 0}, {"x": 10, "y": 10}):
+        table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        assert {r.source: r.target for r in mixing.targets_of(table).collect()} == pytest.approx(mixing.source_targets(sizes))
+    pairs = [(i, prose(rng, 10), [["a"], ["a", "b"], ["c"]][i % 3]) for i in range(90)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string, p array<string>")
+    rows = mixing.materialise(mixing.light(df, 1, pattern=mixing.F.col("p")).drop("text", "p"), "mix-test")
+    chosen, sources = mixing.plan(rows)
+    target = {r.source: r.target for r in sources.collect()}
+    assert target == pytest.approx(mixing.source_targets({"a": 600, "b": 300, "c": 300}))
+    sizes = {("a",): 300, ("a", "b"): 300}
+    flow = Counter()
+    for (p, _), n in mixing.min_cost_flow(sizes, {s: int(target[s]) for s in "ab"}).items():
+        flow[p] += n
+    flow["c",] = min(900, int(target["c"]))
+    assert {tuple(r["_pattern"]): r["_base"] for r in chosen.collect()} == {p: flow[p] // 300 for p in [("a",), ("a", "b"), ("c",)]}
