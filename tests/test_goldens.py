@@ -403,3 +403,19 @@ def test_folds_stream_shards_over_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     want = {(s, k): b for s in ("a", "b", None) for k, b in batching.quotas(((r[0], r[2], r[3], r[4]) for r in rows if r[1] == s), 200, True, 40, 6)}
     assert got == want and "MapInPandas" in plan and "FlatMapGroups" not in plan
+
+
+def test_forced_alignment_of_whole_label_sequences(spark):
+    from itertools import groupby
+
+    from uttframe.plans import QUERIES
+    from uttframe.plans.speech import Tables, _vectors
+
+    want, got = {}, {}
+    for r in _vectors(Tables(spark, "/root/testdata/sf0.001")).select("key", "frame_idx", "label").orderBy("key", "frame_idx").collect():
+        want.setdefault(r.key, []).append(r.label + 1)
+    for r in QUERIES["forced_alignment"](spark, "/root/testdata/sf0.001").orderBy("key", "frame_idx").collect():
+        got.setdefault(r.key, []).append(r.token)
+    assert {k: [t for t, _ in groupby(x) if t] for k, x in got.items()} == {k: [t for t, _ in groupby(x)] for k, x in want.items()}
+    frames = spark.createDataFrame([(1, i, [-1.0, -1.0]) for i in range(2)], "key int, frame_idx int, logp array<double>")
+    assert [r.token for r in sequences.forced_alignment(frames, spark.createDataFrame([(1, [1, 1])], "key int, labels array<int>")).collect()] == [None, None]

@@ -40,13 +40,15 @@ def forced_path(logp: np.ndarray, labels: np.ndarray, blank: int = 0) -> np.ndar
 
 
 def forced_alignment(frames: DataFrame, labels: DataFrame, key: str = "key", blank: int = 0) -> DataFrame:
-    """(key, frame_idx, token) from (key, frame_idx, logp) and (key, labels)."""
+    """(key, frame_idx, token) from (key, frame_idx, logp) and (key, labels); tokens are null where the labels, with a blank between equal ones, are more than the frames."""
     whole = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "logp"))).alias("f")).join(labels, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for k, f, y in zip(pdf[key], pdf["f"], pdf["labels"], strict=True):
-                path = forced_path(np.stack([x["logp"] for x in f]).astype(np.float64), np.asarray(y, dtype=np.int64), blank)
+                y = np.asarray(y, dtype=np.int64)
+                fits = len(y) + np.count_nonzero(y[1:] == y[:-1]) <= len(f)
+                path = forced_path(np.stack([x["logp"] for x in f]).astype(np.float64), y, blank) if fits else [None] * len(f)
                 yield pd.DataFrame({key: k, "frame_idx": [x["frame_idx"] for x in f], "token": path})
 
     kind = frames.schema[key].dataType.simpleString()

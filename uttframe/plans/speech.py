@@ -227,7 +227,8 @@ def distortion_max(t: Tables) -> DataFrame:
 @query()
 def forced_alignment(t: Tables) -> DataFrame:
     frames = _vectors(t)
-    labels = frames.groupBy("key").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("frame_idx", "label"))), 1, 8), lambda x: x["label"] + 1).alias("labels"))
+    labels = frames.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "label"))), lambda x: x["label"] + 1).alias("all"))
+    labels = labels.select("key", F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1))).alias("labels"))  # runs count once
     return sequences.forced_alignment(frames.withColumn("logp", F.transform("logp", lambda x: x - N.log_sum(F.col("logp")).cast("float"))), labels)
 
 
