@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -14,15 +15,25 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="uttframe-")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, one of this machine's own serves a local master; a cluster must name one."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a temporary folder only where that is unset; removed when the driver's JVM ends."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_dir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: lineage ends here, and lost executors take nothing along."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
