@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.stage import materialise, stage_path
 from ..functions.text import bind as let
 
-__all__ = ["WORD", "is_word", "let", "light_batches", "materialise", "mix", "pieces", "row_key", "spread_join", "stage_path", "table", "word_hashes"]
+__all__ = ["WORD", "is_word", "code_points", "let", "light_batches", "materialise", "mix", "pieces", "row_hash", "row_key", "spread_join", "stage_path", "table", "word_hashes"]
 
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,16 +35,22 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), *cols).alias("key_a"), F.xxhash64(F.lit(2), *cols).alias("key_b")]
 
 
+def row_hash(docs: DataFrame, row: Column | None = None) -> Column:
+    """A hash of all columns that can be hashed, of docs or of a struct that has its columns."""
+    return F.xxhash64(*[F.col(f"`{c}`") if row is None else row[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: Column, how: str = "inner", salts: int = 64) -> DataFrame:
     """left joined with right on the columns ``on``. The rows of a hot key are dealt by ``by`` to ``salts`` tasks, each of which gets right's rows of that key.
 
-    hot has the hot keys as columns ``on``, HOT_KEYS of them at most, so it is sent to all tasks.
+    hot has the hot keys as columns ``on``, some HOT_KEYS of them at most, so their hashes are part of the plan. A key that
+    shares its hash with a hot one is dealt alike.
     """
-    marked = F.broadcast(hot.select(*on).withColumn("_hot", F.lit(True)))
-    dealt = left.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = right.join(marked, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
+    hashes = [r[0] for r in hot.select(F.xxhash64(*on)).collect()]
+    is_hot = F.xxhash64(*on).isin(hashes or [0])
+    dealt = left.withColumn("_deal", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0))
+    spread = right.withColumn("_deal", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, [*on, "_deal"], how).drop("_deal")
 
 
 @cache

@@ -29,4 +29,4 @@ QUERIES: dict[str, Query] = {
     "op10_quality": _over("documents", quality.query),
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op2_secrets": secrets.ORACLE, "op6_licenses": licenses.ORACLE, "op8_log_templates": log_templates.ORACLE, "op10_quality": quality.ORACLE}
