@@ -1,11 +1,13 @@
 """Content-addressed WARC archive: each payload once, by a verified strong digest; exact record headers beside them.
 
-``write_archive`` makes two tables under one root: ``payloads`` (sha256, payload) and ``records`` (exact WARC and HTTP
-header bytes, record type, sha256, ...). ``read_archive`` joins them into the original records. Of the rows with equal
-payloads of at least ``min_revisit_bytes`` bytes, the one with the largest id (then URL) is the response and the others
-revisit it. A null payload counts as an empty one; a null id sorts first and stays null; a null URL becomes a urn.
-Of rows that agree in id, URL and payload, one is the first copy and the others revisit it. An empty table gives an empty
-archive. Other columns of the input are not stored.
+``write_archive`` makes two tables under one root: ``payloads`` (sha256, payload, and how many records have it) and
+``records`` (exact WARC and HTTP header bytes, record type, sha256, ...). ``read_archive`` joins them into the original
+records; the records of a payload that very many share are dealt to several tasks. Of the rows with equal payloads of at
+least ``min_revisit_bytes`` bytes, the one with the largest id (then URL) is the response and the others revisit it. A null
+payload counts as an empty one; a null id sorts first and stays null; a null URL becomes a urn. Of rows that agree in id,
+URL and payload (the only ties), one is the first copy and the others revisit it. Very long payloads are rows like others:
+one is held at a time, and twice where two differ. An empty table gives an empty archive. Other columns of the input,
+whatever their names, are not stored.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_path
+from .common import HOT_KEYS, materialise, spread_join, stage_path
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -58,13 +60,14 @@ def write_archive(pages: DataFrame, root: str, *, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "sha1": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
 
-    one = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.min(F.xxhash64("payload")).alias("h0"), F.max(F.xxhash64("payload")).alias("h1"), F.min("payload_bytes").alias("n0"), F.max("payload_bytes").alias("n1"))
+    one = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.min(F.xxhash64("payload")).alias("h0"), F.max(F.xxhash64("payload")).alias("h1"), F.min("payload_bytes").alias("n0"), F.max("payload_bytes").alias("n1"), F.count("*").alias("n_records"))
     same = (F.col("h0") == F.col("h1")) & (F.col("n0") == F.col("n1"))
-    one.select("sha256", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payloads differ under digest "), F.col("sha256"))).cast("binary")).alias("payload")).write.parquet(f"{root}/payloads")
+    one.select("sha256", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payloads differ under digest "), F.col("sha256"))).cast("binary")).alias("payload"), "n_records").write.parquet(f"{root}/payloads")
 
-    keyed = rows.groupBy("page_id", "url", "sha256", "sha1", "payload_bytes").agg(F.count("*").alias("copies"))
-    first = keyed.groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("first"))
-    records = keyed.join(first, "sha256").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    keyed = materialise(rows.groupBy("page_id", "url", "sha256", "sha1", "payload_bytes").agg(F.count("*").alias("copies")), "warc-rows")
+    first = materialise(keyed.groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("m")), "warc-first")
+    many = first.filter(F.col("m") > max(1_000, keyed.count() // HOT_KEYS)).select("sha256")
+    records = spread_join(keyed, first.drop("m"), ["sha256"], many, F.xxhash64("page_id", "url")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     is_first = (F.struct("page_id", "url") == F.col("first")) & (F.col("copy") == 1)
     records = records.select(
         "page_id", "url", "copy", "sha256", "sha1", "payload_bytes", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"),
@@ -77,7 +80,9 @@ def read_archive(spark: SparkSession, root: str) -> DataFrame:
     """page_id, refers_to, header, payload (also a revisit's) and record: the bytes that a WARC file would hold."""
     stored = spark.read.parquet(f"{root}/payloads")
     sound = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("binary"))
-    whole = spark.read.parquet(f"{root}/records").join(stored.select("sha256", sound.alias("payload")), "sha256")
+    n_records = stored.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    many = stored.filter(F.col("n_records") > max(1_000, n_records // HOT_KEYS)).select("sha256")
+    whole = spread_join(spark.read.parquet(f"{root}/records"), stored.select("sha256", sound.alias("payload")), ["sha256"], many, F.col("header"))
     body = F.when(record_type(F.col("header")) == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
     return whole.select("page_id", "refers_to", "header", "payload", F.concat("header", body, F.lit(CRLF * 2).cast("binary")).alias("record"))
 
