@@ -12,9 +12,12 @@ WINDOW words beyond its outermost common gram, so that many words on each side g
 least ``min_words`` words then (GRAM + WINDOW - 1 at least); shorter ones are chance phrases and stay, unless they are lines.
 Offsets of removed spans are code points of the original text.
 
+Only texts that hold a repeated unit, or a first occurrence of one, have their words compared. Digests that very many rows
+share are dealt to several tasks. Very long texts are hashed in pieces; a worker holds the word hashes of one text.
+
 A null text counts as an empty one. Rows that agree in id and text are one occurrence: all of them keep what the first
-keeps, and each gets its row of the result. An empty table gives an empty table. Other columns are ignored by ``query``
-and kept by ``drop_repeats``.
+keeps, and each gets its row of the result; ties of rank do not arise otherwise. An empty table gives an empty table. Other
+columns, whatever their names, are ignored by ``query`` and kept by ``drop_repeats``.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import is_word, materialise, mix, row_key
+from .common import HOT_KEYS, code_points, light_batches, materialise, mix, pieces, row_key, spread_join, word_hashes
 
 GRAM = WINDOW = 12
 STEP = np.uint64(0x9E3779B97F4A7C15)
 POWERS = [np.uint64(pow(int(STEP), n, 1 << 64)) for n in (1, 2, 4)]
+BROADCAST_ROWS = 1_000_000
 PLACES = 4  # a unit's number is PLACES times its first word, plus 0 for a gram, 1 for a line, 2 for a paragraph
 
 
@@ -66,25 +70,33 @@ def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def _units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes, bytes]:
-    """Digests, numbers and word counts of the units of a text; hashes and lengths of its words, and the gaps before them."""
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of a text's words, and the line that each is in."""
     low = text.lower()
     if len(low) != len(text):  # some capitals have longer lower forms: these stay, so that offsets hold
         low = "".join(x if len(x) == 1 else y for x, y in ((ch.lower(), ch) for ch in text))
-    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    word = np.concatenate(([False], is_word(c), [False]))
-    starts, ends = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
-    n = len(starts)
+    found, at, line = [], 0, 0
+    for piece in pieces(low):
+        c = code_points(piece)
+        h, starts, ends = word_hashes(c)
+        breaks = np.flatnonzero(c == 10)
+        found.append((h, starts + at, ends + at, np.searchsorted(breaks, starts) + line))
+        at, line = at + len(c), line + len(breaks)
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none, none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, numbers and word counts of the units of a text."""
+    h, _, _, line = _words(text)
+    n = len(h)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, b"", b"", b""
-    lengths = ends - starts
-    chars = np.flatnonzero(word[1:-1])
-    place = chars - np.repeat(starts, lengths)
-    h = mix(_sums(mix(c[chars] + place.astype(np.uint64) * STEP), np.cumsum(lengths) - lengths))
+        return none, none, none
     at, grams = _grams(h)
     digests, numbers, sizes = [grams], [at * PLACES], [np.full(len(at), GRAM)]
-    line = np.searchsorted(np.flatnonzero(c == 10), starts)
     new = np.append(0, np.diff(line))
     first = None
     for kind, begins in ((1, new > 0), (2, new > 1)):
@@ -98,20 +110,29 @@ def _units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, bytes,
         digests.append(digest)
         numbers.append(first * PLACES + kind)
         sizes.append(size)
-    gaps = starts - np.append(0, ends[:-1])
-    return np.concatenate(digests).view(np.int64), np.concatenate(numbers), np.concatenate(sizes), (h >> np.uint64(32)).astype(np.uint32).tobytes(), _pack(lengths), _pack(gaps)
+    return np.concatenate(digests).view(np.int64), np.concatenate(numbers), np.concatenate(sizes)
 
 
-UNITS = "digests array<long>, numbers array<int>, sizes array<int>, words binary, lengths binary, gaps binary"
+def _table(text: str) -> tuple[bytes, bytes, bytes]:
+    """Hashes and lengths of a text's words, and the gaps before them."""
+    h, starts, ends, _ = _words(text)
+    return (h >> np.uint64(32)).astype(np.uint32).tobytes(), _pack(ends - starts), _pack(starts - np.append(0, ends[:-1])) if len(h) else b""
 
 
-def units(text: Column) -> Column:
-    @F.pandas_udf(UNITS)
-    def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _each(f, schema: str):
+    """f of a text as a column function."""
+
+    @F.pandas_udf(schema)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = [x.split(" ")[0] for x in schema.split(", ")]
         for texts in batches:
-            yield pd.DataFrame([_units(t or "") for t in texts], columns=["digests", "numbers", "sizes", "words", "lengths", "gaps"])
+            yield pd.DataFrame([f(t or "") for t in texts], columns=names)
+
+    return of
 
-    return cut_up(text)
+
+UNITS = "digests array<long>, numbers array<int>, sizes array<int>"
+WORDS = "words binary, lengths binary, gaps binary"
 
 
 def around():
@@ -188,15 +209,18 @@ def _same_row(id_col: str, key: str) -> Column:
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25) -> DataFrame:
     """A row for each row of docs: _id, key_a, n_units, and removed (structs of start, end, words)."""
-    rows = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col))[0], units(F.col(text_col)).alias("u")).select("_id", "key_a", "u.*")
-    rows = materialise(rows, "passage-units")
+    light_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("_id"), row_key(F.col(id_col), F.col(text_col))[0], F.col(text_col).alias("_text"))
+    rows = materialise(docs.select("_id", "key_a", _each(_units, UNITS)(F.col("_text")).alias("u")).select("_id", "key_a", "u.*"), "passage-units")
     each = rows.select("_id", "key_a", F.explode_outer(F.arrays_zip("digests", "numbers", "sizes")).alias("x")).select("_id", "key_a", F.col("x.digests").alias("digest"), F.col("x.numbers").alias("number"), F.col("x.sizes").alias("size"))
     # Digests are counted first, by themselves; only what is found twice takes its place in the ranking along.
-    twice = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    found = materialise(each.join(twice, "digest", "left_semi"), "passage-found")
+    twice = materialise(each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1 AND digest IS NOT NULL"), "passage-twice")
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = twice.filter(F.col("n") > max(1_000, total // HOT_KEYS)).select("digest")
+    found = materialise(spread_join(each, twice.select("digest"), ["digest"], hot, F.col("key_a"), "left_semi"), "passage-found")
     rank = F.struct(F.col("_id").isNull().alias("null_id"), F.col("_id"), F.col("key_a"), F.col("number"))
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"))
-    later = found.join(first, "digest").filter(rank != F.col("first"))
+    first = materialise(found.groupBy("digest").agg(F.min(rank).alias("first")), "passage-first")
+    later = spread_join(found, first, ["digest"], hot, F.col("key_a")).filter(rank != F.col("first"))
 
     # Of the grams of a run only the outermost go on.
     is_gram, nth = F.col("number") % PLACES == 0, Window.partitionBy("_id", "key_a", "gram").orderBy("number")
@@ -204,16 +228,21 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     later = later.filter(~F.col("gram") | F.col("opens") | F.col("closes"))
     later = materialise(later.select("_id", "key_a", "number", "size", "gram", "opens", "closes", F.col("first._id").alias("_fi"), F.col("first.key_a").alias("_fk"), F.col("first.number").alias("_fn")), "passage-later")
     wanted = later.filter("gram").groupBy("_fi", "_fk").agg(F.collect_set("_fn").alias("_wanted"))
-    sides = rows.select("_id", "key_a", "words").join(wanted, _same_row("_fi", "_fk")).select("_fi", "_fk", F.explode(around()("words", "_wanted")).alias("s"))
-    sides = sides.groupBy("_fi", "_fk", F.col("s.number").alias("_fn")).agg(F.first("s.before").alias("before"), F.first("s.after").alias("after"))  # equal rows are one
+
+    # The words of the texts on either side of a repeat.
+    keys = materialise(later.select("key_a").unionByName(wanted.select(F.col("_fk").alias("key_a"))).distinct(), "passage-keys")
+    texts = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key_a", "left_semi").dropDuplicates(["_id", "key_a"])
+    texts = materialise(texts.select("_id", "key_a", _each(_table, WORDS)(F.col("_text")).alias("t")).select("_id", "key_a", "t.*"), "passage-words")
+    sides = texts.select("_id", "key_a", "words").join(wanted, _same_row("_fi", "_fk")).select("_fi", "_fk", F.explode(around()("words", "_wanted")).alias("s"))
+    sides = sides.select("_fi", "_fk", F.col("s.number").alias("_fn"), "s.before", "s.after")
 
     hit = ["_id", "key_a", "number", "size", "opens", "closes"]
     grams = later.filter("gram").alias("l").join(sides.alias("s"), (F.col("l._fk") == F.col("s._fk")) & (F.col("l._fn") == F.col("s._fn")) & F.col("l._fi").eqNullSafe(F.col("s._fi"))).select(*hit, "before", "after")
     lines = later.filter("NOT gram").select(*hit, F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
     hits = grams.unionByName(lines).groupBy(F.col("_id").alias("_i"), F.col("key_a").alias("_k")).agg(F.collect_set(F.struct(*hit[2:], "before", "after")).alias("hits"))
-    out = rows.select("_id", "key_a", F.size("digests").alias("n_units"), "words", "lengths", "gaps").join(hits, _same_row("_i", "_k"), "left")
-    removed = F.when(F.col("hits").isNull(), F.array().cast(SPANS)).otherwise(runs(min_words)("words", "lengths", "gaps", F.coalesce("hits", F.array().cast(HITS))))
-    return out.select("_id", "key_a", "n_units", removed.alias("removed"))
+    spans = texts.join(hits, _same_row("_i", "_k")).select("_i", "_k", runs(min_words)("words", "lengths", "gaps", F.col("hits").cast(HITS)).alias("removed"))
+    out = rows.select("_id", "key_a", F.size("digests").alias("n_units")).join(spans, _same_row("_i", "_k"), "left")
+    return out.select("_id", "key_a", "n_units", F.coalesce("removed", F.array().cast(SPANS)).alias("removed"))
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
