@@ -3,23 +3,28 @@
 Benchmark items are normalised (lower-case words, one space between) and cut into overlapping segments of at most
 ``SEGMENT`` characters. A segment of m characters may be changed by k = error * m edits. Of its m // q disjoint q-grams each
 edit spoils one at most, so a region of a text within the budget still has m // q - k of them, all on diagonals at most
-2k apart (text position minus segment position). Hits are counted in bands of diagonals that overlap by half; bands that
-reach the count are verified by banded alignment, and a text holds an item if one of its segments aligns within k edits.
-Items are cut twice, into segments of SEGMENT characters that overlap by half and into those of QUOTE: long ones may have more edits in
-one place, and each quote of QUOTE * 3 / 2 - 1 = 119 normalised characters (some 20 words) holds a whole short one. The edits
-of a leak are the least of its longest segments found.
-
-All texts are searched whole, in Arrow batches, against the index of the benchmark. The benchmark is cut into parts by a
-hash of the item, as many as keep a part under ``PART_CHARS`` characters, so what a task gets is bounded; each part is a
-pass over the documents. A null text has no leaks. Items of null text, or with fewer than q characters, are not searched.
-Repeated rows are searched alike. Empty tables give an empty result. Other columns are ignored by ``query`` and kept by
-``drop_leaks``.
+2k apart (text position minus segment position). q is 8, or less for items under 16 characters, so that the lemma asks for
+one q-gram at least; items of less than 8 characters are their own only q-gram. Hits are counted in bands of diagonals that
+overlap by half; bands that reach the count are verified by an alignment that keeps to the band, and a text holds an item
+if one of its segments aligns within k edits.
+
+Items are cut twice, into segments of SEGMENT characters that overlap by half and into those of QUOTE: long ones may have
+more edits in one place, and each quote of QUOTE * 3 / 2 - 1 = 119 normalised characters (some 20 words) holds a whole short
+one. The edits of a leak are the least of its longest segments found, its span covers all segments found.
+
+All texts are searched whole, in small Arrow batches, against an index of the benchmark that each Python worker holds. The
+benchmark is cut into parts by a hash of the item, as many as keep a part near ``PART_CHARS`` characters; each part is a
+pass of its own over the documents, so neither the driver nor a task ever holds more than one part. Very long texts are
+hashed in pieces; a worker holds the code points of one text. A null text has no leaks. Items of null text, or without
+words, are not searched; a null item_id is an id like others, and repeated items are one. Repeated rows are searched alike. Ties of
+place are not told apart: a leak has the span of all its places. Empty tables give an empty result. Other columns,
+whatever their names, are ignored by ``query`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -27,177 +32,217 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_word
+from .common import code_points, is_word, light_batches, materialise
 
 Q, ERROR, SEGMENT, QUOTE = 8, 0.08, 160, 80
 PART_CHARS = 4_000_000
 BITS = 20
+CHUNK = 1 << 18
 LEAKS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
-def normal(text: str) -> np.ndarray:
-    """Code points of the lower-case words of a text, with one space between."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+def budget(length: int) -> int:
+    """How many edits a segment may have."""
+    return int(ERROR * length)
+
+
+def gram_length(length: int) -> int:
+    """The longest q up to Q of which the lemma still asks for one q-gram."""
+    return next(q for q in range(min(Q, length), 0, -1) if length // q > budget(length))
+
+
+def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-case words of a text with one space between, and the places of the text that they come from."""
+    low = text.lower()
+    c = code_points(low)
     word = is_word(c)
     keep = word.copy()
     keep[1:] |= word[:-1]
-    c = np.where(word, c, 32)[keep]
-    return c[:-1] if len(c) and c[-1] == 32 else c
+    at = np.flatnonzero(keep)
+    c = np.where(word[at], c[at], np.uint32(32))
+    if len(low) != len(text):  # some capitals have longer lower forms
+        at = np.repeat(np.arange(len(text)), [len(ch.lower()) for ch in text])[at] if len(low) == sum(len(ch.lower()) for ch in text) else np.minimum(at, len(text) - 1)
+    return (c[:-1], at[:-1]) if len(c) and c[-1] == 32 else (c, at)
 
 
-def gram_hashes(c: np.ndarray) -> np.ndarray:
+def gram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit polynomial hash of each q-gram: pairs, pairs of pairs and so on, put together by the binary digits of q."""
-    if len(c) < Q:
+    if len(c) < q:
         return np.zeros(0, dtype=np.uint64)
-    n, base = len(c) - Q + 1, 0x9E3779B97F4A7C15
+    n, base = len(c) - q + 1, 0x9E3779B97F4A7C15
     h, width, out, done = c.astype(np.uint64), 1, np.zeros(n, dtype=np.uint64), 0
-    while width <= Q:
-        if Q & width:
-            out = out * np.uint64(base) + h[done : done + n]
+    while width <= q:
+        if q & width:
+            out = out * np.uint64(pow(base, width, 1 << 64)) + h[done : done + n]
             done += width
-        h = h[:-width] * np.uint64(base) + h[width:]
-        width, base = 2 * width, base * base % (1 << 64)
+        if 2 * width <= q:
+            h = h[:-width] * np.uint64(pow(base, width, 1 << 64)) + h[width:]
+        width *= 2
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out
 
 
-class Index:
-    """Disjoint q-grams of all segments, ordered by hash, with a bit table of their top bits before them."""
+def cuts(length: int) -> list[tuple[int, int]]:
+    """Start and end of the segments of an item."""
+    return sorted({(at, min(at + size, length)) for size in (SEGMENT, QUOTE) for at in {0, *range(size // 2, length - size, size // 2), max(0, length - size)}})
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.segments, grams = [], []
-        for item, text in items:
-            n = normal(text or "")
-            for at, end in sorted({(at, min(at + size, len(n))) for size in (SEGMENT, QUOTE) for at in {0, *range(size // 2, len(n) - size, size // 2), max(0, len(n) - size)}}):
-                segment = n[at:end]
-                if len(segment) >= Q:
-                    grams += [(h, len(self.segments), p) for p, h in zip(range(0, len(segment) - Q + 1, Q), gram_hashes(segment)[::Q].tolist(), strict=True)]
-                    k = int(ERROR * len(segment))
-                    self.segments.append((item, segment, k, max(1, len(segment) // Q - k)))
-        grams.sort()
-        self.hashes = np.array([g[0] for g in grams], dtype=np.uint64)
-        self.of = np.array([g[1] for g in grams], dtype=np.int64)
-        self.at = np.array([g[2] for g in grams], dtype=np.int64)
+
+class Grams:
+    """The disjoint q-grams of segments for one q, ordered by hash, with a bit table of their top bits before them."""
+
+    def __init__(self, q: int, hashes: list[np.ndarray], of: list[int]) -> None:
+        self.q = q
+        sizes = [len(h) for h in hashes]
+        every, owner = np.concatenate(hashes), np.repeat(np.array(of, dtype=np.int64), sizes)
+        place = (np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * q
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.of, self.at = every[order], owner[order], place[order]
         self.table = np.zeros(1 << BITS, dtype=bool)
         self.table[self.hashes >> np.uint64(64 - BITS)] = True
+
+    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in c and the numbers of the q-grams found there; long texts in pieces."""
+        places, grams = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for start in range(0, len(c), CHUNK):
+            h = gram_hashes(c[start : start + CHUNK + self.q - 1], self.q)
+            pos = np.flatnonzero(self.table[h >> np.uint64(64 - BITS)])
+            low = np.searchsorted(self.hashes, h[pos])
+            n = np.searchsorted(self.hashes, h[pos], side="right") - low
+            places.append(np.repeat(pos + start, n))
+            grams.append(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
+        return np.concatenate(places), np.concatenate(grams)
+
+
+class Index:
+    """The segments of items (id, code points, budget, least number of q-grams), and their q-grams by q."""
+
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+        self.segments, hashes, of = [], {}, {}
+        for item, text in items:
+            n = normal(text)[0]
+            known = {}
+            for start, end in cuts(len(n)) if len(n) else []:
+                q, k = gram_length(end - start), budget(end - start)
+                known[q] = known[q] if q in known else gram_hashes(n, q)
+                hashes.setdefault(q, []).append(known[q][start : end - q + 1 : q])
+                of.setdefault(q, []).append(len(self.segments))
+                self.segments.append((item, n[start:end], k, (end - start) // q - k))
+        self.grams = [Grams(q, hashes[q], of[q]) for q in sorted(hashes)]
         self.least = np.array([s[3] for s in self.segments], dtype=np.int64)
-        self.width = max([1, *(2 * s[2] + 1 for s in self.segments)])
+        self.width = np.array([2 * s[2] + 1 for s in self.segments], dtype=np.int64)
 
-    def bands(self, c: np.ndarray) -> list[tuple[int, int]]:
+    def bands(self, c: np.ndarray) -> Iterator[tuple[int, int]]:
         """(segment, first diagonal) of the bands with enough of the segment's q-grams."""
-        h = gram_hashes(c)
-        pos = np.flatnonzero(self.table[h >> np.uint64(64 - BITS)])
-        if not len(self.least) or len(pos) < self.least.min():
-            return []
-        low = np.searchsorted(self.hashes, h[pos])
-        n = np.searchsorted(self.hashes, h[pos], side="right") - low
-        hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        seg = self.of[hit]
-        enough = np.bincount(seg, minlength=len(self.least)) >= self.least
-        if not enough.any():
-            return []
-        keep, left = enough[seg], np.flatnonzero(enough)
-        hit, seg, diagonal = hit[keep], (np.cumsum(enough) - 1)[seg[keep]], (np.repeat(pos, n) - self.at[hit] + SEGMENT)[keep]
-        # Band b holds the diagonals from b * width to (b + 2) * width; each diagonal lies in two.
-        n_bands = int(diagonal.max()) // self.width + 2
-        cell = seg * n_bands + diagonal // self.width + 1
-        cell, hit = np.concatenate((cell, cell - 1)), np.concatenate((hit, hit))
-        least = np.repeat(self.least[left], n_bands)
-        full = np.bincount(cell, minlength=len(least)) >= least
-        if not full.any():
-            return []
-        keep = full[cell]
-        found = np.unique(np.stack((cell[keep], hit[keep])), axis=1)[0]  # a q-gram counts once in a band
-        found, n = np.unique(found, return_counts=True)
-        return [(int(left[f // n_bands]), int(f % n_bands - 1) * self.width - SEGMENT) for f in found[n >= least[found]]]
-
-    def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) with code points of the text as given; the span covers all segments found."""
-        c = normal(text)
-        best: dict[int, tuple[int, int, tuple[int, int]]] = {}
+        for grams in self.grams:
+            pos, hit = grams.hits(c)
+            seg, which, count = np.unique(grams.of[hit], return_inverse=True, return_counts=True)
+            keep = (count >= self.least[seg])[which]
+            if not keep.any():
+                continue
+            hit, rank, width = hit[keep], which[keep], self.width[grams.of[hit[keep]]]
+            # Band b holds the diagonals from b * width to (b + 2) * width; each diagonal lies in two, and a q-gram counts once in a band.
+            band = (pos[keep] - grams.at[hit]) // width + SEGMENT + 1
+            n_bands, at = int(band.max()) + 1, grams.at[hit] // grams.q
+            cells = np.unique(np.concatenate([(rank * n_bands + b) * SEGMENT + at for b in (band, band - 1)])) // SEGMENT
+            cells, count = np.unique(cells, return_counts=True)
+            found = cells[count >= self.least[seg[cells // n_bands]]]
+            yield from ((s, (b - SEGMENT - 1) * int(self.width[s])) for s, b in zip(seg[found // n_bands].tolist(), (found % n_bands).tolist(), strict=True))
+
+    def leaks(self, text: str) -> list[tuple[int | None, int, int, int]]:
+        """(item, start, end, edits) with code points of the text as given."""
+        c, at = normal(text)
+        best: dict[int | None, tuple[int, int, tuple[int, int]]] = {}
         for seg, diagonal in self.bands(c):
             item, pattern, k, _ = self.segments[seg]
-            low, high = max(0, diagonal - k), min(len(c), diagonal + 2 * self.width + len(pattern) + k)
-            if found := align(pattern, c[low:high], k):
-                edits, start, end = found[0], low + found[1], low + found[2]
+            if found := align(pattern, c, diagonal - k, diagonal + 2 * int(self.width[seg]) + k, k):
+                edits, start, end = found
                 least = (-len(pattern), edits)
                 first, last, other = best.get(item, (start, end, least))
                 best[item] = (min(first, start), max(last, end), min(least, other))
-        if not best:
-            return []
-        where = origins(text)
-        return sorted((item, where[start], where[end - 1] + 1, edits) for item, (start, end, (_, edits)) in best.items())
-
-
-def align(pattern: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best place of the pattern in the region, if it has k edits at most."""
-    at = region.tobytes().find(pattern.tobytes())
-    if at >= 0 and not at % 4:
-        return 0, at // 4, at // 4 + len(pattern)
-    n = len(region)
-    steps = np.arange(n + 1)
-    cost, start = np.zeros(n + 1, dtype=np.int64), steps.copy()
-    for i, p in enumerate(pattern, 1):
-        diagonal = cost[:-1] + (region != p)
-        up = cost[1:] + 1
-        new = np.concatenate(([i], np.minimum(diagonal, up)))
-        origin = np.concatenate(([0], np.where(diagonal <= up, start[:-1], start[1:])))
-        slid = np.minimum.accumulate((new - steps) * (n + 1) + steps)  # the best cell to come from on the left
-        by = slid % (n + 1)
+        return [(item, int(at[start]), int(at[end - 1]) + 1, edits) for item, (start, end, (_, edits)) in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
+
+
+def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best place of the pattern on the diagonals low to high of the text, if it has k edits at most."""
+    m, band = len(pattern), high - low + 1
+    exact = text[max(low, 0) : max(high + m, 0)].tobytes().find(pattern.tobytes())
+    if exact >= 0 and not exact % 4:
+        return 0, max(low, 0) + exact // 4, max(low, 0) + exact // 4 + m
+    # Cell b of row i is the end of i pattern characters at text position low + b + i.
+    region = np.full(band + m, -1, dtype=np.int64)
+    first, last = max(low, 0), min(low + band + m, len(text))
+    region[first - low : max(last, first) - low] = text[first:last]
+    steps, far = np.arange(band), 1 << 40
+    cost, start = np.where((steps + low >= 0) & (steps + low <= len(text)), 0, far), steps + low
+    for i, p in enumerate(pattern.tolist(), 1):
+        new, origin = cost + (region[i - 1 : i - 1 + band] != p), start.copy()
+        up = new[:-1] > cost[1:] + 1
+        new[:-1][up], origin[:-1][up] = cost[1:][up] + 1, start[1:][up]
+        by = np.minimum.accumulate((new - steps) * (band + 1) + steps) % (band + 1)  # the best cell to come from on the left
         cost, start = new[by] + steps - by, origin[by]
+        if low + i < 0 or low + i + band > len(text) + 1:
+            cost[(steps + low + i < 0) | (steps + low + i > len(text))] = far
         if cost.min() > k:
             return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(start[end]), end) if cost[end] <= k and start[end] < end else None
-
-
-def origins(text: str) -> list[int]:
-    """For each code point of normal(text), the place of the character of text that it comes from."""
-    out, space = [], True
-    for i, ch in enumerate(text):
-        for x in ch.lower():
-            word = x.isalnum() if ord(x) < 1 << 16 else True
-            if word or not space:
-                out.append(i)
-            space = not word
-    return out[:-1] if space and out else out
-
-
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in parts of bounded size, one at a time."""
-    total = benchmark.agg(F.sum(F.length("text") + 50)).first()[0] or 0
-    n = ceil(total / PART_CHARS)
-    for i in range(n):
-        rows = benchmark.filter("text IS NOT NULL").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", "text")
-        yield [(r["item_id"], r["text"]) for r in rows.toLocalIterator()]
+    b = int(cost.argmin())
+    end = low + b + m
+    return (int(cost[b]), int(start[b]), end) if start[b] < end else None
+
 
+def _n_parts(benchmark: DataFrame) -> int:
+    return ceil((benchmark.agg(F.sum(F.length("text") + 50)).first()[0] or 0) / PART_CHARS)
 
-def leaks(docs_text: Column, benchmark: DataFrame) -> Column:
-    """The leaks of a text: structs of item_id, start, end, edits."""
-    context = benchmark.sparkSession.sparkContext
 
-    def search(items: list[tuple[int, str]]) -> Column:
-        shared = context.broadcast(items)
+_HELD: dict[str, Index] = {}
 
-        @F.pandas_udf(LEAKS)
-        def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Index(shared.value)
-            for texts in batches:
-                yield pd.Series([index.leaks(t) if t else [] for t in texts])
 
-        return find(docs_text)
+def _held(number: str, items: list[tuple[int | None, str]]) -> Index:
+    """The index of a part, kept by a worker until it meets another part."""
+    if number not in _HELD:
+        _HELD.clear()
+        _HELD[number] = Index(items)
+    return _HELD[number]
 
-    found = [search(items) for items in _parts(benchmark)]
-    return reduce(F.concat, found) if found else F.array().cast(LEAKS)
+
+def leaks(text: Column, benchmark: DataFrame, part: int, n_parts: int) -> Column:
+    """The leaks of a text in a part of the benchmark: structs of item_id, start, end, edits."""
+    rows = benchmark.filter("text IS NOT NULL").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).select("item_id", "text").distinct()
+    shared, number = benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows.toLocalIterator()]), uuid.uuid4().hex
+
+    @F.pandas_udf(LEAKS)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = _held(number, shared.value)
+        for texts in batches:
+            yield pd.Series([index.leaks(t) if t else [] for t in texts])
+
+    return find(text)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no benchmark item."""
-    return docs.filter(F.size(leaks(F.col("text"), benchmark)) == 0)
+    light_batches(docs.sparkSession)
+    n = _n_parts(benchmark)
+    for i in range(n):
+        docs = docs.filter(F.size(leaks(F.col("text"), benchmark, i, n)) == 0)
+        docs = materialise(docs, "leaks-left") if i < n - 1 else docs
+    return docs
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end (code points of the text) and edits, for each leak."""
-    found = docs.select("doc_id", leaks(F.col("text"), benchmark).alias("leaks"))
-    # Outer, then without nulls: explode() alone makes Spark infer a filter that searches each text twice.
-    return found.select("doc_id", F.explode_outer("leaks").alias("x")).filter("x IS NOT NULL").select("doc_id", F.col("x.item_id").alias("item_id"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.edits").alias("edits"))
+    light_batches(docs.sparkSession)
+    n = _n_parts(benchmark)
+
+    def search(part: int) -> DataFrame:
+        found = docs.select("doc_id", leaks(F.col("text"), benchmark, part, n).alias("leaks"))
+        # Outer, then without nulls: explode() alone makes Spark infer a filter that searches each text twice.
+        found = found.select("doc_id", F.explode_outer("leaks").alias("x")).filter("x IS NOT NULL")
+        return found.select("doc_id", F.col("x.item_id").alias("item_id"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.edits").alias("edits"))
+
+    if n <= 1:
+        return search(0) if n else docs.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), *[F.lit(None).cast("int").alias(c) for c in ("start", "end", "edits")])
+    out = materialise(search(0), "leaks")
+    for i in range(1, n):
+        out = out.unionByName(materialise(search(i), "leaks"))
+    return out
