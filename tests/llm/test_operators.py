@@ -417,7 +417,7 @@ def test_mixing_of_many_sources_and_of_overlap(spark):
     pairs = [(i, prose(rng, 10), [["a"], ["a", "b"], ["c"]][i % 3]) for i in range(90)]
     df = spark.createDataFrame(pairs, "doc_id long, text string, p array<string>")
     rows = mixing.materialise(mixing.light(df, 1, pattern=mixing.F.col("p")).drop("text", "p"), "mix-test")
-    chosen, sources = mixing.plan(rows)
+    chosen, sources, _ = mixing.plan(rows)
     target = {r.source: r.target for r in sources.collect()}
     assert target == pytest.approx(mixing.source_targets({"a": 600, "b": 300, "c": 300}))
     sizes = {("a",): 300, ("a", "b"): 300}
