@@ -24,6 +24,11 @@ def split_words(c: Column) -> Column:
     return F.array_remove(F.split(c, BLANKS), "")
 
 
+def count_words(c: Column) -> Column:
+    """How many words split_words() gives, without making them."""
+    return F.regexp_count(c, F.lit(BLANKS.replace("[", "[^", 1)))
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once however often body refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -64,34 +69,38 @@ def starts_word(token: Column) -> Column:
     return token.startswith(SPACE)
 
 
-def all_cjk(c: Column) -> Column:
-    """Whether a text has CJK characters alone, spaces and sentence marks aside."""
-    return F.regexp_replace(c, r" |</s>|<s>|<unk>|<OOV>", "").rlike(f"^{CJK}+$")
+# Tokens that beautify leaves out, and marks that count as nothing in a token.
+SILENT, MARKS = ("<sos>", "<eos>", "<blank>"), r" |</s>|<s>|<unk>|<OOV>"
+
+
+def joins(c: Column) -> Column:
+    """Whether a token joins its neighbours: CJK characters, digits and at signs alone, but for marks."""
+    return F.regexp_replace(c, MARKS, "").rlike("^[\u4e00-\u9fff0-9@]+$")
 
 
 def beautify(tokens: Column) -> Column:
-    """Tokens as readable text: CJK joined, pieces that end in @@ joined with what follows, spaces after other words."""
-    kept = F.filter(tokens, lambda t: ~t.isin("<sos>", "<eos>", "<blank>"))
-    alpha = lambda t: F.regexp_replace(t, r"</s>|<s>|<unk>|<OOV>", "").rlike(r"(?U)^[\p{L}']+$") & ~t.rlike(CJK)
-    letters = F.forall(kept, lambda t: alpha(F.replace(t, F.lit("@@"), F.lit(""))))
-    piece = lambda t: F.replace(t, F.lit("@@"), F.lit(""))
-
-    def words(acc: Column, t: Column) -> Column:
-        done = ~t.contains("@@")
-        return F.struct(F.concat(acc["out"], F.when(done, F.concat(acc["word"], t, F.lit(" "))).otherwise("")).alias("out"), F.when(done, "").otherwise(F.concat(acc["word"], piece(t))).alias("word"), F.lit(False).alias("blank"))
-
-    def mixed(acc: Column, t: Column) -> Column:
-        trimmed = F.when(acc["blank"], F.regexp_replace(acc["out"], " $", "")).otherwise(acc["out"])
-        return (
-            F.when(all_cjk(t), F.struct(F.concat(trimmed, t).alias("out"), acc["word"].alias("word"), F.lit(False).alias("blank")))
-            .when(t.contains("@@"), F.struct(acc["out"].alias("out"), F.concat(acc["word"], piece(t)).alias("word"), F.lit(False).alias("blank")))
-            .when(alpha(t), F.struct(F.concat(acc["out"], acc["word"], t, F.lit(" ")).alias("out"), F.lit("").alias("word"), F.lit(True).alias("blank")))
-            .otherwise(F.struct(F.concat(acc["out"], t).alias("out"), acc["word"].alias("word"), F.lit(False).alias("blank")))
-        )
-
-    start = F.struct(F.lit("").alias("out"), F.lit("").alias("word"), F.lit(False).alias("blank"))
-    fold = lambda f: F.aggregate(kept, start, f, lambda acc: strip(acc["out"]))
-    return F.when(F.forall(kept, all_cjk), strip(F.replace(F.array_join(kept, ""), F.lit(" "), F.lit("")))).when(letters, fold(words)).otherwise(fold(mixed))
+    """Tokens as readable text.
+
+    Pieces (with @@) go before the next word. A word (letters and apostrophes) has a space behind it, unless the next token
+    joins its neighbours. Everything else stands as it is; where all tokens join, their spaces go too.
+    """
+    kept = F.filter(tokens, lambda t: ~t.isin(*SILENT))
+    word = lambda t: F.regexp_replace(t, MARKS, "").rlike(r"(?U)^[\p{L}']+$") & ~t.rlike(CJK)
+    kind = lambda t: F.when(joins(t), "join").when(t.contains("@@"), "piece").when(word(t), "word").otherwise("other")
+    rows = F.transform(kept, lambda t: F.struct(t.alias("t"), kind(t).alias("kind")))
+
+    def readable(x: Column) -> Column:
+        def part(row: Column, i: Column) -> Column:
+            since = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(-1), i - 1), lambda j: F.get(x, j)["kind"] == "word")), F.lit(-1))
+            pieces = F.filter(F.slice(x, since + 2, i - since - 1), lambda r: r["kind"] == "piece")
+            before = F.array_join(F.transform(pieces, lambda r: F.replace(r["t"], F.lit("@@"), F.lit(""))), "")
+            space = F.when(F.coalesce(F.get(x, i + 1)["kind"] == "join", F.lit(False)), "").otherwise(" ")
+            return F.when(row["kind"] == "word", F.concat(before, row["t"], space)).when(row["kind"] == "piece", "").otherwise(row["t"])
+
+        whole = F.array_join(F.transform(x, part), "")
+        return F.when(F.forall(x, lambda r: r["kind"] == "join"), F.replace(whole, F.lit(" "), F.lit(""))).otherwise(strip(whole))
+
+    return bind(rows, readable)
 
 
 def job_id(key: Column) -> Column:

@@ -15,7 +15,12 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 def rare_words(counts: DataFrame, threshold: int = 20) -> DataFrame:
     """Words of letters alone that are seen threshold times at most."""
-    return counts.filter(F.col("word").rlike(r"^\p{L}+$") & (F.col("freq") <= threshold)).select("word")
+    return rare_counts(counts, threshold).select("word")
+
+
+def rare_counts(counts: DataFrame, threshold: int = 20) -> DataFrame:
+    """The rows of counts (word, freq) of rare words. Only words that are rare meet the pattern, so it stays behind the count."""
+    return counts.filter(F.when(F.col("freq") <= threshold, F.col("word")).rlike(r"^\p{L}+$"))
 
 
 def bias_phrases(df: DataFrame, rare: DataFrame, key: str = "key", text: str = "txt", n_order: int = 3, p_keep: float = 1.0, seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import uniform
-from ..functions.text import SWITCH, bind, split_words, strip
+from ..functions.text import SWITCH, bind, count_words, split_words, strip
 
 
 @dataclass(frozen=True)
@@ -29,12 +29,17 @@ def n_frames(samples: Column, sample_rate: Column) -> Column:
 
 def length_reason(frames: Column, n_tokens: Column, b: Bounds = Bounds()) -> Column:
     """The first bound that an utterance breaks, or null."""
-    has, ratio = n_tokens.isNotNull(), n_tokens / F.when(frames != 0, frames)
-    return (
-        F.when(frames < b.min_length, "minlen").when(frames > b.max_length, "maxlen")
-        .when(has & (n_tokens < b.token_min_length), "lbl_minlen").when(has & (n_tokens > b.token_max_length), "lbl_maxlen")
-        .when(has & (ratio < b.min_output_input_ratio), "min_ratio").when(has & (ratio > b.max_output_input_ratio), "max_ratio")
-    )
+
+    def reason(x: Column) -> Column:
+        f, n, ratio = x["frames"], x["n"], x["n"] / F.when(x["frames"] != 0, x["frames"])
+        has = n.isNotNull()
+        return (
+            F.when(f < b.min_length, "minlen").when(f > b.max_length, "maxlen")
+            .when(has & (n < b.token_min_length), "lbl_minlen").when(has & (n > b.token_max_length), "lbl_maxlen")
+            .when(has & (ratio < b.min_output_input_ratio), "min_ratio").when(has & (ratio > b.max_output_input_ratio), "max_ratio")
+        )
+
+    return bind(F.struct(frames.alias("frames"), n_tokens.alias("n")), reason)
 
 
 def length_filter(df: DataFrame, frames: Column, n_tokens: Column, b: Bounds = Bounds()) -> DataFrame:
@@ -57,16 +62,21 @@ def language_tally(df: DataFrame, text: Column, key: Column, keep_untagged: floa
 
 def speech_rate_reason(text: Column, seconds: Column) -> Column:
     """A reject code where words a second pass what the length allows, or null."""
-    rate = F.size(split_words(F.replace(text, F.lit(f"{SWITCH} "), F.lit(" ")))) / seconds
-    return (
-        F.when((seconds <= 1) & (rate > 5), "reject_1").when((seconds > 1) & (seconds <= 2) & (rate > 8), "reject_2")
-        .when((seconds > 2) & (seconds <= 5) & (rate > 6), "reject_5").when((seconds > 5) & (rate > 5), "reject_9")
-    )
+    rate = count_words(F.replace(text, F.lit(f"{SWITCH} "), F.lit(" "))) / seconds
+
+    def reason(x: Column) -> Column:
+        s, r = x["s"], x["r"]
+        return (
+            F.when((s <= 1) & (r > 5), "reject_1").when((s > 1) & (s <= 2) & (r > 8), "reject_2")
+            .when((s > 2) & (s <= 5) & (r > 6), "reject_5").when((s > 5) & (r > 5), "reject_9")
+        )
+
+    return bind(F.struct(seconds.alias("s"), rate.alias("r")), reason)
 
 
 def long_single_word(text: Column, seconds: Column, too_long: float = 1.5, words: list[str] | None = None) -> Column:
     """Whether an utterance is one word (of the list, if given) that lasts too long."""
-    one = (F.size(split_words(text)) == 1) & (seconds >= too_long)
+    one = (seconds >= too_long) & (count_words(text) == 1)
     return one & strip(text).isin(words) if words is not None else one
 
 
@@ -111,7 +121,9 @@ def clean_special(text: Column, conf: SpecialTokens) -> Column:
 
 def special_tokens(df: DataFrame, conf: SpecialTokens, text: str = "txt") -> DataFrame:
     """df with cleaned text, the old one as otxt, without rejected or empty utterances."""
-    return df.withColumn("otxt", F.col(text)).withColumn(text, clean_special(F.col(text), conf)).filter(F.col(text).isNotNull())
+    # Exploded from an array of one or none, so that each text is cleaned once, whatever follows.
+    cleaned = df.select("*", F.explode(F.array_compact(F.array(clean_special(F.col(text), conf)))).alias("_clean"))
+    return cleaned.withColumn("otxt", F.col(text)).withColumn(text, F.col("_clean")).drop("_clean")
 
 
 def speaker_ids(df: DataFrame, speakers: DataFrame, on: str = "speaker") -> DataFrame:

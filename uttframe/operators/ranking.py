@@ -75,13 +75,13 @@ def with_blank_penalty(frames: DataFrame, scores: str, penalty: float, blank: in
     return frames.withColumn(scores, blank_penalty(F.col(scores), penalty, blank))
 
 
-CONDITIONS = ("plain", "tel", "reverb", "tel_reverb")
+CONDITIONS = ("plain", "tel", "echo", "tel_echo")
 
 
-def loss_table(losses: DataFrame) -> DataFrame:
-    """A row for each dataset and checkpoint from (dataset, checkpoint, condition, loss, acc_att)."""
-    wide = losses.groupBy("dataset", "checkpoint").pivot("condition", list(CONDITIONS)).agg(F.first("loss").alias("loss"), F.first("acc_att").alias("acc_att"))
-    named = [F.col(f"{c}_{m}").alias(m if c == "plain" else f"{m}_{c}") for c in CONDITIONS for m in ("loss", "acc_att")]
+def loss_table(losses: DataFrame, conditions: tuple[str, ...] = CONDITIONS) -> DataFrame:
+    """A row for each dataset and checkpoint from (dataset, checkpoint, condition, loss, acc_att); the first condition gives the plain names."""
+    wide = losses.groupBy("dataset", "checkpoint").pivot("condition", list(conditions)).agg(F.first("loss").alias("loss"), F.first("acc_att").alias("acc_att"))
+    named = [F.col(f"{c}_{m}").alias(m if c == conditions[0] else f"{m}_{c}") for c in conditions for m in ("loss", "acc_att")]
     return wide.select("dataset", "checkpoint", *named)
 
 

@@ -48,29 +48,42 @@ def edit_counts(ref: list[str], hyp: list[str], same: dict[str, str] | None = No
     ids: dict[str, int] = {}
     r = np.array([ids.setdefault(w, len(ids)) for w in ref], dtype=np.int32)
     h = np.array([ids.setdefault(w, len(ids)) for w in hyp], dtype=np.int32)
-    steps = np.arange(len(h) + 1)
-    cost, moves = steps.copy(), np.zeros((len(r) + 1, len(h) + 1), dtype=np.int8)
-    moves[0, 1:] = 3
-    for i, w in enumerate(r, 1):
-        diagonal, up = cost[:-1] + (h != w), cost[1:] + 1
-        new = np.concatenate(([i], np.minimum(diagonal, up)))
-        slid = np.minimum.accumulate(new - steps) + steps
-        moves[i, 0] = 2
-        moves[i, 1:] = np.where(slid[1:] == diagonal, 1, np.where(slid[1:] == up, 2, 3))
-        cost = slid
+    # Costs are kept for one row in so many; the moves of the rows between are made again on the way back.
+    every = max(1, int(len(r) ** 0.5))
+    kept, cost = [], np.arange(len(h) + 1)
+    for i in range(len(r) + 1):
+        if i % every == 0:
+            kept.append(cost)
+        if i < len(r):
+            cost = _next_row(cost, h != r[i], i + 1)[0]
     i, j, n = len(r), len(h), [0, 0, 0, 0]
-    while i or j:
-        move = moves[i, j]
-        if move == 1:
-            n[0 if r[i - 1] == h[j - 1] else 1] += 1
-            i, j = i - 1, j - 1
-        elif move == 2:
-            n[2] += 1
-            i -= 1
-        else:
-            n[3] += 1
-            j -= 1
-    return n[0], n[1], n[2], n[3]
+    for block in range(len(kept) - 1, -1, -1):
+        first, cost, moves = block * every, kept[block], []
+        for k in range(first, i):
+            cost, move = _next_row(cost, h != r[k], k + 1)
+            moves.append(move)
+        while i > first:
+            move = moves[i - first - 1][j]
+            if move == 1:
+                n[0 if r[i - 1] == h[j - 1] else 1] += 1
+                i, j = i - 1, j - 1
+            elif move == 2:
+                n[2] += 1
+                i -= 1
+            else:
+                n[3] += 1
+                j -= 1
+    return n[0], n[1], n[2], n[3] + j
+
+
+def _next_row(cost: np.ndarray, differs: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row i of the table of costs from the one before, and its moves: 1 diagonal, 2 up, 3 left."""
+    steps = np.arange(len(cost))
+    diagonal, up = cost[:-1] + differs, cost[1:] + 1
+    new = np.minimum.accumulate(np.concatenate(([i], np.minimum(diagonal, up))) - steps) + steps
+    moves = np.full(len(cost), 2, dtype=np.int8)
+    moves[1:] = np.where(new[1:] == diagonal, 1, np.where(new[1:] == up, 2, 3))
+    return new, moves
 
 
 def align(df: DataFrame, key: str, ref: str, hyp: str, same: dict[str, str] | None = None) -> DataFrame:

@@ -17,12 +17,9 @@ def assign_speakers(words: DataFrame, segments: DataFrame, bucket: float = 10.0)
     segments gives the empty label. Segments that span several buckets are matched in the first bucket that both share.
     """
     w = words.withColumn("end", F.col("start") + F.col("dur"))
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))
     s = segments.select("file", F.col("start").alias("s"), F.col("end").alias("e"), "label")
-    spread = s.withColumn("cell", F.explode(cells("s", "e")))
-    pairs = w.select("file", "word_id", "start", "end").withColumn("cell", F.explode(cells("start", "end"))).join(spread, ["file", "cell"])
-    first = F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("s") / bucket)) == F.col("cell")
-    hits = pairs.filter((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")) & first)
+    pairs = _in_cells(w.select("file", "word_id", "start", "end"), s, bucket)
+    hits = pairs.filter((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
     overlap = F.least("end", "e") - F.greatest("start", "s")
     by_label = hits.groupBy("file", "word_id", "label").agg(F.sum(overlap).alias("overlap"), F.min("s").alias("first"))
     best = by_label.groupBy("file", "word_id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "first", "label")).alias("best")).select("file", "word_id", F.col("best.label").alias("_hit"))
@@ -37,7 +34,7 @@ def assign_speakers(words: DataFrame, segments: DataFrame, bucket: float = 10.0)
     left = _running(before, lost.select("file", F.col("start").alias("t"), "word_id"), F.max, F.asc("t")).withColumnRenamed("x", "b")
     right = _running(after, lost.select("file", F.col("end").alias("t"), "word_id"), F.min, F.desc("t")).withColumnRenamed("x", "a")
     # A word without length may also lie inside a segment, at no distance.
-    around = pairs.filter((F.col("start") == F.col("end")) & (F.col("s") <= F.col("start")) & (F.col("start") <= F.col("e")) & first).groupBy("file", "word_id").agg(F.min(F.struct("s", "label")).alias("i"))
+    around = pairs.filter((F.col("start") == F.col("end")) & (F.col("s") <= F.col("start")) & (F.col("start") <= F.col("e"))).groupBy("file", "word_id").agg(F.min(F.struct("s", "label")).alias("i"))
     gap = lambda g, s_, label: F.struct(g.alias("gap"), s_.alias("s"), label.alias("label"))
     near = lost.select("file", "word_id", "start", "end").join(left, ["file", "word_id"]).join(right, ["file", "word_id"]).join(around, ["file", "word_id"], "left")
     near = near.select("file", "word_id", F.least(
@@ -48,6 +45,13 @@ def assign_speakers(words: DataFrame, segments: DataFrame, bucket: float = 10.0)
     return out.withColumn("speaker", F.coalesce("_hit", "_near", F.lit(""))).drop("_hit", "_near", "end")
 
 
+def _in_cells(words: DataFrame, segments: DataFrame, bucket: float) -> DataFrame:
+    """Words (start, end) and segments (s, e) of a file that share a time bucket, each pair in the first one."""
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))
+    pairs = words.withColumn("cell", F.explode(cells("start", "end"))).join(segments.withColumn("cell", F.explode(cells("s", "e"))), ["file", "cell"])
+    return pairs.filter(F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("s") / bucket)) == F.col("cell"))
+
+
 def _running(points: DataFrame, words: DataFrame, best: Callable, order: Column) -> DataFrame:
     """For each word, the best x of the file's points up to its time, in the order given."""
     line = points.unionByName(words, allowMissingColumns=True)
@@ -55,7 +59,9 @@ def _running(points: DataFrame, words: DataFrame, best: Callable, order: Column)
     return line.withColumn("x", best("x").over(w)).filter("word_id IS NOT NULL").select("file", "word_id", "x")
 
 
-def overlap_seconds(words: DataFrame, segments: DataFrame) -> DataFrame:
+def overlap_seconds(words: DataFrame, segments: DataFrame, bucket: float = 10.0) -> DataFrame:
     """Seconds that each speaker's segments overlap the words of a file."""
-    pairs = words.withColumn("end", F.col("start") + F.col("dur")).alias("w").join(segments.alias("s"), (F.col("w.file") == F.col("s.file")) & (F.col("s.start") < F.col("w.end")) & (F.col("w.start") < F.col("s.end")))
-    return pairs.groupBy(F.col("w.file").alias("file"), F.col("s.label").alias("label")).agg(F.sum(F.least("w.end", "s.end") - F.greatest("w.start", "s.start")).alias("seconds"))
+    w = words.withColumn("end", F.col("start") + F.col("dur")).select("file", "start", "end")
+    s = segments.select("file", F.col("start").alias("s"), F.col("end").alias("e"), "label")
+    pairs = _in_cells(w, s, bucket).filter((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
+    return pairs.groupBy("file", "label").agg(F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("seconds"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..functions.stage import stage_path
+from ..functions.stage import materialise, stage_path
 from ..operators import alignment, batching, features, ranking, sequences, speakers
 from ..sources import sinks
 from ..streaming import jobs
@@ -42,15 +42,15 @@ TIMED = f"""WITH e AS (SELECT conv_id, turn, role, unnest({WORDS}) AS word, gene
     a AS (SELECT t.file, coalesce(hit.label, g.label, '') AS speaker FROM t LEFT JOIN hit USING (file, word_id) LEFT JOIN (SELECT * FROM g WHERE n = 1) g USING (file, word_id))
     SELECT file, speaker, count(*) AS n_words FROM a GROUP BY ALL""")
 def speaker_words(t: Tables) -> DataFrame:
-    words = _words(t)
+    words = materialise(_words(t), "words")
     found = speakers.assign_speakers(words.select("file", "word_id", "start", "dur"), _segments(words), bucket=10_000.0)
     return found.groupBy("file", "speaker").agg(F.count("*").alias("n_words"))
 
 
 @query(f"{TIMED} SELECT file, label, sum(least(we, e) - greatest(ws, s)) AS seconds FROM t JOIN s USING (file) WHERE s < we AND ws < e GROUP BY ALL")
 def overlap_seconds(t: Tables) -> DataFrame:
-    words = _words(t)
-    return speakers.overlap_seconds(words.select("file", "word_id", "start", "dur"), _segments(words))
+    words = materialise(_words(t), "words")
+    return speakers.overlap_seconds(words.select("file", "word_id", "start", "dur"), _segments(words), bucket=10_000.0)
 
 
 def _frames(t: Tables) -> DataFrame:

@@ -99,7 +99,7 @@ def skip_processed(t: Tables) -> DataFrame:
 
 
 @query("""SELECT o_orderstatus AS dataset, o_orderpriority AS checkpoint, max(o_totalprice) FILTER (WHERE o_orderkey % 4 = 0) AS loss, min(o_totalprice) FILTER (WHERE o_orderkey % 4 = 0) AS acc_att, max(o_totalprice) FILTER (WHERE o_orderkey % 4 = 1) AS loss_tel, min(o_totalprice) FILTER (WHERE o_orderkey % 4 = 1) AS acc_att_tel,
-    max(o_totalprice) FILTER (WHERE o_orderkey % 4 = 2) AS loss_reverb, min(o_totalprice) FILTER (WHERE o_orderkey % 4 = 2) AS acc_att_reverb, max(o_totalprice) FILTER (WHERE o_orderkey % 4 = 3) AS loss_tel_reverb, min(o_totalprice) FILTER (WHERE o_orderkey % 4 = 3) AS acc_att_tel_reverb FROM orders GROUP BY ALL""")
+    max(o_totalprice) FILTER (WHERE o_orderkey % 4 = 2) AS loss_echo, min(o_totalprice) FILTER (WHERE o_orderkey % 4 = 2) AS acc_att_echo, max(o_totalprice) FILTER (WHERE o_orderkey % 4 = 3) AS loss_tel_echo, min(o_totalprice) FILTER (WHERE o_orderkey % 4 = 3) AS acc_att_tel_echo FROM orders GROUP BY ALL""")
 def loss_table(t: Tables) -> DataFrame:
     condition = F.element_at(F.array(*[F.lit(c) for c in ranking.CONDITIONS]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     each = t.orders.groupBy(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("checkpoint"), condition.alias("condition")).agg(F.max("o_totalprice").alias("loss"), F.min("o_totalprice").alias("acc_att"))

@@ -17,7 +17,7 @@ BOUNDS = filters.Bounds(max_length=5000, min_length=300, token_max_length=800, m
 
 
 def _n_words() -> F.Column:
-    return F.size(T.split_words(F.col("text")))
+    return T.count_words(F.col("text"))
 
 
 @query(f"SELECT lang, {REASON} AS reason, count(*) AS n FROM (SELECT lang, n_chars AS f, len({WORDS}) AS n FROM documents) GROUP BY ALL")
@@ -76,8 +76,7 @@ def subword_clean(t: Tables) -> DataFrame:
 
 @query(f"SELECT word, count(*) AS freq FROM (SELECT unnest({WORDS}) AS word FROM documents) WHERE regexp_matches(word, '^\\p{{L}}+$') GROUP BY word HAVING count(*) <= 20")
 def rare_words(t: Tables) -> DataFrame:
-    counts = bias.word_counts(t.documents, "text")
-    return counts.join(bias.rare_words(counts), "word", "left_semi")
+    return bias.rare_counts(bias.word_counts(t.documents, "text"))
 
 
 @query()

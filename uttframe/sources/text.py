@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import BRACKETED, strip
 
 UTTERANCE = "key string, wav string, txt string, start double, end double, speaker string, lang string"
-LOSS = "dataset string, checkpoint string, loss double, acc_att double, time_to_process double, loss_tel double, acc_att_tel double, loss_reverb double, acc_att_reverb double, loss_tel_reverb double, acc_att_tel_reverb double"
+LOSS = ("dataset string", "checkpoint string", "time_to_process double", "loss double", "acc_att double")
 ALIGNMENT = "wer struct<bestWER: struct<insertions: bigint, deletions: bigint, substitutions: bigint, numErrors: bigint, numWordsInReference: bigint>>"
 
 
@@ -76,8 +76,10 @@ def word_frequencies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("word", "freq"))
 
 
-def losses(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOSS).json(path)
+def losses(spark: SparkSession, path: str, conditions: tuple[str, ...] = ()) -> DataFrame:
+    """Losses and accuracies by dataset and checkpoint; for each further condition, fields of its name behind ``loss_`` and ``acc_att_``."""
+    more = [f"{m}_{c} double" for c in conditions for m in ("loss", "acc_att")]
+    return spark.read.schema(", ".join((*LOSS, *more))).json(path)
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
