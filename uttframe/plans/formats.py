@@ -144,28 +144,28 @@ def segment_frames(t: Tables) -> DataFrame:
 # Results and statistics
 
 
-@query("SELECT c_custkey % 3 AS insertions, c_custkey % 5 AS deletions, c_custkey % 7 AS substitutions, c_custkey % 3 + c_custkey % 5 + c_custkey % 7 AS num_errors, c_custkey AS num_ref FROM customer WHERE c_nationkey < 5")
+@query("SELECT (n_nationkey % 3)::BIGINT AS insertions, (n_nationkey % 5)::BIGINT AS deletions, (n_nationkey % 7)::BIGINT AS substitutions, (n_nationkey % 3 + n_nationkey % 5 + n_nationkey % 7)::BIGINT AS num_errors, n_nationkey::BIGINT AS num_ref FROM nation")
 def alignment_counts(t: Tables) -> DataFrame:
-    n = [(F.col("c_custkey") % m).alias(k) for m, k in ((3, "insertions"), (5, "deletions"), (7, "substitutions"))]
-    best = F.struct(*n, (F.col("c_custkey") % 3 + F.col("c_custkey") % 5 + F.col("c_custkey") % 7).alias("numErrors"), F.col("c_custkey").alias("numWordsInReference"))
-    rows = t.customer.filter("c_nationkey < 5").select(F.col("c_custkey").alias("id"), F.to_json(F.struct(F.struct(best.alias("bestWER")).alias("wer"))).alias("value"))
+    n = [(F.col("n_nationkey") % m).alias(k) for m, k in ((3, "insertions"), (5, "deletions"), (7, "substitutions"))]
+    best = F.struct(*n, (F.col("n_nationkey") % 3 + F.col("n_nationkey") % 5 + F.col("n_nationkey") % 7).alias("numErrors"), F.col("n_nationkey").alias("numWordsInReference"))
+    rows = t.nation.select(F.col("n_nationkey").alias("id"), F.to_json(F.struct(F.struct(best.alias("bestWER")).alias("wer"))).alias("value"))
     return S.alignment_counts(t.spark, _written(t, rows, "aligned", "id")).drop("file")
 
 
-@query("SELECT o_orderstatus AS dataset, o_orderkey::VARCHAR AS checkpoint, o_totalprice AS loss, o_totalprice / 2 AS acc_att, o_custkey::DOUBLE AS loss_tel FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderstatus AS dataset, o_orderkey::VARCHAR AS checkpoint, o_totalprice AS loss, o_totalprice / 2 AS acc_att, o_custkey::DOUBLE AS loss_tel FROM orders")
 def loss_lines(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_orderkey % 10 = 0").select(F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").cast("string").alias("checkpoint"), F.col("o_totalprice").alias("loss"), (F.col("o_totalprice") / 2).alias("acc_att"), F.col("o_custkey").cast("double").alias("loss_tel"))
+    rows = t.orders.select(F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").cast("string").alias("checkpoint"), F.col("o_totalprice").alias("loss"), (F.col("o_totalprice") / 2).alias("acc_att"), F.col("o_custkey").cast("double").alias("loss_tel"))
     path = stage_path(t.spark, "losses")
     sinks.append_losses(rows.filter("dataset = 'F'"), path)
     sinks.append_losses(rows.filter("dataset <> 'F'"), path)
     return S.losses(t.spark, path, ("tel",)).select("dataset", "checkpoint", "loss", "acc_att", "loss_tel")
 
 
-@query("SELECT (c_custkey % 20)::INT AS epoch, c_custkey AS step, c_acctbal AS loss, c_mktsegment AS tag FROM customer WHERE c_nationkey < 5")
+@query("SELECT n_nationkey % 20 AS epoch, n_nationkey::BIGINT * 1000 AS step, n_regionkey + 0.5::DOUBLE AS loss, n_name AS tag FROM nation")
 def snapshot_files(t: Tables) -> DataFrame:
-    text = F.concat_ws("\n", F.concat(F.lit("epoch: "), F.col("c_custkey") % 20), F.concat(F.lit("step: "), F.col("c_custkey")), F.concat(F.lit("loss: "), F.col("c_acctbal"), F.lit("  # of the last epoch")), F.concat(F.lit("tag: "), F.col("c_mktsegment")))
-    rows = t.customer.filter("c_nationkey < 5").select("c_custkey", text.alias("value"))
-    return S.snapshots(t.spark, _written(t, rows, "snapshots", "c_custkey")).select("epoch", "step", "loss", "tag")
+    text = F.concat_ws("\n", F.concat(F.lit("epoch: "), F.col("n_nationkey") % 20), F.concat(F.lit("step: "), F.col("n_nationkey") * 1000), F.concat(F.lit("loss: "), F.col("n_regionkey") + 0.5, F.lit("  # of the last epoch")), F.concat(F.lit("tag: "), F.col("n_name")))
+    rows = t.nation.select("n_nationkey", text.alias("value"))
+    return S.snapshots(t.spark, _written(t, rows, "snapshots", "n_nationkey")).select("epoch", "step", "loss", "tag")
 
 
 DIMS = "SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings"
