@@ -184,7 +184,7 @@ def features_with_category(t: Tables) -> DataFrame:
     return out.select("vec_id", F.size("x").cast("long").alias("n"), F.slice("x", -3, 3).alias("tail"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE + coalesce(embedding[i - 1]::DOUBLE, 0))) / sqrt(2), 1) AS total FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::DOUBLE + coalesce(embedding[i - 1]::DOUBLE, 0))) / sqrt(2), 1) + 0.0::DOUBLE AS total FROM embeddings")
 def echoed_samples(t: Tables) -> DataFrame:
     """Samples under a response of two equal impulses, which is brought to unit norm."""
     response = np.zeros(14)
@@ -257,7 +257,7 @@ def _streamed(t: Tables, rows: DataFrame, mode: str, columns: list[Column]) -> D
     def keep(batch: DataFrame, number: int) -> None:
         batch.select(*columns).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
 
-    q = rows.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(keep).option("checkpointLocation", f"{root}/state").start()
+    q = rows.writeStream.outputMode(mode).trigger(once=True).foreachBatch(keep).option("checkpointLocation", f"{root}/state").start()
     q.awaitTermination()
     return t.spark.read.parquet(f"{root}/out")
 
@@ -293,3 +293,11 @@ def stream_word_quota(t: Tables) -> DataFrame:
     """Rows whose one word, the user, was seen fewer than three times in the shard."""
     rows = jobs.word_quota(_events(t).withColumn("txt", F.col("user_id").cast("string")), "event_type", "event_id", "txt", 3)
     return _streamed(t, rows, "append", [F.col("shard"), F.col("pos"), F.col("txt")])
+
+
+@query("SELECT shard, bucket, batch_id, list(event_id::VARCHAR ORDER BY event_id) AS keys FROM (SELECT *, (row_number() OVER (PARTITION BY shard, bucket ORDER BY event_id) - 1) // CASE bucket WHEN 0 THEN 4 ELSE 2 END AS batch_id FROM (SELECT event_type AS shard, event_id, CASE WHEN value < 10 THEN 0 ELSE 1 END AS bucket FROM events)) GROUP BY ALL HAVING count(*) = CASE bucket WHEN 0 THEN 4 ELSE 2 END")
+def stream_bucket_batches(t: Tables) -> DataFrame:
+    """Full batches of two length buckets; what is left of a bucket waits in its state."""
+    bucket = batching.bucket_of(F.col("value"), [10])
+    rows = jobs.group_batches(_events(t), "event_type", "event_id", "event_id", bucket, F.when(bucket == 0, 4).otherwise(2), wait_ms=3_600_000)
+    return _streamed(t, rows, "append", [F.col("shard"), F.col("group").cast("int").alias("bucket"), F.col("batch_id"), F.col("keys")])

@@ -340,3 +340,31 @@ def list_difference(t: Tables) -> DataFrame:
     gone = S.items(t.spark, _written(t, t.pages.filter("page_id % 4 = 0").select(F.concat_ws(" ", "page_id", "url").alias("value")), "list"))
     left = bias.list_difference(every.withColumnRenamed("item", "path"), gone.withColumnRenamed("item", "path"))
     return left.select(F.regexp_extract("path", r"^\d+ (.*)$", 1).alias("url"), F.regexp_extract("path", r"^(\d+) ", 1).cast("long").alias("page_id"))
+
+
+def _packed(t: Tables, kind: str, value: Column) -> DataFrame:
+    """embeddings as one record a file (content), with a value of pairs."""
+
+    @F.pandas_udf("binary")
+    def encode(keys: pd.Series, values: pd.Series) -> pd.Series:
+        pairs = lambda xs: [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in xs]
+        return pd.Series([f"k{k} ".encode() + ark.encode_pairs(kind, [pairs(xs) for xs in v] if kind == "posterior" else pairs(v)) for k, v in zip(keys, values, strict=True)])
+
+    return t.embeddings.select(encode("vec_id", value).alias("content"))
+
+
+@query("SELECT 'k' || vec_id AS key, 2 AS n_frames, sum(i - 1) * 2 AS places, round(2 * sum(x::DOUBLE), 4) AS total FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE x > 0 GROUP BY vec_id")
+def posterior_records(t: Tables) -> DataFrame:
+    """Posteriors of two equal frames, which have the positive values by their place."""
+    frame = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("index"), x.alias("value"))), lambda p: p["value"] > 0)
+    rows = ark.explode_ark(_packed(t, "posterior", F.array(frame, frame)), "posterior").withColumn("all", F.flatten("posterior"))
+    places = F.aggregate("all", F.lit(0).cast("long"), lambda a, p: a + p["index"])
+    return rows.select("key", F.size("posterior").alias("n_frames"), places.alias("places"), F.round(F.aggregate("all", F.lit(0.0), lambda a, p: a + p["value"]), 4).alias("total"))
+
+
+@query("SELECT 'k' || vec_id AS key, len(embedding) AS n, (len(embedding) - 1) * 0.5::DOUBLE AS last_begin, len(embedding) * 0.5::DOUBLE AS last_end FROM embeddings")
+def network_times(t: Tables) -> DataFrame:
+    """Begin and end of bins of half a second."""
+    times = F.transform("embedding", lambda x, i: F.struct((i * 0.5).alias("begin"), (i * 0.5 + 0.5).alias("end")))
+    rows = ark.explode_ark(_packed(t, "times", times), "times").withColumn("last", F.element_at("times", -1))
+    return rows.select("key", F.size("times").cast("long").alias("n"), F.col("last.begin").cast("double").alias("last_begin"), F.col("last.end").cast("double").alias("last_end"))

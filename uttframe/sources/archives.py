@@ -7,6 +7,7 @@ import tarfile
 import wave
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AUDIO = frozenset(("flac", "mp3", "m4a", "ogg", "opus", "wav", "wma"))
+SOME = 16  # samples that leave Python at once
 SCHEMA = "key string, file_name string, tar_file_name string, wav binary, txt string, extras map<string,string>, error string"
 
 
@@ -65,24 +67,28 @@ def zip_samples(data: bytes, shard: str) -> Iterator[dict]:
 def explode_archives(files: DataFrame) -> DataFrame:
     """Samples of (path, content) rows: tar (also compressed) and zip by suffix; others, and broken archives, give a row with an error."""
 
+    def samples(path: str, data: bytes) -> Iterator[dict]:
+        how = zip_samples if path.endswith(".zip") else tar_samples if path.endswith((".tar", "tar.gz", ".tgz")) else None
+        try:
+            if how is None:
+                raise ValueError("unknown kind of archive")
+            yield from how(data, path)
+        except (ValueError, tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as e:
+            yield {"file_name": path, "tar_file_name": path, "extras": {}, "error": str(e) or type(e).__name__}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                how = zip_samples if path.endswith(".zip") else tar_samples if path.endswith((".tar", "tar.gz", ".tgz")) else None
-                rows: list[dict] = []
-                try:
-                    if how is None:
-                        raise ValueError("unknown kind of archive")
-                    rows += how(data, path)
-                except (ValueError, tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as e:
-                    rows.append({"file_name": path, "tar_file_name": path, "extras": {}, "error": str(e) or type(e).__name__})
-                yield pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names, dtype=object)
+                rows = samples(path, data)
+                while some := list(islice(rows, SOME)):
+                    yield pd.DataFrame([[r.get(c) for c in names] for r in some], columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Samples of archive files. A worker gets archives in batches of spark.sql.execution.arrow.maxRecordsPerBatch rows: set it low for large archives."""
     return explode_archives(spark.read.format("binaryFile").load(path))
 
 

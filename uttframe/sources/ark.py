@@ -10,6 +10,7 @@ import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 FLOATS = {b"FV ": np.float32, b"DV ": np.float64}
 MATRICES = {b"FM ": np.float32, b"DM ": np.float64}
 SCHEMA = "key string, ints array<int>, vector array<double>, matrix array<array<double>>"
+#: What a file holds, as the binary forms of the last two begin as an integer vector does.
+KINDS = {"plain": SCHEMA, "posterior": "key string, posterior array<array<struct<index:int,value:float>>>", "times": "key string, times array<struct<begin:float,end:float>>"}
+PAIR = {"posterior": ("index", "<i4", "value"), "times": ("begin", "<f4", "end")}
+SOME = 200  # records that leave Python at once
 
 
 def _int(f: io.BytesIO) -> int:
@@ -75,7 +80,23 @@ def _text_value(line: bytes, f: io.BytesIO) -> tuple[str, object]:
     return ("vector", rows[0] if rows else []) if len(rows) < 2 else ("matrix", rows)
 
 
-def records(data: bytes) -> Iterator[dict]:
+def _pairs(f: io.BytesIO, kind: str) -> list[tuple]:
+    """Marked pairs behind their number: of an index and a value, or of two times."""
+    first, form, second = PAIR[kind]
+    n = _int(f)
+    data = np.frombuffer(f.read(10 * n), dtype=np.dtype([("m", "u1"), (first, form), ("n", "u1"), (second, "<f4")]))
+    return list(zip(data[first].tolist(), data[second].tolist(), strict=True))
+
+
+def _value_of(f: io.BytesIO, kind: str) -> tuple[str, object]:
+    if kind == "plain":
+        return _value(f)
+    if f.read(2) != b"\0B":
+        raise ValueError(f"{kind} is read in binary form alone")
+    return kind, _pairs(f, kind) if kind == "times" else [_pairs(f, kind) for _ in range(_int(f))]
+
+
+def records(data: bytes, kind: str = "plain") -> Iterator[dict]:
     f = io.BytesIO(data)
     while True:
         key = bytearray()
@@ -83,24 +104,31 @@ def records(data: bytes) -> Iterator[dict]:
             key += c
         if not c:
             return
-        kind, value = _value(f)
-        yield {"key": key.decode().strip(), "ints": None, "vector": None, "matrix": None} | {kind: value}
+        name, value = _value_of(f, kind)
+        yield {"key": key.decode().strip(), name: value}
 
 
-def _rows(found: list[dict]) -> pd.DataFrame:
-    names = ["key", "ints", "vector", "matrix"]
+def _rows(found: list[dict], kind: str = "plain") -> pd.DataFrame:
+    names = ["key", "ints", "vector", "matrix"] if kind == "plain" else ["key", kind]
     return pd.DataFrame([[r.get(c) for c in names] for r in found], columns=names, dtype=object)
 
 
-def read_ark(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(key, ints, vector, matrix), one of the three filled."""
+def read_ark(spark: SparkSession, path: str | list[str], kind: str = "plain") -> DataFrame:
+    """(key, ints, vector, matrix), one of the three filled; or (key, posterior), or (key, times), as kind says."""
+    return explode_ark(spark.read.format("binaryFile").load(path), kind)
+
+
+def explode_ark(files: DataFrame, kind: str = "plain") -> DataFrame:
+    """The records of (content) rows, a file a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                yield _rows(list(records(data)))
+                rows = records(data, kind)
+                while some := list(islice(rows, SOME)):
+                    yield _rows(some, kind)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
+    return files.select("content").mapInPandas(run, KINDS[kind])
 
 
 def read_index(spark: SparkSession, index: DataFrame, files: DataFrame) -> DataFrame:
@@ -123,6 +151,19 @@ def index_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(at(1).alias("key"), at(2).alias("path"), F.coalesce(at(3).try_cast("bigint"), F.lit(0).cast("bigint")).alias("offset"))
 
 
+def encode_pairs(kind: str, value: list) -> bytes:
+    """A posterior (a list of pairs for each frame) or times (a list of pairs) in binary form."""
+    first, form, second = PAIR[kind]
+
+    def pairs(xs: list) -> bytes:
+        out = np.zeros(len(xs), dtype=np.dtype([("m", "u1"), (first, form), ("n", "u1"), (second, "<f4")]))
+        out["m"] = out["n"] = 4
+        out[first], out[second] = [x[0] for x in xs], [x[1] for x in xs]
+        return b"\4" + struct.pack("<i", len(xs)) + out.tobytes()
+
+    return b"\0B" + (pairs(value) if kind == "times" else b"\4" + struct.pack("<i", len(value)) + b"".join(map(pairs, value)))
+
+
 def encode(ints: list | None, vector: list | None, matrix: list | None) -> bytes:
     if ints is not None:
         x = np.zeros(len(ints), dtype=np.dtype([("m", "u1"), ("v", "<i4")]))

@@ -101,10 +101,40 @@ def _merged(shard: object, rows: list) -> pd.DataFrame:
     return pd.DataFrame({"shard": [str(shard)], "pos": [rows[0][0]], "seconds": [sum(r[2] for r in rows)], "txt": [text.replace(f"{SWITCH} {SWITCH}", SWITCH)]})
 
 
-def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int) -> DataFrame:
-    """Rows any of whose words is below its quota in the shard so far; counts are the shard's state."""
+def group_batches(stream: DataFrame, shard: str, key: str, pos: str, group: Column, size: Column, wait_ms: int = WAIT_MS) -> DataFrame:
+    """(shard, group, batch_id, keys): rows of a shard and group in batches of the group's size, as they come; a group is a length bucket, or any window's key. What is left is sent when the group is quiet for wait_ms."""
 
     def run(key_, batches, state):
+        held, batch = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        sent = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key_[0], key_[1], batch, held)], columns=names)
+            return
+        for pdf in batches:
+            for r in pdf.sort_values(["pos", "key"]).itertuples(index=False):
+                held.append(str(r.key))
+                if len(held) >= r.size:
+                    sent.append((key_[0], key_[1], batch, held))
+                    held, batch = [], batch + 1
+        state.update((held, batch))
+        if held:
+            state.setTimeoutDuration(wait_ms)
+        yield pd.DataFrame(sent, columns=names)
+
+    names = ["shard", "group", "batch_id", "keys"]
+    rows = stream.select(F.col(shard).cast("string").alias("shard"), group.cast("long").alias("group"), F.col(key).cast("string").alias("key"), F.col(pos).alias("pos"), size.cast("int").alias("size"))
+    return rows.groupBy("shard", "group").applyInPandasWithState(run, "shard string, group long, batch_id long, keys array<string>", "held array<string>, batch long", "append", "ProcessingTimeTimeout")
+
+
+def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int, quiet_ms: int = 86_400_000) -> DataFrame:
+    """Rows any of whose words is below its quota in the shard so far; counts are the shard's state, which goes when the shard is quiet for quiet_ms."""
+
+    def run(key_, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["shard", "pos", "txt"])
+            return
         seen = dict(zip(*state.get, strict=True)) if state.exists else {}
         out = []
         for pdf in batches:
@@ -115,7 +145,8 @@ def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int) -
                         seen[w] = seen.get(w, 0) + 1
                     out.append((str(key_[0]), int(r.pos), str(r.txt)))
         state.update((list(seen), list(seen.values())))
+        state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame(out, columns=["shard", "pos", "txt"])
 
     rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(pos).cast("long").alias("pos"), F.col(text).alias("txt"))
-    return rows.groupBy("shard").applyInPandasWithState(run, "shard string, pos long, txt string", "words array<string>, counts array<long>", "append", "NoTimeout")
+    return rows.groupBy("shard").applyInPandasWithState(run, "shard string, pos long, txt string", "words array<string>, counts array<long>", "append", "ProcessingTimeTimeout")
