@@ -82,5 +82,5 @@ def test_budget_and_quota(spark, stream):
     df = spark.createDataFrame([("s", f"k{i}", i, 4000.0, "a b" if i < 3 else "c") for i in range(8)], "shard string, key string, pos int, length double, txt string")
     q, name = run(jobs.budget_batches(stream(df.coalesce(1)), "shard", "key", "pos", "length"), rows=8)
     assert [r["keys"] for r in spark.table(name).orderBy("batch_id").collect()][:2] == [["k0", "k1", "k2"], ["k3", "k4", "k5"]]
-    q, name = run(jobs.word_quota(stream(df.coalesce(1)), "shard", "pos", "txt", 2))
+    q, name = run(jobs.word_quota(stream(df.coalesce(1)), "shard", "pos", "txt", 2), rows=8)
     assert sorted(r.pos for r in spark.table(name).collect()) == [0, 1, 3, 4]

@@ -14,7 +14,7 @@ from ..functions.stage import stage_path
 from ..operators import alignment, batching, bias, features, filters, sequences, vocab
 from ..streaming import jobs
 from .base import Tables, query
-from .pipeline import build_pipeline, override, preset
+from .pipeline import build_features, build_pipeline, override, preset
 from .speech import WORDS, _vectors, _words
 
 # Tokens and texts
@@ -193,6 +193,37 @@ def echoed_samples(t: Tables) -> DataFrame:
     return rows.select("vec_id", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 1).alias("total"))
 
 
+def _wave_rows(t: Tables) -> DataFrame:
+    """Each 25 embeddings as a wave of 8 kHz."""
+    rows = t.embeddings.groupBy(F.floor(F.col("vec_id") / 25).alias("key")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
+    return rows.select("key", F.flatten(F.transform("x", lambda r: r["embedding"])).alias("samples"), F.lit(8000).alias("sample_rate"))
+
+
+FRAME_COUNTS = "SELECT vec_id // 25 AS key, {n} AS n_frames, {bins} AS n_bins FROM embeddings GROUP BY key"
+
+
+@query(FRAME_COUNTS.format(n="1 + (sum(len(embedding)) - 200)::BIGINT // 80", bins=23))
+def filter_bank_frames(t: Tables) -> DataFrame:
+    """Frames of 25 ms each 10 ms, by a configuration without chance."""
+    rows = build_features(preset({"frames_conf": {"kind": "filter_bank"}}, "cv"))(_wave_rows(t))
+    return rows.groupBy("key").agg(F.count("*").alias("n_frames"), F.max(F.size("feat")).alias("n_bins"))
+
+
+@query(FRAME_COUNTS.format(n="1 + (2 * sum(len(embedding)) - 400)::BIGINT // 160", bins=40))
+def resampled_cepstra(t: Tables) -> DataFrame:
+    """Cepstra at twice the rate, of waves that went through a telephone's."""
+    conf = preset({"resample": True, "frames_conf": {"kind": "mfcc"}}, "telephony")
+    return build_features(conf)(_wave_rows(t)).groupBy("key").agg(F.count("*").alias("n_frames"), F.max(F.size("feat")).alias("n_bins"))
+
+
+@query(FRAME_COUNTS.format(n="sum(len(embedding))::BIGINT // 160 - 1", bins=80))
+def log_mel_frames(t: Tables) -> DataFrame:
+    """Spectrogram frames of waves under an impulse response, but for the last one."""
+    bank = t.region.filter("r_regionkey = 0").select(F.col("r_regionkey").cast("int").alias("bank_id"), F.array_repeat(F.lit(1.0), 12_000).alias("impulse"))
+    conf = preset({"frames_conf": {"kind": "log_mel"}, "impulse_conf": {"bank": bank, "n": 1}, "trim": False}, "echo") | {"trim": True, "trim_conf": {"longest": 1}}
+    return build_features(conf)(_wave_rows(t)).groupBy("key").agg(F.count("*").alias("n_frames"), F.max(F.size("feat")).alias("n_bins"))
+
+
 # Joins and sets
 
 

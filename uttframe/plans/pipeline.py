@@ -6,16 +6,24 @@ import copy
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.rand import uniform
 from ..functions.text import char_tokens
-from ..operators import batching, filters, ranking, vocab
+from ..operators import batching, bias, features, filters, language, ranking, vocab
 
 Stage = Callable[[DataFrame], DataFrame]
 
 DEFAULTS: dict[str, Any] = {
     "special_tokens": False, "special_tokens_conf": {},
+    "speakers": False, "speakers_conf": {"table": None},
+    "language": False, "language_conf": {"model": None},
+    "category": False, "category_conf": {"column": "lang", "ids": {}, "n": 1, "force": ()},
+    "bias": False, "bias_conf": {"threshold": 20, "n_order": 3, "p_keep": 1.0},
+    "collate": False, "collate_conf": {"feats": "feats"},
     "tokenize": True, "tokenize_conf": {"symbols": False, "vocab": {"<unk>": 1}},
     "filter": True, "filter_conf": {},
     "speech_rate": False,
@@ -23,10 +31,22 @@ DEFAULTS: dict[str, Any] = {
     "task": True,
     "shuffle": True, "shuffle_conf": {"seed": 0, "epoch": 0},
     "sort": True, "sort_conf": {"buffer": 500},
-    "batch_conf": {"batch_type": "dynamic", "max_frames": 12000, "n": 16, "boundaries": [500, 1000], "sizes": [32, 16, 8]},
+    "batch_conf": {"batch_type": "dynamic", "max_frames": 12000, "n": 16, "boundaries": [500, 1000], "sizes": [32, 16, 8], "job": None, "one_per_job": True, "max_words_per_epoch": -1, "max_words_per_batch": -1},
 }
-RANDOM = ("skip_tagged", "shuffle")
-ORDER = ("special_tokens", "tokenize", "filter", "speech_rate", "skip_tagged", "task", "sort", "batch")
+#: Of waves: off, but for framing. Each has its settings behind _conf.
+WAVES: dict[str, Any] = {
+    "resample": False, "resample_conf": {"rate": 16000},
+    "speed": False, "speed_conf": {"speeds": (0.9, 1.0, 1.1)},
+    "impulse": False, "impulse_conf": {"bank": None, "n": 0, "p": 0.2},
+    "telephony": False, "telephony_conf": {"rate": 8000, "p": 0.2},
+    "frames": True, "frames_conf": {"kind": "filter_bank"},
+    "normalise": False, "normalise_conf": {"table": None},
+    "substitute": False, "substitute_conf": {}, "mask": False, "mask_conf": {}, "trim": False, "trim_conf": {},
+}
+WAVE_ORDER = ("resample", "speed", "impulse", "telephony", "frames", "normalise", "substitute", "mask", "trim")
+FRAMES = {"filter_bank": features.filter_bank, "mfcc": features.mfcc, "log_mel": features.log_mel_spectrogram}
+RANDOM = ("skip_tagged", "shuffle", "speed", "impulse", "telephony", "substitute", "mask", "trim")
+ORDER = ("special_tokens", "speakers", "language", "tokenize", "filter", "speech_rate", "skip_tagged", "category", "task", "bias", "sort", "batch", "collate")
 
 
 def override(conf: dict[str, Any], *settings: str) -> dict[str, Any]:
@@ -44,13 +64,16 @@ def override(conf: dict[str, Any], *settings: str) -> dict[str, Any]:
 
 
 def preset(conf: dict[str, Any], name: str) -> dict[str, Any]:
-    """eval: all bounds open and no random stage; cv: no random stage, and quota batches as plain dynamic ones."""
-    out = copy.deepcopy(conf)
+    """eval: all bounds open and no random stage; cv: no random stage, and quota batches as plain dynamic ones; telephony and echo: cv with every wave at the rate of a telephone, or under an impulse response of the bank."""
+    out = conf | {k: copy.deepcopy(v) for k, v in conf.items() if k.endswith("_conf") and not any(isinstance(x, DataFrame) for x in v.values())}
     for stage in RANDOM:
         out[stage] = False
+    if name in ("telephony", "echo"):
+        stage = "impulse" if name == "echo" else name
+        out |= {stage: True, f"{stage}_conf": WAVES[f"{stage}_conf"] | out.get(f"{stage}_conf", {}) | {"p": 1.0}}
     if name == "eval":
         out["filter_conf"] = {"max_length": 1e9, "min_length": 0, "token_max_length": 1 << 30, "token_min_length": 0, "min_output_input_ratio": 0.0, "max_output_input_ratio": 1e9}
-    if name == "cv" and out["batch_conf"]["batch_type"] == "distribute":
+    if name != "eval" and out.get("batch_conf", {}).get("batch_type") == "distribute":
         out["batch_conf"]["batch_type"] = "dynamic"
     return out
 
@@ -81,12 +104,31 @@ def build_pipeline(conf: dict[str, Any], order: tuple[str, ...] = ORDER) -> Stag
         if c["batch_type"] == "bucket":
             return batching.bucket_batch(df, ["shard"], by, "n_frames", c["boundaries"], c["sizes"])
         if c["batch_type"] == "distribute":
-            kept = batching.distribute_batch(df.withColumn("_job", F.lit(None).cast("string")), "shard", by, "key", "n_frames", "_job", "txt", c["max_frames"], one_per_job=False)
+            job = F.col(c["job"]) if c["job"] else F.lit(None).cast("string")
+            kept = batching.distribute_batch(df.withColumn("_job", job), "shard", by, "key", "n_frames", "_job", "txt", c["max_frames"], c["one_per_job"] and bool(c["job"]), c["max_words_per_epoch"], c["max_words_per_batch"])
         else:
             kept = batching.dynamic_batch(df, "shard", by, "key", "n_frames", c["max_frames"])
         return df.join(kept.filter("batch_id IS NOT NULL"), ["shard", "key"])
 
+    def of(name: str) -> dict[str, Any]:
+        return DEFAULTS[f"{name}_conf"] | conf[f"{name}_conf"]
+
+    def spoken(df: DataFrame) -> DataFrame:
+        found = language.detect(df, of("language")["model"], "key", "txt").select("key", "language")
+        return df.join(found, "key", "left")
+
+    def category(df: DataFrame) -> DataFrame:
+        c = of("category")
+        return df.withColumn("category", filters.category_vector(F.col(c["column"]), c["ids"], c["n"], tuple(c["force"])))
+
+    def phrases(df: DataFrame) -> DataFrame:
+        c = of("bias")
+        rare = bias.rare_words(bias.word_counts(df, "txt"), c["threshold"])
+        return df.join(bias.bias_phrases(df, rare, n_order=c["n_order"], p_keep=c["p_keep"]), "key", "left")
+
     stages: dict[str, Stage] = {
+        "speakers": lambda df: filters.speaker_ids(df, of("speakers")["table"]), "language": spoken, "category": category, "bias": phrases,
+        "collate": lambda df: batching.collate(df, ["shard", "batch_id"], "key", of("collate")["feats"], "label"),
         "special_tokens": lambda df: filters.special_tokens(df, filters.SpecialTokens(**conf["special_tokens_conf"])),
         "tokenize": tokenize, "filter": length_filter,
         "speech_rate": lambda df: df.filter(filters.speech_rate_reason(F.col("txt"), F.col("n_frames") / 100).isNull()),
@@ -101,3 +143,48 @@ def build_pipeline(conf: dict[str, Any], order: tuple[str, ...] = ORDER) -> Stag
         return df
 
     return run
+
+
+def build_features(conf: dict[str, Any], order: tuple[str, ...] = WAVE_ORDER) -> Stage:
+    """From waves (key, samples, sample_rate) to frames (key, frame_idx, feat), by the stages that conf switches on."""
+    conf = WAVES | conf
+
+    def of(name: str) -> dict[str, Any]:
+        return WAVES[f"{name}_conf"] | conf.get(f"{name}_conf", {})
+
+    def resample(df: DataFrame) -> DataFrame:
+        rate = of("resample")["rate"]
+        return features.change_waves(df, lambda x, r: features.resample(x, int(r), rate), "sample_rate").withColumn("sample_rate", F.lit(rate))
+
+    def impulse(df: DataFrame) -> DataFrame:
+        c = of("impulse")
+        paired = vocab.random_partner(df, c["bank"], c["n"], p=c["p"])
+        under = lambda x, h, r: x if h is None else features.convolve_impulse(x, np.asarray(h, dtype=np.float64), int(r))
+        return features.change_waves(paired, under, "impulse", "sample_rate").drop("bank_id", "impulse")
+
+    def telephony(df: DataFrame) -> DataFrame:
+        c = of("telephony")
+        thin = lambda x, r, on: features.resample(features.resample(x, int(r), c["rate"]), c["rate"], int(r)) if on else x
+        marked = df.withColumn("_on", uniform("key", op="telephony") < c["p"])
+        return features.change_waves(marked, thin, "sample_rate", "_on").drop("_on")
+
+    def count(df: DataFrame, stage: Callable[[DataFrame, Any], DataFrame]) -> DataFrame:
+        return stage(df.withColumn("_n", F.count("*").over(Window.partitionBy("key"))), F.col("_n")).drop("_n")
+
+    stages: dict[str, Stage] = {
+        "resample": resample, "impulse": impulse, "telephony": telephony,
+        "speed": lambda df: features.speed(df, speeds=tuple(of("speed")["speeds"])).drop("speed"),
+        "frames": lambda df: features.to_frames(df, FRAMES[of("frames")["kind"]]),
+        "normalise": lambda df: features.normalise(df, of("normalise")["table"]),
+        "substitute": lambda df: count(df, lambda x, n: features.substitute_earlier(x, n, **of("substitute"))),
+        "mask": lambda df: count(df, lambda x, n: features.mask_features(x, n, **of("mask"))),
+        "trim": lambda df: count(df, lambda x, n: features.trim_tail(x, n, **of("trim"))),
+    }
+
+    def run(df: DataFrame) -> DataFrame:
+        for name in order:
+            if conf[name]:
+                df = df.transform(stages[name])
+        return df
+
+    return run
