@@ -67,16 +67,21 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     h = w[: len(w) - n + 1] + np.uint64(n)
     for j in range(1, n):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[j : j + len(h)]
-    return np.unique(mix(h))
+    h = np.sort(mix(h))
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def _room(threshold: float, n: int, factor: float = 1.0) -> np.uint64:
     return np.uint64(min(factor * WHOLE / (threshold * n), WHOLE - 2048))
 
 
-def _extend(m: np.ndarray, path: int, room: np.uint64) -> np.ndarray:
-    """Which shingles, given by their mixed hashes, extend a path."""
-    return np.flatnonzero(m * np.uint64(path | 1) < room)
+def _extend(m: np.ndarray, paths: np.ndarray, room: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles, given by their mixed hashes, extend which paths: numbers of paths and of shingles."""
+    found = []
+    for low in range(0, len(m), 8_192):
+        p, i = np.nonzero(m[low : low + 8_192] * (paths | np.uint64(1))[:, None] < room)
+        found.append((p, i + low))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def _short(m: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ def describe(text: Column, k: int, threshold: float, runs: int) -> Column:
 
     @F.pandas_udf(SETS)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        seeds = mix(np.arange(1, runs + 1, dtype=np.uint64)).tolist()
+        seeds = mix(np.arange(1, runs + 1, dtype=np.uint64))
         for texts in batches:
             rows = []
             for t in texts:
@@ -106,16 +111,15 @@ def describe(text: Column, k: int, threshold: float, runs: int) -> Column:
                 if not len(m):
                     rows.append((None, None, 0, [], [], b""))
                     continue
-                room, first, second = _room(threshold, len(m)), [], []
-                for seed in seeds:
-                    for i in _extend(m, seed, room).tolist():
-                        up = int(mix(m[i : i + 1] + np.uint64(seed))[0])
-                        j = _extend(m, up, room)
-                        j = j[j != i]
-                        paths = mix(m[j] + np.uint64(up)).view(np.int64).tolist()
-                        up, one = int(np.uint64(up).view(np.int64)), int(_short(m[i : i + 1])[0])
-                        first.append(up)
-                        second += [(up, p, [one, x]) for p, x in zip(paths, _short(m[j]).tolist(), strict=True)]
+                room, short = _room(threshold, len(m)), _short(m)
+                r, i = _extend(m, seeds, room)
+                first = mix(m[i] + seeds[r])
+                p, j = _extend(m, first, room)
+                other = i[p] != j
+                p, j = p[other], j[other]
+                paths = mix(m[j] + first[p]).view(np.int64)
+                first = first.view(np.int64)
+                second = list(zip(first[p].tolist(), paths.tolist(), np.stack((short[i[p]], short[j]), axis=1).tolist(), strict=True))
                 a, b = m.sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(m).view(np.int64)
                 rows.append((int(a), int(b), len(m), first, second, signature(m)))
             yield pd.DataFrame(rows, columns=["a", "b", "n", "first", "second", "bits"]).astype({"a": "Int64", "b": "Int64"})
@@ -131,12 +135,12 @@ def deeper(k: int, threshold: float) -> Callable:
         out = []
         for t, ups in zip(texts, paths, strict=True):
             m = mix(shingles(t, k))
-            room, short, found = _room(threshold, len(m), LATER), _short(m), []
-            for x in ups:
-                path, used = int(np.int64(x["path"]).view(np.uint64)), list(x["used"])
-                j = _extend(m, path, room)
-                j = j[~np.isin(short[j], used)]
-                found += [{"up": x["path"], "path": p, "used": [*used, s]} for p, s in zip(mix(m[j] + np.uint64(path)).view(np.int64).tolist(), short[j].tolist(), strict=True)]
+            short, found = _short(m), []
+            paths = np.array([x["path"] for x in ups], dtype=np.int64).view(np.uint64)
+            p, j = _extend(m, paths, _room(threshold, len(m), LATER))
+            for x, path, one in zip(p.tolist(), mix(m[j] + paths[p]).view(np.int64).tolist(), short[j].tolist(), strict=True):
+                if one not in ups[x]["used"]:
+                    found.append({"up": ups[x]["path"], "path": path, "used": [*ups[x]["used"], one]})
             out.append(found)
         return pd.Series(out)
 
@@ -345,7 +349,7 @@ def _levels(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, th
     return materialise(ends, "path-leaves"), every.select("a", "b", "path"), total
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.98, small: int = 200, block: int = 256, block_tokens: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.98, small: int = 200, block: int = 128, block_tokens: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: _id, key_a, key_b, a, b; sets: a, b, first row, copies; links: a, b, links, ra, rb)."""
     light_batches(docs.sparkSession)
     seen = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), describe(F.col(text_col), k, threshold, n_runs(recall)).alias("x"))
