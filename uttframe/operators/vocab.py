@@ -17,7 +17,7 @@ def encode(tokens: Column, vocab: dict[str, int], unk: str = "<unk>") -> Column:
 
 
 def encode_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk: str = "<unk>") -> DataFrame:
-    """(key, ids) by a join with a table (token, id) of any size, without a map in each expression."""
+    """(key, ids) by a join with a table (token, id) of any size, without a map in each expression. Rows that share a key are one: their tokens follow each other by place."""
     spare = vocab.filter(F.col("token") == unk).agg(F.min("id").alias("_unk"))  # one row
     each = df.select(key, F.posexplode(tokens).alias("_i", "token")).join(vocab, "token", "left").crossJoin(F.broadcast(spare))
     found = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.coalesce("id", "_unk").isNotNull(), F.struct("_i", F.coalesce("id", "_unk").alias("id"))))).alias("_x"))

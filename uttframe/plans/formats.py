@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 import wave
 import zipfile
@@ -59,6 +60,16 @@ def manifest_errors(t: Tables) -> DataFrame:
     return broken.groupBy("error").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT CASE k % 3 WHEN 0 THEN -1 WHEN 1 THEN 100 ELSE 50 END::BIGINT AS share, CASE WHEN k % 3 = 0 THEN 'ZeroDivisionError' ELSE '' END AS error, count(*) AS n, sum(CASE WHEN k % 3 = 0 THEN 0 ELSE event_id END)::BIGINT AS ids
+    FROM (SELECT event_id, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k FROM events) GROUP BY ALL""")
+def tolerant_rows(t: Tables) -> DataFrame:
+    """A function of rows that fails for a third of them: these come out with their error."""
+    parse = lambda row: {"event_id": row["event_id"], "share": 100 // (json.loads(row["props"])["k"] % 3)}
+    rows = t.events.select("event_id", "props")
+    out = S.tolerant_map(rows, parse, "event_id long, share long")
+    return out.groupBy(F.coalesce("share", F.lit(-1)).alias("share"), F.regexp_extract(F.coalesce("error", F.lit("")), r"^(\w*)", 1).alias("error")).agg(F.count("*").alias("n"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("ids"))
+
+
 # Tables of symbols and dictionaries
 
 

@@ -140,7 +140,12 @@ def transcripts(t: Tables) -> DataFrame:
     return sinks.transcripts(_words(t), ["file"], "word_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT conv_id, key, spk, s, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, key) AS rn FROM (SELECT *, role || '.' || conv_id || '-' || turn AS key, role || '.' || conv_id AS spk, len({WORDS}) * 0.25 AS s FROM conversations)),
+    f AS (SELECT conv_id, rn, spk, 0 AS g, s AS total, 1 AS n, text AS txt, key FROM r WHERE rn = 1
+      UNION ALL SELECT r.conv_id, r.rn, r.spk, CASE WHEN cut THEN f.g + 1 ELSE f.g END, CASE WHEN cut THEN r.s ELSE f.total + r.s END, CASE WHEN cut THEN 1 ELSE f.n + 1 END,
+        CASE WHEN cut THEN r.text ELSE f.txt || CASE WHEN r.spk = f.spk THEN ' ' ELSE ' <sw> ' END || r.text END, CASE WHEN cut THEN r.key ELSE f.key END
+      FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn + 1, LATERAL (SELECT f.total < 1 OR f.total > 10 OR f.n >= 7 OR f.total + r.s > 20 AS cut))
+    SELECT conv_id, key, n::BIGINT AS n, total::DOUBLE AS seconds, replace(txt, '<sw> <sw>', '<sw>') AS txt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, g ORDER BY rn DESC) AS k FROM f) WHERE k = 1""")
 def merged_utterances(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", F.format_string("%s.%d-%d", "role", "conv_id", "turn").alias("key"), F.col("text").alias("txt"), (F.size(T.split_words(F.col("text"))) * 0.25).alias("seconds"))
     return batching.merge_utterances(rows, "conv_id", ["turn", "key"])

@@ -106,6 +106,6 @@ def loss_table(t: Tables) -> DataFrame:
     return ranking.loss_table(each)
 
 
-@query()
+@query("SELECT o_orderkey FROM orders")
 def shuffled_orders(t: Tables) -> DataFrame:
     return ranking.shuffled(t.orders.select("o_orderkey"), "o_orderkey", seed=3, epoch=1)

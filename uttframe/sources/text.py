@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,24 @@ def quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFram
     return df.filter(F.col(error).isNull()).drop(error), df.filter(F.col(error).isNotNull())
 
 
+def tolerant_map(df: DataFrame, f: Callable[[dict], dict], schema: str) -> DataFrame:
+    """f of each row, as a dict, with an error: where f raises, its fields are null and the error says why. For what no column function can do."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                try:
+                    got = f(row)
+                    out.append([*(got.get(n) for n in names), None])
+                except Exception as e:  # whatever a user's function raises is data here
+                    out.append([*(None for _ in names), f"{type(e).__name__}: {e}"])
+            yield pd.DataFrame(out, columns=[*names, "error"], dtype=object)
+
+    return df.mapInPandas(run, f"{schema}, error string")
+
+
 def symbol_table(spark: SparkSession, path: str) -> DataFrame:
     """(token, id); a line without exactly two fields is an error."""
     fields = F.split(strip(F.col("value")), r"(?U)\s+")
