@@ -26,7 +26,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return spread_join(near, stars.select("u", "m"), ["u"], hot, F.col("v"))
 
     count = edges.count()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if count else 0):
         near = with_least(both(edges), 2 * count, F.least(F.min("v"), F.first("u"))).filter("v > u")
         large = materialise(near.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")  # larger neighbours to the least
         small = with_least(large, count, F.min("v"))  # here u > v always
@@ -37,5 +37,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before, count = now, now[0]
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if count:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
