@@ -1,8 +1,10 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
 Rows: each row of the input gives one row. A null text counts as an empty one: no words, so the base rule fails.
-Repeated rows are judged alike; other columns are ignored by ``quality`` and kept by ``keep_good``. An empty table gives
-an empty table. Windows of words are compared by 64-bit hashes within one text.
+Repeated rows are judged alike, and ties do not arise, as rows are judged one by one. Other columns, whatever their names
+(but ``quality``, which ``quality`` adds or replaces), are ignored by ``query`` and kept by ``keep_good``. An empty table
+gives an empty table. Windows of words are compared by 64-bit hashes within one text, whatever its length; a task holds
+the words of one text.
 """
 
 from __future__ import annotations
@@ -66,7 +68,8 @@ def repeated_words(w: Column, k: int = 8) -> Column:
             lambda acc: acc["n"],
         ))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
+    hashes = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
     found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
     return F.when(F.size(w) <= k, 0).otherwise(found).cast("long")
 
