@@ -105,7 +105,8 @@ def records(data: bytes, kind: str = "plain") -> Iterator[dict]:
         if not c:
             return
         name, value = _value_of(f, kind)
-        yield {"key": key.decode().strip(), name: value}
+        none = {"ints": None, "vector": None, "matrix": None} if kind == "plain" else {}
+        yield {"key": key.decode().strip()} | none | {name: value}
 
 
 def _rows(found: list[dict], kind: str = "plain") -> pd.DataFrame:
