@@ -92,11 +92,11 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def pieces(text: str, size: int = PIECE) -> list[str]:
+def pieces(text: str, size: int = PIECE, blank: re.Pattern = _BLANK) -> list[str]:
     """A text in pieces of about ``size`` characters that end at blanks, so that a worker's arrays stay small however long it is."""
     out, at = [], 0
     while at < len(text):
-        found = _BLANK.search(text, at + size - 1) if at + size < len(text) else None
+        found = blank.search(text, at + size - 1) if at + size < len(text) else None
         end = found.end() if found else len(text)
         out.append(text[at:end])
         at = end

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, contamination, licenses, log_templates, mixing, passages, quality, secrets, sharding, warc
+from . import chosen_path, contamination, licenses, log_templates, merkle, mixing, passages, quality, secrets, sharding, token_counts, token_links, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ QUERIES: dict[str, Query] = {
     "op8_log_templates": _over("documents", log_templates.query),
     "op9_mixing": _over("documents", mixing.query),
     "op10_quality": _over("documents", quality.query),
+    "op11_array_merging": _over("documents", token_counts.query),
+    "op12_incidence": _over("documents", token_links.query),
+    "op13_witnesses": _over("documents", merkle.query),
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op2_secrets": secrets.ORACLE, "op6_licenses": licenses.ORACLE, "op8_log_templates": log_templates.ORACLE, "op10_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE, "op2_secrets": secrets.ORACLE, "op6_licenses": licenses.ORACLE, "op8_log_templates": log_templates.ORACLE, "op10_quality": quality.ORACLE,
+    "op13_witnesses": merkle.ORACLE,
+}
