@@ -331,13 +331,12 @@ def test_archives(spark, tmp_path):
 def test_ark_round_trip(spark, tmp_path):
     rows = [("a", [1, -2], None, None), ("b", None, [0.5, 1.5], None), ("c", None, None, [[1.0, 2.0], [3.0, 4.0]]), ("d", [], None, None)]
     df = spark.createDataFrame(rows, ark.SCHEMA).coalesce(1)
-    spark.dataSource.register(ark.ArkSource)
+    ark.register(spark)
     df.write.format("ark").mode("append").save(str(tmp_path / "out"))
     got = {r.key: tuple(r) for r in ark.read_ark(spark, str(tmp_path / "out/*.ark")).collect()}
     assert got == {r[0]: r for r in rows}
-    index = ark.index_lines(spark, str(tmp_path / "out/*.scp")).withColumn("path", F.concat(F.lit("file:"), "path"))
-    files = spark.read.format("binaryFile").load(str(tmp_path / "out/*.ark"))
-    assert {r.key: r.vector for r in ark.read_index(spark, index, files).collect()}["b"] == [0.5, 1.5]
+    index = ark.index_lines(spark, str(tmp_path / "out/*.scp"))
+    assert {r.key: r.vector for r in ark.read_index(index).collect()}["b"] == [0.5, 1.5]
     text = b"k1 1 2 3\nm1  [\n 1 2\n 3 4 ]\nf1  [ 1.5 2 ]\n"
     assert [(r["key"], r["ints"] or r["vector"] or r["matrix"]) for r in ark.records(text)] == [("k1", [1, 2, 3]), ("m1", [[1, 2], [3, 4]]), ("f1", [1.5, 2])]
     packed = b"z \0BCM2 " + struct.pack("<ffii", 0.0, 65535.0, 1, 2) + np.array([0, 65535], "<u2").tobytes()

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+import random
 import time
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from uttframe.functions import text as T
 from uttframe.operators import batching
 from uttframe.streaming import jobs
 
 
-def run(df, mode="append", rows=None):
-    """All rows that a streaming frame emits; a frame with timers never ends, so it is stopped when it has read so many rows."""
+def run(df, mode="append"):
+    """All rows that a streaming frame emits."""
     name = "q" + uuid.uuid4().hex
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
-    if rows is None:
-        q = writer.trigger(availableNow=True).start()
-        assert q.awaitTermination(90)
-    else:
-        q, end = writer.start(), time.time() + 90
-        while sum(p["numInputRows"] for p in q.recentProgress) < rows and time.time() < end and q.isActive:
-            time.sleep(0.2)
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # as timers make such batches for ever
+    q = writer.trigger(availableNow=True).start()
+    df.sparkSession.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    if not q.awaitTermination(60):
         q.stop()
+        raise AssertionError("the query didn't end")
     return q, name
 
 
@@ -67,20 +68,124 @@ def test_rejections(spark, stream):
     q.stop()
 
 
-def test_merged_utterances_match_the_batch(spark, stream):
-    rows = [("c", i, f"k-{'ab'[i % 2]}-{i}", f"t{i}", float(i % 5 + 1)) for i in range(30)]
-    df = spark.createDataFrame(rows, "c string, pos long, key string, txt string, seconds double")
-    want = {r.txt for r in batching.merge_utterances(df, "c", ["pos"]).collect()}
-    spoken = df.withColumn("spk", F.regexp_extract("key", "^(.*)-", 1))
-    q, name = run(jobs.merged_utterances(stream(spoken), "c", "spk", "pos", "seconds", "txt"), rows=30)
-    got = {r.txt for r in spark.table(name).collect()}
-    assert got <= want and len(want - got) <= 1  # the last one is still open
+def in_order(spark, stream_path, df, n=4):
+    """df written in n files of pos ranges, each older than the next, and the stream that takes one a trigger."""
+    top = df.agg(F.max("pos")).first()[0] + 1
+    for i in range(n):
+        df.filter(F.floor(F.col("pos") * n / top) == i).coalesce(1).write.mode("append").parquet(stream_path)
+        time.sleep(0.05)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(stream_path)
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = random.Random(4)
+    sizes = {"s": 90, "t": 41, "u": 1}
+    out = [(s, i, f"{s}{i}", float(rng.choice([100, 400, 1500, 3000])), f"job{rng.randrange(9)}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 4))), "ab"[rng.randrange(2)], rng.randrange(1, 9) / 2, i == n - 1) for s, n in sizes.items() for i in range(n)]
+    return spark.createDataFrame(out, "shard string, pos long, key string, length double, job string, txt string, speaker string, seconds double, last boolean")
+
+
+def keys_by_batch(found) -> dict:
+    out: dict = {}
+    for r in sorted(found, key=lambda r: r.pos):
+        if r.batch_id is not None:
+            out.setdefault((r.shard, r.batch_id), []).append(r.key)
+    return out
+
+
+def test_budgets_with_jobs_and_quotas_equal_the_batch_form(spark, tmp_path, rows):
+    place = rows.select("shard", "key", "pos")
+    for i, more in enumerate(({}, {"job": "job"}, {"job": "job", "text": "txt", "max_words_per_epoch": 12, "max_words_per_batch": 3})):
+        q, name = run(jobs.budget_batches(in_order(spark, str(tmp_path / str(i)), rows), "shard", "key", "pos", "length", 6000.0, 3_600_000, F.col("last"), **more))
+        got = {(r.shard, r.batch_id): r["keys"] for r in spark.table(name).collect()}
+        if more:
+            want = batching.distribute_batch(rows, "shard", ["pos"], "key", "length", "job", "txt", 6000.0, True, more.get("max_words_per_epoch", -1), more.get("max_words_per_batch", -1))
+        else:
+            want = batching.dynamic_batch(rows, "shard", ["pos"], "key", "length", 6000.0)
+        assert got == keys_by_batch(want.join(place, ["shard", "key"]).collect()) and len(got) > 12
+        assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 4
+
+
+def test_merged_utterances_equal_the_batch_form(spark, tmp_path, rows):
+    spoken = rows.withColumn("key", F.concat("speaker", F.lit("-"), "pos"))
+    want = Counter((r.shard, r.txt, r.seconds) for r in batching.merge_utterances(spoken.withColumn("_s", F.col("speaker")), "shard", ["pos"]).collect())
+    who = spoken.withColumn("speaker", T.speaker_of(F.col("key")))
+    q, name = run(jobs.merged_utterances(in_order(spark, str(tmp_path / "m"), who), "shard", "speaker", "pos", "seconds", "txt", 3_600_000, F.col("last")))
+    assert Counter((r.shard, r.txt, r.seconds) for r in spark.table(name).collect()) == want and sum(want.values()) > 30
+
+
+def plain_groups(rows: list, size: dict, max_held: int) -> list:
+    """A loop over rows (group, key): (group, number, keys) in the order in which they are sent."""
+    held: dict = {}
+    number: dict = {}
+    out = []
+
+    def send(g):
+        out.append((g, number.get(g, 0), held.pop(g)))
+        number[g] = number.get(g, 0) + 1
+
+    for g, key in rows:
+        held.setdefault(g, []).append(key)
+        if len(held[g]) == size[g]:
+            send(g)
+        if sum(map(len, held.values())) == max_held:
+            send(max(held, key=lambda x: len(held[x])))  # the first opened of the largest
+    for g in list(held):
+        send(g)
+    return out
+
+
+@pytest.mark.parametrize("max_held", [0, 7, 3])
+def test_groups_with_a_bound_equal_a_plain_loop(spark, tmp_path, rows, max_held):
+    group = F.pmod(F.xxhash64("key"), F.lit(4))
+    size = F.element_at(F.array(*map(F.lit, (3, 5, 9, 40))), (group + 1).cast("int"))
+    q, name = run(jobs.group_batches(in_order(spark, str(tmp_path / "g"), rows), "shard", "key", "pos", group, size, 3_600_000, F.col("last"), max_held))
+    got = {(r.shard, r.group, r.batch_id, tuple(r["keys"])) for r in spark.table(name).collect()}
+    want = set()
+    for shard in "stu":
+        own = rows.filter(F.col("shard") == shard).orderBy("pos").select(group.alias("g"), "key").collect()
+        want |= {(shard, g, n, tuple(keys)) for g, n, keys in plain_groups([(r.g, r.key) for r in own], {0: 3, 1: 5, 2: 9, 3: 40}, max_held)}
+    assert got == want and sum(len(x[3]) for x in got) == rows.count()
+
+
+def test_numbers_go_on_after_a_quiet_time(spark, tmp_path, rows):
+    path, s = str(tmp_path / "q"), rows.filter("shard = 's'").withColumn("last", F.lit(False))
+    s.filter("pos < 40").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(s.schema).parquet(path)
+    name = "q" + uuid.uuid4().hex
+    q = jobs.group_batches(stream, "shard", "key", "pos", F.lit(0), F.lit(16), 500).writeStream.format("memory").queryName(name).start()
+
+    def wait(n):
+        end = time.time() + 60
+        while spark.table(name).count() < n and time.time() < end:
+            time.sleep(0.3)
+        return sorted((r.batch_id, len(r["keys"])) for r in spark.table(name).collect())
+
+    assert wait(3) == [(0, 16), (1, 16), (2, 8)]
+    s.filter("pos BETWEEN 40 AND 60").coalesce(1).write.mode("append").parquet(path)
+    assert wait(5) == [(0, 16), (1, 16), (2, 8), (3, 16), (4, 5)]
     q.stop()
 
 
-def test_budget_and_quota(spark, stream):
-    df = spark.createDataFrame([("s", f"k{i}", i, 4000.0, "a b" if i < 3 else "c") for i in range(8)], "shard string, key string, pos int, length double, txt string")
-    q, name = run(jobs.budget_batches(stream(df.coalesce(1)), "shard", "key", "pos", "length"), rows=8)
-    assert [r["keys"] for r in spark.table(name).orderBy("batch_id").collect()][:2] == [["k0", "k1", "k2"], ["k3", "k4", "k5"]]
-    q, name = run(jobs.word_quota(stream(df.coalesce(1)), "shard", "pos", "txt", 2), rows=8)
-    assert sorted(r.pos for r in spark.table(name).collect()) == [0, 1, 3, 4]
+def test_word_quotas_over_four_batches(spark, tmp_path, rows):
+    q, name = run(jobs.word_quota(in_order(spark, str(tmp_path / "w"), rows), "shard", "pos", "txt", 5))
+    want = set()
+    for shard in "stu":
+        seen: Counter = Counter()
+        for r in rows.filter(F.col("shard") == shard).orderBy("pos").collect():
+            words = r.txt.split(" ")
+            if any(seen[w] < 5 for w in words):
+                seen.update(words)
+                want.add((shard, r.pos))
+    assert {(r.shard, r.pos) for r in spark.table(name).collect()} == want
+
+
+def test_counts_that_a_listener_writes(spark, stream, tmp_path):
+    df = spark.createDataFrame([(i, [None, "minlen", "maxlen"][i % 3]) for i in range(9)], "i int, reason string")
+    listener = jobs.CountTable(str(tmp_path / "counts"), "rejections")
+    spark.streams.addListener(listener)
+    run(jobs.rejections(stream(df, 3), F.col("reason")))
+    assert listener.ended.wait(30)
+    spark.streams.removeListener(listener)
+    found = {r.reason: r.n for r in jobs.count_table(spark, str(tmp_path / "counts")).groupBy("reason").agg(F.sum("n").alias("n")).collect()}
+    assert (found["rows"], found["minlen"], found["maxlen"], found["min_ratio"]) == (9, 3, 3, 0)

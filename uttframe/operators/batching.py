@@ -1,8 +1,10 @@
 """Batches: by count, length bucket, window, frame budget; collation; shards; merging of utterances.
 
-Order is explicit everywhere: ``shard`` and ``order`` columns. Budgets are sequential, so they are folds within a shard;
-only keys, lengths and word hashes enter Python, in Arrow batches, and parallelism is the number of shards. A fold holds a
-batch of rows and its own state (for word quotas, the counts of a shard's distinct words), never a whole shard.
+Order is explicit everywhere: ``shard`` and ``order`` columns. Budgets are sequential. Where shards are short, each is a fold
+in one task; where one has more than ``cuts.BLOCK`` rows, blocks of its rows are cut in parallel (``cuts``), with the same
+result. Word quotas depend on all rows before, and batches of more than ``cuts.REACH`` rows on too many, so these are folds
+in any case. Only keys, lengths and word hashes enter Python, in Arrow batches. A fold holds a batch of rows and its own
+state (for word quotas, the counts of a shard's distinct words), never a whole shard.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.stage import materialise
 from ..functions.text import SWITCH, speaker_of
+from . import cuts
 
 
 ROWS = 10_000  # of a fold's result in a batch
@@ -80,8 +83,15 @@ def budget(rows: Iterator[tuple], most: float, drop_trigger: bool = False) -> It
         yield key, batch
 
 
+def _long(df: DataFrame, shard: str) -> bool:
+    """Whether a shard is worth cutting in parallel."""
+    return (df.groupBy(shard).count().agg(F.max("count")).first()[0] or 0) > cuts.BLOCK
+
+
 def dynamic_batch(df: DataFrame, shard: str, order: list[str], key: str, length: str, max_frames: float = 12000, drop_trigger: bool = False) -> DataFrame:
     """(shard, key, batch_id)."""
+    if _long(df, shard) and (found := cuts.cut(df, shard, order, key, {"length": length}, cuts.Budget(max_frames, drop_trigger))) is not None:
+        return found
     kind = df.schema[key].dataType.simpleString()
     return _fold(df, shard, order, [key, length], lambda rows: budget(rows, max_frames, drop_trigger), f"{key} {kind}, batch_id long")
 
@@ -112,6 +122,10 @@ def quotas(rows: Iterator[tuple], most: float, one_per_job: bool, per_epoch: int
 
 def distribute_batch(df: DataFrame, shard: str, order: list[str], key: str, length: str, job: str, text: str, max_frames: float = 12000, one_per_job: bool = True, max_words_per_epoch: int = -1, max_words_per_batch: int = -1) -> DataFrame:
     """(shard, key, batch_id), batch_id null for rows that a rule leaves out; rows without a job count as one job."""
+    if one_per_job and max(max_words_per_epoch, max_words_per_batch) <= 0 and _long(df, shard):
+        found = cuts.cut(df, shard, order, key, {"length": length, "job": job}, cuts.OnePerJob(max_frames))
+        if found is not None:
+            return found.select(shard, key, F.when(F.col("taken"), F.col("batch_id")).alias("batch_id"))
     kind = df.schema[key].dataType.simpleString()
     step = lambda rows: quotas(rows, max_frames, one_per_job, max_words_per_epoch, max_words_per_batch)
     words = F.transform(F.split(F.coalesce(text, F.lit("")), " ", -1), lambda w: F.xxhash64(w))
@@ -165,7 +179,10 @@ def merge_utterances(df: DataFrame, shard: str, order: list[str], key: str = "ke
     """(shard, key of the first, n, seconds, txt) of merged utterances."""
     kind = df.schema[key].dataType.simpleString()
     keyed = df.withColumn("_spk", speaker_of(F.col(key).cast("string")))
-    groups = _fold(keyed, shard, order, [key, "_spk", seconds], lambda rows: merges(rows, least, enough, most, n_most), f"{key} {kind}, group_id long, sep string")
+    groups = cuts.cut(keyed, shard, order, key, {"speaker": "_spk", "seconds": seconds}, cuts.Merge(least, enough, most, n_most)) if _long(df, shard) else None
+    if groups is None:
+        groups = _fold(keyed, shard, order, [key, "_spk", seconds], lambda rows: merges(rows, least, enough, most, n_most), f"{key} {kind}, group_id long, sep string")
+    groups = groups.withColumnRenamed("batch_id", "group_id")
     rows = df.join(groups, [shard, key]).groupBy(shard, "group_id").agg(
         F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("_key"), F.col("sep").alias("_sep"), F.col(text).alias("_text")))).alias("r"), F.sum(seconds).alias("seconds"), F.count("*").alias("n"))
     joined = F.array_join(F.transform("r", lambda x: F.concat(x["_sep"], x["_text"])), "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -98,6 +98,87 @@ def align(df: DataFrame, key: str, ref: str, hyp: str, same: dict[str, str] | No
     return df.select(key, ref, hyp).mapInPandas(run, schema)
 
 
+#: An error's cost, and a match's gain: the fewest errors first, then the most matches, then the fewest substitutions.
+ERROR, MATCH = 1 << 42, 1 << 21
+
+
+def graph_counts(ref: list[str], hyp: list[str], others: Iterable[tuple[int, int, Sequence[str]]]) -> tuple[int, int, int, int]:
+    """(correct, substitutions, deletions, insertions) of hyp against the best reading of ref.
+
+    others has (start, end, words): ref[start:end] may be read as these words, any number of them. The readings are the paths
+    of a graph whose nodes are the places between words. The table of costs has a row for each node, and for each place
+    inside an edge of several words; rows that no later edge needs are dropped.
+    """
+    ids: dict[str, int] = {}
+    h = np.array([ids.setdefault(w, len(ids)) for w in hyp], dtype=np.int64)
+    ramp = np.arange(len(h) + 1, dtype=np.int64) * ERROR
+    edges: dict[int, list[tuple[int, Sequence[str]]]] = {}
+    for start, end, words in others:
+        if 0 <= start < end <= len(ref):
+            edges.setdefault(start, []).append((end, words))
+    due: dict[int, np.ndarray] = {0: ramp.copy()}
+
+    def after(row: np.ndarray, word: str) -> np.ndarray:
+        out = row + ERROR
+        np.minimum(out[1:], row[:-1] + np.where(h == ids.get(word, -1), -MATCH, ERROR + 1), out=out[1:])
+        return np.minimum.accumulate(out - ramp) + ramp
+
+    for at, own in enumerate(ref):
+        row = due.pop(at)
+        for end, words in [(at + 1, (own,)), *edges.get(at, [])]:
+            new = row
+            for word in words:
+                new = after(new, word)
+            due[end] = np.minimum(due[end], new) if end in due else new
+    total = int(due[len(ref)][-1])
+    substitutions, rest = total % MATCH, total // MATCH
+    correct = -rest % MATCH
+    errors = (rest + correct) // MATCH
+    insertions = len(h) - correct - substitutions
+    return correct, substitutions, errors - substitutions - insertions, insertions
+
+
+class Rules:
+    """Phrases with other phrases that they may be read as, found by their first word."""
+
+    def __init__(self, rules: Iterable[tuple[Sequence[str], Sequence[str]]]) -> None:
+        self.by_first: dict[str, list[tuple[list[str], list[str]]]] = {}
+        for phrase, other in rules:
+            if phrase:
+                self.by_first.setdefault(phrase[0], []).append((list(phrase), list(other)))
+
+    def others(self, ref: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+        for i, word in enumerate(ref):
+            for phrase, other in self.by_first.get(word, ()):
+                if ref[i : i + len(phrase)] == phrase:
+                    yield i, i + len(phrase), other
+
+
+def align_readings(df: DataFrame, key: str, ref: str, hyp: str, rules: Iterable[tuple[Sequence[str], Sequence[str]]] = (), readings: str | None = None) -> DataFrame:
+    """As ``align``, against the best reading of each reference; num_ref counts the words of that reading.
+
+    rules: phrases and what they may be read as, wherever they stand (a synonym file's, so a short list). readings: a column
+    with a row's own, an array of (start, end, words). Null arrays count as empty ones.
+    """
+    known = Rules(rules)
+    plain = lambda xs: [] if xs is None else list(xs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, r, h, own in zip(pdf["k"], pdf["r"], pdf["h"], pdf["own"], strict=True):
+                words = plain(r)
+                others = [*known.others(words), *[(x["start"], x["end"], plain(x["words"])) for x in plain(own)]]
+                c, s, d, i = graph_counts(words, plain(h), others)
+                out.append((k, c, s, d, i, s + d + i, c + s + d))
+            yield pd.DataFrame(out, columns=names)
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, correct long, substitutions long, deletions long, insertions long, num_errors long, num_ref long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    own = F.transform(readings, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["words"].alias("words"))) if readings else F.array().cast("array<struct<start:int,end:int,words:array<string>>>")
+    return df.select(F.col(key).alias("k"), F.col(ref).alias("r"), F.col(hyp).alias("h"), own.alias("own")).mapInPandas(run, schema)
+
+
 def word_error_rate(counts: DataFrame, *by: str) -> DataFrame:
     """Micro averages of rows with insertions, deletions, substitutions, num_errors, num_ref; without groups, no reference words are an error."""
     summed = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("insertions", "deletions", "substitutions", "num_errors", "num_ref")])

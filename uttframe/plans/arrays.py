@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import numeric as N
 from ..functions import text as T
 from ..functions import tokenizers
-from ..functions.stage import stage_path
+from ..functions.stage import materialise, stage_path
 from ..operators import alignment, batching, bias, features, filters, sequences, vocab
 from ..streaming import jobs
 from .base import Tables, query
@@ -275,60 +277,96 @@ def pipeline_in_order(t: Tables) -> DataFrame:
     return build_pipeline(conf)(rows).select("shard", "key", "batch_id", F.size("label").cast("long").alias("n_tokens"))
 
 
-# Streams: each table as a stream of one batch, its result read from a table
-
-
-def _events(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+# Streams: a table comes in four parts, each a run of the stream that goes on from the state of the one before
 
 
-def _streamed(t: Tables, rows: DataFrame, mode: str, columns: list[Column]) -> DataFrame:
+def _streamed(t: Tables, job: Callable[[DataFrame], DataFrame], mode: str, columns: list[Column], listener: jobs.CountTable | None = None) -> DataFrame:
+    """The results of job(events as a stream), read from a table. ``last`` marks the last event of a type."""
     root = stage_path(t.spark, "stream")
+    top = t.events.agg(F.max("event_id").alias("_top"))
+    last = F.col("event_id") == F.max("event_id").over(Window.partitionBy("event_type"))
+    events = materialise(t.events.withColumn("last", last).withColumn("ts", F.col("ts").cast("timestamp")).crossJoin(F.broadcast(top)), "stream-events")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.select(*columns).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/out")
 
-    q = rows.writeStream.outputMode(mode).trigger(once=True).foreachBatch(keep).option("checkpointLocation", f"{root}/state").start()
-    q.awaitTermination()
+    t.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers would make such batches for ever
+    for i in range(4):
+        events.filter(F.floor(F.col("event_id") * 4 / (F.col("_top") + 1)) == i).drop("_top").write.mode("append").parquet(f"{root}/in")
+        stream = t.spark.readStream.schema(events.drop("_top").schema).parquet(f"{root}/in")
+        q = job(stream).writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(keep).option("checkpointLocation", f"{root}/state").start()
+        q.awaitTermination()
+        if listener:
+            listener.ended.wait(60)
     return t.spark.read.parquet(f"{root}/out")
 
 
 @query("SELECT user_id % 7 AS suite, sum(event_id % 5)::BIGINT AS num_errors, count(*) * 10 AS num_ref, round(sum(event_id % 5) / (count(*) * 10.0::DOUBLE), 9) AS wer FROM events GROUP BY suite")
 def stream_wer(t: Tables) -> DataFrame:
-    counts = _events(t).select((F.col("user_id") % 7).alias("suite"), (F.col("event_id") % 5).alias("num_errors"), F.lit(10).cast("long").alias("num_ref"))
-    return _streamed(t, jobs.running_wer(counts, "suite"), "complete", [F.col("suite"), F.col("num_errors"), F.col("num_ref"), F.round("wer", 9).alias("wer")])
+    counts = lambda e: e.select((F.col("user_id") % 7).alias("suite"), (F.col("event_id") % 5).alias("num_errors"), F.lit(10).cast("long").alias("num_ref"))
+    return _streamed(t, lambda e: jobs.running_wer(counts(e), "suite"), "complete", [F.col("suite"), F.col("num_errors"), F.col("num_ref"), F.round("wer", 9).alias("wer")])
 
 
 @query("SELECT event_type, s AS chunk_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour', time_bucket(INTERVAL '1 hour', ts)]) AS s FROM events) GROUP BY ALL")
 def stream_context_chunks(t: Tables) -> DataFrame:
     """Hour chunks that also see the hour before: windows of two hours, an hour apart."""
-    rows = jobs.context_chunks(_events(t), "ts", [F.count("*").alias("n")], "event_type", seconds=3600)
-    return _streamed(t, rows, "complete", [F.col("event_type"), F.col("chunk.start").cast("timestamp_ntz").alias("chunk_start"), F.col("n")])
+    job = lambda e: jobs.context_chunks(e, "ts", [F.count("*").alias("n")], "event_type", seconds=3600)
+    return _streamed(t, job, "complete", [F.col("event_type"), F.col("chunk.start").cast("timestamp_ntz").alias("chunk_start"), F.col("n")])
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_one_per_job(t: Tables) -> DataFrame:
-    rows = jobs.one_per_job(_events(t), "ts", "user_id")
-    return _streamed(t, rows.select("user_id"), "append", [F.col("user_id")])
+    return _streamed(t, lambda e: jobs.one_per_job(e, "ts", "user_id", late="3650 days"), "append", [F.col("user_id")])
 
 
 @query("SELECT event_id FROM events WHERE value BETWEEN 5 AND 50")
 def stream_rejections(t: Tables) -> DataFrame:
-    stream = _events(t)
-    rows = jobs.rejections(stream, F.when(F.col("value") < 5, "minlen").when(F.col("value") > 50, "maxlen"))
-    return _streamed(t, rows.select("event_id"), "append", [F.col("event_id")])
+    return _streamed(t, lambda e: jobs.rejections(e, _reason()), "append", [F.col("event_id")])
+
+
+@query("SELECT 'rejections' AS stage, unnest(['rows', 'minlen', 'maxlen']) AS reason, unnest([count(*), count(*) FILTER (WHERE value < 5), count(*) FILTER (WHERE value > 50)]) AS n FROM events")
+def stream_rejection_counts(t: Tables) -> DataFrame:
+    """Counts by reason, from the table that a listener of the stream writes."""
+    path = stage_path(t.spark, "counts")
+    listener = jobs.CountTable(path, "rejections")
+    t.spark.streams.addListener(listener)
+    try:
+        _streamed(t, lambda e: jobs.rejections(e, _reason()), "append", [F.col("event_id")], listener)
+    finally:
+        t.spark.streams.removeListener(listener)
+    rows = jobs.count_table(t.spark, path).groupBy("stage", "reason").agg(F.sum("n").alias("n"))
+    return rows.filter("n > 0 OR reason IN ('rows', 'minlen', 'maxlen')")
+
+
+def _reason() -> Column:
+    return F.when(F.col("value") < 5, "minlen").when(F.col("value") > 50, "maxlen")
 
 
 @query("SELECT event_type AS shard, event_id AS pos, user_id::VARCHAR AS txt FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events) WHERE n <= 3")
 def stream_word_quota(t: Tables) -> DataFrame:
     """Rows whose one word, the user, was seen fewer than three times in the shard."""
-    rows = jobs.word_quota(_events(t).withColumn("txt", F.col("user_id").cast("string")), "event_type", "event_id", "txt", 3)
-    return _streamed(t, rows, "append", [F.col("shard"), F.col("pos"), F.col("txt")])
+    job = lambda e: jobs.word_quota(e.withColumn("txt", F.col("user_id").cast("string")), "event_type", "event_id", "txt", 3)
+    return _streamed(t, job, "append", [F.col("shard"), F.col("pos"), F.col("txt")])
 
 
-@query("SELECT shard, bucket, batch_id, list(event_id::VARCHAR ORDER BY event_id) AS keys FROM (SELECT *, (row_number() OVER (PARTITION BY shard, bucket ORDER BY event_id) - 1) // CASE bucket WHEN 0 THEN 4 ELSE 2 END AS batch_id FROM (SELECT event_type AS shard, event_id, CASE WHEN value < 10 THEN 0 ELSE 1 END AS bucket FROM events)) GROUP BY ALL HAVING count(*) = CASE bucket WHEN 0 THEN 4 ELSE 2 END")
+@query("SELECT shard, bucket, batch_id, list(event_id::VARCHAR ORDER BY event_id) AS keys FROM (SELECT *, (row_number() OVER (PARTITION BY shard, bucket ORDER BY event_id) - 1) // CASE bucket WHEN 0 THEN 4 ELSE 2 END AS batch_id FROM (SELECT event_type AS shard, event_id, CASE WHEN value < 10 THEN 0 ELSE 1 END AS bucket FROM events)) GROUP BY ALL")
 def stream_bucket_batches(t: Tables) -> DataFrame:
-    """Full batches of two length buckets; what is left of a bucket waits in its state."""
+    """Batches of two length buckets; what is left of a bucket at the end of a shard is a batch too."""
     bucket = batching.bucket_of(F.col("value"), [10])
-    rows = jobs.group_batches(_events(t), "event_type", "event_id", "event_id", bucket, F.when(bucket == 0, 4).otherwise(2), wait_ms=3_600_000)
-    return _streamed(t, rows, "append", [F.col("shard"), F.col("group").cast("int").alias("bucket"), F.col("batch_id"), F.col("keys")])
+    job = lambda e: jobs.group_batches(e, "event_type", "event_id", "event_id", bucket, F.when(bucket == 0, 4).otherwise(2), wait_ms=3_600_000, last=F.col("last"))
+    return _streamed(t, job, "append", [F.col("shard"), F.col("group").cast("int").alias("bucket"), F.col("batch_id"), F.col("keys")])
+
+
+@query("SELECT event_type AS shard, batch_id, list(event_id::VARCHAR ORDER BY event_id) AS keys FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 6 AS batch_id FROM events) GROUP BY ALL")
+def stream_budget_batches(t: Tables) -> DataFrame:
+    """Batches of a budget of six rows of one length, cut while a shard streams in."""
+    job = lambda e: jobs.budget_batches(e.withColumn("length", F.lit(100.0)), "event_type", "event_id", "event_id", "length", 650.0, 3_600_000, F.col("last"))
+    return _streamed(t, job, "append", [F.col("shard"), F.col("batch_id"), F.col("keys")])
+
+
+@query("SELECT event_type AS shard, min(event_id) AS pos, sum(2.0::DOUBLE) AS seconds, string_agg(event_id::VARCHAR, ' ' ORDER BY event_id) AS txt FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 6 AS g FROM events) GROUP BY event_type, g")
+def stream_merged(t: Tables) -> DataFrame:
+    """Utterances of two seconds and one speaker, merged to 12 seconds."""
+    named = lambda e: e.select("event_type", "event_id", F.lit("s").alias("speaker"), F.lit(2.0).alias("seconds"), F.col("event_id").cast("string").alias("txt"), "last")
+    job = lambda e: jobs.merged_utterances(named(e), "event_type", "speaker", "event_id", "seconds", "txt", 3_600_000, F.col("last"))
+    return _streamed(t, job, "append", [F.col("shard"), F.col("pos"), F.col("seconds"), F.col("txt")])

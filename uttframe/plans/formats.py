@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stage import stage_path
 from ..operators import bias, features, scoring
+from ..functions import files
 from ..sources import archives, ark, sinks
 from ..sources import text as S
 from .base import Tables, query
@@ -174,7 +175,8 @@ def loss_lines(t: Tables) -> DataFrame:
 
 @query("SELECT n_nationkey % 20 AS epoch, n_nationkey::BIGINT * 1000 AS step, n_regionkey + 0.5::DOUBLE AS loss, n_name AS tag FROM nation")
 def snapshot_files(t: Tables) -> DataFrame:
-    text = F.concat_ws("\n", F.concat(F.lit("epoch: "), F.col("n_nationkey") % 20), F.concat(F.lit("step: "), F.col("n_nationkey") * 1000), F.concat(F.lit("loss: "), F.col("n_regionkey") + 0.5, F.lit("  # of the last epoch")), F.concat(F.lit("tag: "), F.col("n_name")))
+    # A repeated field counts with its last value.
+    text = F.concat_ws("\n", F.lit("epoch: 99"), F.lit("loss: 0.25"), F.concat(F.lit("epoch: "), F.col("n_nationkey") % 20), F.concat(F.lit("step: "), F.col("n_nationkey") * 1000), F.concat(F.lit("loss: "), F.col("n_regionkey") + 0.5, F.lit("  # of the last epoch")), F.concat(F.lit("tag: "), F.col("n_name")))
     rows = t.nation.select("n_nationkey", text.alias("value"))
     return S.snapshots(t.spark, _written(t, rows, "snapshots", "n_nationkey")).select("epoch", "step", "loss", "tag")
 
@@ -248,8 +250,27 @@ def _archive(t: Tables, kind: str) -> DataFrame:
     return pages.groupBy("shard").applyInPandas(_pack(kind), "path string, content binary")
 
 
-def _samples(files: DataFrame) -> DataFrame:
-    rows = archives.explode_archives(files)
+def _stored(t: Tables, kinds: dict[str, str]) -> str:
+    """A folder with the archives of each kind in kinds, the values their suffixes; tasks write them."""
+    folder = stage_path(t.spark, "archives")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, name = files.system(folder)
+        where.create_dir(name)
+        for pdf in batches:
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                with where.open_output_stream(f"{name}/{path}") as f:
+                    f.write(data)
+            yield pdf[["path"]]
+
+    for kind, suffix in kinds.items():
+        named = _archive(t, kind).withColumn("path", F.replace("path", F.lit(f".{kind}"), F.lit(f".{suffix}")))
+        named.mapInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _samples(t: Tables, kind: str) -> DataFrame:
+    rows = archives.archives(t.spark, _stored(t, {kind: kind}), range_bytes=1 << 16).withColumn("file_name", F.element_at(F.split("file_name", "/"), -1))
     return rows.select("key", "file_name", F.decode("wav", "utf-8").alias("wav"), F.md5("txt").alias("digest"), F.try_element_at("extras", F.lit("url")).alias("url"), "error")
 
 
@@ -259,19 +280,18 @@ def _samples_sql(kind: str) -> str:
 
 @query(_samples_sql("tar"))
 def tar_shards(t: Tables) -> DataFrame:
-    return _samples(_archive(t, "tar"))
+    return _samples(t, "tar")
 
 
 @query(_samples_sql("zip"))
 def zip_shards(t: Tables) -> DataFrame:
-    return _samples(_archive(t, "zip"))
+    return _samples(t, "zip")
 
 
 @query("""SELECT kind, count(*) AS n_rows, count(*) FILTER (WHERE kind = 'bin') AS n_errors FROM (SELECT DISTINCT page_id // 20 AS shard, 'bin' AS kind FROM pages UNION ALL SELECT page_id, 'tar.gz' FROM pages UNION ALL SELECT page_id, 'zip' FROM pages) GROUP BY kind""")
 def archive_kinds(t: Tables) -> DataFrame:
     """Archives of three kinds told apart by suffix; one of no known kind is one row with an error."""
-    other = _archive(t, "tar").withColumn("path", F.replace("path", F.lit(".tar"), F.lit(".bin")))
-    rows = archives.explode_archives(_archive(t, "tar.gz").unionByName(_archive(t, "zip")).unionByName(other))
+    rows = archives.archives(t.spark, _stored(t, {"tar.gz": "tar.gz", "zip": "zip", "tar": "bin"}))
     return rows.groupBy(F.regexp_extract("file_name", r"shard-\d+\.(.*)$", 1).alias("kind")).agg(F.count("*").alias("n_rows"), F.count("error").alias("n_errors"))
 
 
@@ -314,29 +334,21 @@ def wave_slices(t: Tables) -> DataFrame:
 @query("""SELECT 'i' || vec_id AS key, 'ints' AS kind, label + 7.0::DOUBLE AS total FROM embeddings UNION ALL SELECT 'v' || vec_id, 'vector', round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) FROM embeddings
     UNION ALL SELECT 'm' || vec_id, 'matrix', round(2 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) FROM embeddings""")
 def binary_records(t: Tables) -> DataFrame:
-    """Integer vectors, vectors and matrices as binary records, put together to files and read by their index."""
+    """Integer vectors, vectors and matrices as binary records, written with their indexes and read by these."""
     e, none = t.embeddings, [F.lit(None).cast(k) for k in ("array<int>", "array<double>", "array<array<double>>")]
     x = F.col("embedding").cast("array<double>")
     named = lambda prefix, *cols: e.select(F.concat(F.lit(prefix), F.col("vec_id").cast("string")).alias("key"), *[c.alias(n) for c, n in zip(cols, ("ints", "vector", "matrix"), strict=True)])
     rows = named("i", F.array("label", F.lit(7)), none[1], none[2]).unionByName(named("v", none[0], x, none[2])).unionByName(named("m", none[0], none[1], F.array(x, x)))
-    shard = F.pmod(F.xxhash64("key"), F.lit(8))
-    stored = ark.to_records(rows.repartition(8, shard)).withColumn("path", F.format_string("part-%d", "part"))
-    stored = t.spark.read.parquet(_parquet(t, stored, "records"))
-    empty = F.lit(b"").cast("binary")
-    files = stored.groupBy("path").agg(F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("offset", "record"))), lambda r: r["record"]), empty, lambda a, r: F.concat(a, r)).alias("content"))
-    back = ark.read_index(t.spark, stored.select("key", "path", "offset"), files)
+    ark.register(t.spark)
+    folder = stage_path(t.spark, "records")
+    rows.write.format("ark").mode("append").save(folder)
+    back = t.spark.read.format("ark").load(folder)
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
     kind = F.when(F.col("ints").isNotNull(), "ints").when(F.col("vector").isNotNull(), "vector").otherwise("matrix")
     total = F.coalesce(F.aggregate("ints", F.lit(0.0), lambda a, v: a + v), F.round(add(F.col("vector")), 4), F.round(add(F.flatten("matrix")), 4))
     return back.select("key", kind.alias("kind"), total.alias("total"))
 
 
-def _parquet(t: Tables, rows: DataFrame, name: str) -> str:
-    path = stage_path(t.spark, name)
-    rows.write.parquet(path)
-    return path
-
-
 @query("SELECT 'r' || c_custkey AS key, 'part-' || c_nationkey || '.ark' AS path, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey END AS offset FROM customer")
 def index_lines(t: Tables) -> DataFrame:
     at = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit(":"), F.col("c_custkey"))).otherwise("")

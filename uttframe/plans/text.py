@@ -147,6 +147,25 @@ def wer_align(t: Tables) -> DataFrame:
     return scoring.align(_hypotheses(t), "item_id", "ref", "hyp")
 
 
+READINGS = f"""SELECT item_id, n - m5 + m3 + m1 AS correct, m5 AS substitutions, 0::BIGINT AS deletions, 0::BIGINT AS insertions, m5 AS num_errors, n + m3 + m1 AS num_ref FROM (
+    SELECT item_id, count(*) AS n, count(*) FILTER (WHERE i % 7 = 3) AS m3, count(*) FILTER (WHERE i % 7 = 5) AS m5, count(*) FILTER (WHERE i % 5 = 1) AS m1
+    FROM (SELECT item_id, unnest(range(len({WORDS}))) AS i FROM benchmark) GROUP BY item_id)"""
+
+
+@query(READINGS)
+def wer_readings(t: Tables) -> DataFrame:
+    """References with "going to" before some words, which a rule reads as "gonna", and words with a reading of two words of their own; some words are wrong."""
+    w = T.split_words(F.col("text"))
+    ref = F.flatten(F.transform(w, lambda x, i: F.when(i % 5 == 1, F.array(F.lit("going"), F.lit("to"), x)).otherwise(F.array(x))))
+    gonna = lambda x, i: F.when(i % 5 == 1, F.concat(F.array(F.lit("gonna")), x)).otherwise(x)
+    hyp = F.flatten(F.transform(w, lambda x, i: gonna(F.when(i % 7 == 3, F.array(F.concat(F.lit("1-"), x), F.lit("2-"))).when(i % 7 == 5, F.array(F.lit("wrong-"))).otherwise(F.array(x)), i)))
+    # Word i of the text is behind two more words for each of the i + 4 div 5 places up to it.
+    at = lambda i: i + 2 * F.floor((i + 4) / 5)
+    own = F.filter(F.transform(w, lambda x, i: F.when(i % 7 == 3, F.struct(at(i).alias("start"), (at(i) + 1).alias("end"), F.array(F.concat(F.lit("1-"), x), F.lit("2-")).alias("words")))), lambda x: x.isNotNull())
+    rows = t.benchmark.select("item_id", ref.alias("ref"), hyp.alias("hyp"), own.alias("own"))
+    return scoring.align_readings(rows, "item_id", "ref", "hyp", [(("going", "to"), ("gonna",))], "own")
+
+
 @query(f"SELECT item_id, num_errors AS distance FROM ({COUNTS})")
 def wer_distance(t: Tables) -> DataFrame:
     return _hypotheses(t).select("item_id", scoring.distance(F.col("ref"), F.col("hyp")).cast("long").alias("distance"))

@@ -1,21 +1,37 @@
-"""Utterances in tar and zip shards, and waveforms: a task reads an archive whole from bytes that Spark delivers."""
+"""Utterances in tar and zip shards, and waveforms.
+
+``archives`` reads files of any size in two passes. The first lists their samples, from the heads of a tar's members or a
+zip's directory: names, offsets and sizes, a row a sample. The second deals ranges of archives to tasks, which open each
+archive once and read the members of their samples by seeking. A compressed tar has no places to seek to, so it is read as
+a stream by one task. ``explode_archives`` takes archives that are values of a column.
+"""
 
 from __future__ import annotations
 
 import io
+import struct
 import tarfile
 import wave
 import zipfile
+import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import open_range
+from ..functions.stage import materialise
+
 AUDIO = frozenset(("flac", "mp3", "m4a", "ogg", "opus", "wav", "wma"))
 SOME = 16  # samples that leave Python at once
+RANGE = 64 << 20  # bytes of an archive that a task reads
+#: A sample's members: where its bytes begin (in a zip, its local head), how many are stored, how (none, or deflated), size and checksum (zip) of the bytes.
+LISTED = "path string, place long, key string, members array<struct<postfix:string,at:long,stored:long,method:int,size:long,crc:long>>, error string"
+STREAM = -1  # method of a whole compressed tar
+BROKEN = (ValueError, tarfile.TarError, zipfile.BadZipFile, EOFError, OSError, zlib.error, struct.error)
 SCHEMA = "key string, file_name string, tar_file_name string, wav binary, txt string, extras map<string,string>, error string"
 
 
@@ -36,10 +52,10 @@ def _sample(prefix: str, parts: dict[str, bytes], shard: str) -> dict:
     return row
 
 
-def tar_samples(data: bytes, shard: str) -> Iterator[dict]:
+def tar_samples(data: bytes | io.BufferedIOBase, shard: str) -> Iterator[dict]:
     """Consecutive members with one prefix (up to the last dot) are a sample; one that doesn't decode makes it an error."""
     prefix, parts = None, {}
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
+    with tarfile.open(fileobj=io.BytesIO(data) if isinstance(data, bytes | bytearray) else data, mode="r:*" if isinstance(data, bytes | bytearray) else "r|*") as archive:
         for member in archive:
             stem, dot, postfix = member.name.rpartition(".")
             if not dot or not member.isfile():
@@ -53,6 +69,117 @@ def tar_samples(data: bytes, shard: str) -> Iterator[dict]:
         yield _sample(prefix, parts, shard)
 
 
+def _failed(path: str, error: Exception | str) -> dict:
+    return {"file_name": path, "tar_file_name": path, "extras": {}, "error": str(error) or type(error).__name__}
+
+
+def _tar_list(f: io.BufferedIOBase) -> Iterator[tuple[str, list[tuple]]]:
+    """Prefix and members of each sample of a plain tar, from the heads alone."""
+    with tarfile.open(fileobj=f, mode="r:") as archive:
+
+        def members() -> Iterator[tuple[str, tuple]]:
+            while (m := archive.next()) is not None:
+                archive.members.clear()  # kept by the library for lookups that aren't made here
+                stem, dot, postfix = m.name.rpartition(".")
+                if dot and m.isfile():
+                    yield stem, (postfix, m.offset_data, m.size, 0, m.size, None)
+
+        for stem, own in groupby(members(), lambda x: x[0]):
+            yield stem, list({m[0]: m for _, m in own}.values())
+
+
+def _zip_list(f: io.BufferedIOBase) -> Iterator[tuple[str, list[tuple]]]:
+    """The same of a zip, from its directory: each wav member, with every other postfix of the archive under its prefix."""
+    try:
+        with zipfile.ZipFile(f) as archive:
+            entries = {x.filename: x for x in archive.infolist()}
+    except ValueError:  # a seek before the file's start
+        raise zipfile.BadZipFile("File is not a zip file") from None
+    postfixes = sorted({n.rpartition(".")[2] for n in entries if "." in n} - {"wav"})
+    for name in sorted(n for n in entries if n.endswith(".wav")):
+        stem = name.removesuffix(".wav")
+        own = [(p, entries[n]) for p in ("wav", *postfixes) if (n := f"{stem}.{p}") in entries]
+        yield stem, [(p, x.header_offset, x.compress_size, x.compress_type, x.file_size, x.CRC) for p, x in own]
+
+
+def _member(f: io.BufferedIOBase, m: dict) -> bytes:
+    f.seek(m["at"])
+    if m["crc"] is None:
+        data = f.read(m["stored"])
+        if len(data) < m["stored"]:
+            raise EOFError("unexpected end of data")
+        return data
+    head = f.read(30)
+    name, extra = struct.unpack("<HH", head[26:30])
+    f.seek(name + extra, 1)
+    data = f.read(m["stored"])
+    if m["method"] not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"compression method {m['method']}")
+    data = zlib.decompress(data, -15) if m["method"] == zipfile.ZIP_DEFLATED else data
+    if len(data) != m["size"] or zlib.crc32(data) != m["crc"]:
+        raise zipfile.BadZipFile("bad checksum")
+    return data
+
+
+def list_samples(files: DataFrame) -> DataFrame:
+    """LISTED rows of the archives in (path) rows; a broken archive ends with a row that has its error."""
+
+    def found(path: str) -> Iterator[tuple]:
+        how = _zip_list if path.endswith(".zip") else _tar_list if path.endswith(".tar") else None
+        try:
+            if path.endswith(("tar.gz", ".tgz")):
+                yield path, 0, None, [("", 0, 0, STREAM, 0, None)], None
+                return
+            if how is None:
+                raise ValueError("unknown kind of archive")
+            with open_range(path, 1 << 14) as f:
+                for stem, members in how(f):
+                    yield path, min(m[1] for m in members), stem, members, None
+        except BROKEN as e:
+            yield path, 0, None, None, str(e) or type(e).__name__
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in "path string, place long, key string, members array, error string".split(", ")]
+        for pdf in batches:
+            for path in pdf["path"]:
+                rows = found(path)
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(some, columns=names, dtype=object)
+
+    return files.select("path").mapInPandas(run, LISTED)
+
+
+def read_samples(listed: DataFrame, range_bytes: int = RANGE) -> DataFrame:
+    """The samples of LISTED rows, a range of an archive a task."""
+
+    def of(path: str, rows: Iterator[tuple]) -> Iterator[dict]:
+        held = None
+        for _, stem, members, error in rows:
+            try:
+                if error is not None:
+                    raise ValueError(error)
+                held = held or open_range(path)
+                if members[0]["method"] == STREAM:
+                    yield from tar_samples(held, path)
+                else:
+                    yield _sample(stem, {m["postfix"]: _member(held, m) for m in members}, path)
+            except BROKEN as e:
+                yield _failed(path, e)
+        if held:
+            held.close()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        rows = (r for pdf in batches for r in zip(pdf["path"], pdf["key"], pdf["members"], pdf["error"], strict=True))
+        samples = (s for path, own in groupby(rows, lambda r: r[0]) for s in of(path, own))
+        while some := list(islice(samples, SOME)):
+            yield pd.DataFrame([[r.get(c) for c in names] for r in some], columns=names, dtype=object)
+
+    ranged = materialise(listed.withColumn("_range", F.floor(F.col("place") / range_bytes)), "archive-list")
+    n = max(1, ranged.select("path", "_range").distinct().count())  # a number, as Spark would join so short a list to one task
+    return ranged.repartition(n, "path", "_range").sortWithinPartitions("path", "place").mapInPandas(run, SCHEMA)
+
+
 def zip_samples(data: bytes, shard: str) -> Iterator[dict]:
     """Each wav member is a sample; every other postfix of the archive is looked up under its prefix."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
@@ -73,8 +200,8 @@ def explode_archives(files: DataFrame) -> DataFrame:
             if how is None:
                 raise ValueError("unknown kind of archive")
             yield from how(data, path)
-        except (ValueError, tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as e:
-            yield {"file_name": path, "tar_file_name": path, "extras": {}, "error": str(e) or type(e).__name__}
+        except BROKEN as e:
+            yield _failed(path, e)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -87,9 +214,10 @@ def explode_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def archives(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Samples of archive files. A worker gets archives in batches of spark.sql.execution.arrow.maxRecordsPerBatch rows: set it low for large archives."""
-    return explode_archives(spark.read.format("binaryFile").load(path))
+def archives(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
+    """Samples of archive files: tar (also compressed) and zip by suffix; others, and broken archives, give a row with an error."""
+    files = spark.read.format("binaryFile").load(path).select("path")  # names alone: contents are not read
+    return read_samples(list_samples(files.repartition("path")), range_bytes)
 
 
 def shards(spark: SparkSession, lists: DataFrame) -> DataFrame:

@@ -1,22 +1,34 @@
 """Keyed binary archives of vectors and matrices as a Spark data source: ``spark.read.format("ark")`` and ``df.write``.
 
-A record is a key, a space, and a value: text, or a zero byte, ``B`` and a typed binary value. Files are read from bytes
-that Spark delivers (``read_ark``), a task a file, or byte ranges named by index lines ``key path:offset``.
+A record is a key, a space, and a value: text, or a zero byte, ``B`` and a typed binary value. Index lines ``key path:offset``
+name records in archives.
+
+``register`` makes the format known. A read takes an index, an archive, or a folder of either. Of an index, each task gets a
+range of its lines, opens each archive they name once, and reads its records in order of their offsets; a filter on ``key``
+leaves the others unread. An archive without an index is one task, record by record. ``index_of`` makes the index of archives
+from the heads of their records alone, and ``read_index`` reads index rows of any table, a range of an archive a task. A
+write makes an archive and its index for each task, which appear when all tasks have ended.
 """
 
 from __future__ import annotations
 
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
+
+from ..functions.files import BUFFER, listed, open_range, system
+from ..functions.stage import materialise
 
 # Binary type marks of the format.
 FLOATS = {b"FV ": np.float32, b"DV ": np.float64}
@@ -25,7 +37,11 @@ SCHEMA = "key string, ints array<int>, vector array<double>, matrix array<array<
 #: What a file holds, as the binary forms of the last two begin as an integer vector does.
 KINDS = {"plain": SCHEMA, "posterior": "key string, posterior array<array<struct<index:int,value:float>>>", "times": "key string, times array<struct<begin:float,end:float>>"}
 PAIR = {"posterior": ("index", "<i4", "value"), "times": ("begin", "<f4", "end")}
+PAIR_NAMES = {kind: (first, second) for kind, (first, _, second) in PAIR.items()}
+PAIRS = {"posterior": pa.list_(pa.list_(pa.struct([("index", pa.int32()), ("value", pa.float32())]))), "times": pa.list_(pa.struct([("begin", pa.float32()), ("end", pa.float32())]))}
+PLAIN = [("ints", pa.list_(pa.int32())), ("vector", pa.list_(pa.float64())), ("matrix", pa.list_(pa.list_(pa.float64())))]
 SOME = 200  # records that leave Python at once
+RANGE, LINES = 64 << 20, 1 << 20  # bytes of an archive, and of index lines, a task
 
 
 def _int(f: io.BytesIO) -> int:
@@ -96,17 +112,66 @@ def _value_of(f: io.BytesIO, kind: str) -> tuple[str, object]:
     return kind, _pairs(f, kind) if kind == "times" else [_pairs(f, kind) for _ in range(_int(f))]
 
 
-def records(data: bytes, kind: str = "plain") -> Iterator[dict]:
-    f = io.BytesIO(data)
-    while True:
-        key = bytearray()
-        while (c := f.read(1)) and c != b" ":
-            key += c
-        if not c:
-            return
+def _key(f: io.BufferedIOBase) -> str | None:
+    """The key that comes next, None at the end."""
+    key = bytearray()
+    while (c := f.read(1)) and c != b" ":
+        key += c
+    return key.decode().strip() if c else None
+
+
+def _skip(f: io.BufferedIOBase, kind: str) -> None:
+    """Passes a value, reading its head alone where it is binary."""
+    start = f.read(2)
+    if start != b"\0B":
+        _text_value(start + f.readline(), f)
+        return
+    at = f.tell()
+    if kind != "plain":
+        for _ in range(_int(f) if kind == "posterior" else 1):
+            f.seek(10 * _int(f), 1)
+    elif f.read(1) == b"\4":
+        f.seek(5 * struct.unpack("<i", f.read(4))[0], 1)
+    else:
+        f.seek(at)
+        mark = f.read(3)
+        if mark in FLOATS:
+            f.seek(_int(f) * np.dtype(FLOATS[mark]).itemsize, 1)
+        elif mark in MATRICES:
+            rows, cols = _int(f), _int(f)
+            f.seek(rows * cols * np.dtype(MATRICES[mark]).itemsize, 1)
+        elif mark[:2] == b"CM":
+            f.seek(8 if mark == b"CM " else 9, 1)
+            rows, cols = struct.unpack("<ii", f.read(8))
+            f.seek(cols * (8 + rows) if mark == b"CM " else rows * cols * (2 if mark == b"CM2" else 1), 1)
+        else:
+            raise ValueError(f"unknown value mark {mark!r}")
+
+
+def records(data: bytes | io.BufferedIOBase, kind: str = "plain") -> Iterator[dict]:
+    """The records of an archive's bytes, or of an open one, one at a time."""
+    f = io.BytesIO(data) if isinstance(data, bytes | bytearray) else data
+    while (key := _key(f)) is not None:
         name, value = _value_of(f, kind)
         none = {"ints": None, "vector": None, "matrix": None} if kind == "plain" else {}
-        yield {"key": key.decode().strip()} | none | {name: value}
+        yield {"key": key} | none | {name: value}
+
+
+def heads(f: io.BufferedIOBase, kind: str = "plain") -> Iterator[tuple[str, int]]:
+    """Key and offset of the value of each record of an open archive."""
+    while (key := _key(f)) is not None:
+        yield key, f.tell()
+        _skip(f, kind)
+
+
+def at_offsets(lines: Iterator[tuple[str, str, int]], kind: str = "plain") -> Iterator[dict]:
+    """The records of (key, path, offset), each archive opened once as long as lines of one path follow each other."""
+    for path, own in groupby(lines, lambda x: x[1]):
+        with open_range(path) as f:
+            for key, _, offset in own:
+                f.seek(offset)
+                name, value = _value_of(f, kind)
+                yield {"key": key, name: value}
 
 
 def _rows(found: list[dict], kind: str = "plain") -> pd.DataFrame:
@@ -132,18 +197,31 @@ def explode_ark(files: DataFrame, kind: str = "plain") -> DataFrame:
     return files.select("content").mapInPandas(run, KINDS[kind])
 
 
-def read_index(spark: SparkSession, index: DataFrame, files: DataFrame) -> DataFrame:
-    """The records that (key, path, offset) rows name, from (path, content) rows: each file is cut by its offsets."""
+def index_of(files: DataFrame, kind: str = "plain") -> DataFrame:
+    """(key, path, offset) of the records of the archives in (path) rows; values are passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for key, offset, data in zip(pdf["key"], pdf["offset"], pdf["content"], strict=True):
-                kind, value = _value(io.BytesIO(data[offset:]))
-                out.append({"key": key} | {kind: value})
-            yield _rows(out)
+            for path in pdf["path"]:
+                with open_range(path, 1 << 14) as f:
+                    found = ((key, path, offset) for key, offset in heads(f, kind))
+                    while some := list(islice(found, 10_000)):
+                        yield pd.DataFrame(some, columns=["key", "path", "offset"])
+
+    return files.select("path").mapInPandas(run, "key string, path string, offset long")
+
+
+def read_index(index: DataFrame, kind: str = "plain", range_bytes: int = RANGE) -> DataFrame:
+    """The records that (key, path, offset) rows name. A task gets the rows of a range of an archive, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = at_offsets((x for pdf in batches for x in zip(pdf["key"], pdf["path"], pdf["offset"].astype(int), strict=True)), kind)
+        while some := list(islice(rows, SOME)):
+            yield _rows(some, kind)
 
-    return index.join(files.select("path", "content"), "path").select("key", "offset", "content").mapInPandas(run, SCHEMA)
+    ranged = materialise(index.select("key", "path", "offset", F.floor(F.col("offset") / range_bytes).alias("_range")), "ark-index")
+    n = max(1, ranged.select("path", "_range").distinct().count())  # a number, as Spark would join so few bytes of index to one task
+    return ranged.repartition(n, "path", "_range").sortWithinPartitions("path", "offset").select("key", "path", "offset").mapInPandas(run, KINDS[kind])
 
 
 def index_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -177,67 +255,140 @@ def encode(ints: list | None, vector: list | None, matrix: list | None) -> bytes
     return b"\0BFM \4" + struct.pack("<i", m.shape[0]) + b"\4" + struct.pack("<i", m.shape[1]) + m.tobytes()
 
 
-def to_records(df: DataFrame) -> DataFrame:
-    """(part, key, offset, record): binary records of (key, ints, vector, matrix), with their offsets in their part."""
+@dataclass
+class LinesPart(InputPartition):
+    """Index lines that begin in a range of bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = 0
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                head = r.key.encode() + b" "
-                data = head + encode(r.ints, r.vector, r.matrix)
-                rows.append((int(r.part), r.key, at + len(head), data))
-                at += len(data)
-            yield pd.DataFrame(rows, columns=["part", "key", "offset", "record"])
+    path: str
+    start: int
+    end: int
 
-    return df.withColumn("part", F.spark_partition_id()).select("part", "key", "ints", "vector", "matrix").mapInPandas(run, "part int, key string, offset long, record binary")
+
+@dataclass
+class ArchivePart(InputPartition):
+    path: str
 
 
 @dataclass
 class ArkPart(WriterCommitMessage):
-    path: str
+    name: str
     rows: int
 
 
+def register(spark: SparkSession) -> None:
+    """Makes ``format("ark")`` known to a session, with filters that go to the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ArkSource)
+
+
 class ArkSource(DataSource):
-    """``df.write.format("ark").save(folder)``: an archive and its index for each partition, on a file system that all tasks mount."""
+    """``spark.read.format("ark").load(path)`` and ``df.write.format("ark").save(folder)``. Options of a read: kind (plain, posterior, times) and lineBytes (bytes of index lines a task)."""
 
     @classmethod
     def name(cls) -> str:
         return "ark"
 
     def schema(self) -> str:
-        return SCHEMA
+        return KINDS[self.options.get("kind", "plain")]
+
+    def reader(self, schema) -> ArkReader:
+        return ArkReader(self.options["path"], self.options.get("kind", "plain"), int(self.options.get("lineBytes", LINES)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArkWriter(self.options["path"])
+        writer = ArkWriter(self.options["path"], overwrite)
+        where, job = system(writer.job)
+        where.create_dir(job)  # not by tasks, so that one which ends after the job has failed finds none
+        return writer
+
+
+class ArkReader(DataSourceReader):
+    def __init__(self, path: str, kind: str, line_bytes: int) -> None:
+        self.path, self.kind, self.line_bytes, self.keys = path, kind, line_bytes, None
+
+    def pushFilters(self, filters: list) -> Iterator:
+        """Takes equality and lists of keys; the rest goes back to Spark."""
+        for f in filters:
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if wanted is None or f.attribute != ("key",):
+                yield f
+            else:
+                self.keys = wanted if self.keys is None else self.keys & wanted
+
+    def partitions(self) -> list[InputPartition]:
+        out: list[InputPartition] = []
+        for path in listed(self.path, ".scp", ".ark"):
+            if path.endswith(".scp"):
+                where, name = system(path)
+                size = where.get_file_info(name).size
+                out += [LinesPart(path, at, min(at + self.line_bytes, size)) for at in range(0, size, self.line_bytes)]
+            else:
+                out.append(ArchivePart(path))
+        return out or [LinesPart("", 0, 0)]
+
+    def _lines(self, part: LinesPart) -> Iterator[tuple[str, str, int]]:
+        """(key, path, offset) of the part's lines of wanted keys. Paths are as the index has them, or beside it."""
+        with open_range(part.path) as f:
+            f.seek(max(part.start - 1, 0))
+            if part.start:
+                f.readline()  # the end of a line of the part before, or its line end alone
+            while f.tell() < part.end and (line := f.readline()):
+                key, _, place = line.decode().strip().partition(" ")
+                if not key or self.keys is not None and key not in self.keys:
+                    continue
+                path, colon, offset = place.strip().rpartition(":")
+                path, offset = (path, int(offset)) if colon and offset.isdigit() else (place.strip(), 0)
+                yield key, path if "/" in path else f"{part.path.rpartition('/')[0]}/{path}", offset
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.string()), *(PLAIN if self.kind == "plain" else [(self.kind, PAIRS[self.kind])])])
+        if isinstance(partition, ArchivePart):
+            with open_range(partition.path) as f:
+                yield from self._batches((r for r in records(f, self.kind) if self.keys is None or r["key"] in self.keys), schema)
+        elif partition.end:
+            yield from self._batches(at_offsets(iter(sorted(self._lines(partition), key=lambda x: x[1:])), self.kind), schema)
+
+    def _batches(self, rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        names = [n for n in schema.names[1:] if self.kind != "plain"]
+        while some := list(islice(rows, SOME)):
+            for r in some:
+                for n in names:  # pairs as structs
+                    r[n] = [dict(zip(PAIR_NAMES[n], p, strict=True)) for p in r[n]] if n == "times" else [[dict(zip(PAIR_NAMES[n], p, strict=True)) for p in frame] for frame in r[n]]
+            yield pa.RecordBatch.from_pylist(some, schema=schema)
 
 
 class ArkWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str) -> None:
-        self.folder = folder.removeprefix("file://").removeprefix("file:")
+    """Tasks write under a folder of the job. When all have ended, the driver moves what they report to its place, and nothing else."""
 
-    def write(self, iterator) -> ArkPart:
-        import os
-        import uuid
+    def __init__(self, folder: str, overwrite: bool = False) -> None:
+        self.folder, self.overwrite = folder.rstrip("/"), overwrite
+        self.job = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
 
-        os.makedirs(self.folder, exist_ok=True)
-        path, at, n = f"{self.folder}/part-{uuid.uuid4().hex}.ark", 0, 0
-        with open(path, "wb") as ark, open(path.removesuffix("ark") + "scp", "w") as index:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> ArkPart:
+        where, job = system(self.job)
+        name, at, n = f"part-{uuid.uuid4().hex}", 0, 0
+        with where.open_output_stream(f"{job}/{name}.ark", buffer_size=BUFFER) as ark, where.open_output_stream(f"{job}/{name}.scp", buffer_size=BUFFER) as index:
             for batch in iterator:
                 for row in batch.to_pylist():
                     head = row["key"].encode() + b" "
                     data = head + encode(row["ints"], row["vector"], row["matrix"])
                     ark.write(data)
-                    index.write(f"{row['key']} {path}:{at + len(head)}\n")
+                    index.write(f"{row['key']} {self.folder}/{name}.ark:{at + len(head)}\n".encode())
                     at, n = at + len(data), n + 1
-        return ArkPart(path, n)
+        return ArkPart(name, n)
+
+    def commit(self, messages: list) -> None:
+        where, job = system(self.job)
+        folder = system(self.folder)[1]
+        if self.overwrite:
+            for path in [*listed(self.folder, ".ark"), *listed(self.folder, ".scp")]:
+                where.delete_file(system(path)[1])
+        for m in messages:
+            if m is not None and m.rows:
+                for suffix in ("ark", "scp"):  # an index names its archive, so it comes last
+                    where.move(f"{job}/{m.name}.{suffix}", f"{folder}/{m.name}.{suffix}")
+        self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        import os
-
-        for m in messages:
-            if m is not None:
-                for suffix in ("ark", "scp"):
-                    os.unlink(m.path.removesuffix("ark") + suffix)
+        where, job = system(self.job)
+        if where.get_file_info(job).type == fs.FileType.Directory:
+            where.delete_dir(job)

@@ -104,13 +104,30 @@ def losses(spark: SparkSession, path: str, conditions: tuple[str, ...] = ()) ->
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each flat YAML file of scalars: path, a map of its fields, and epoch, step, loss, tag."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_extract_all("value", F.lit(r"(?m)^(\w+): *([^\n#]*?) *(?:#.*)?$"), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(r"(?m)^(\w+): *([^\n#]*?) *(?:#.*)?$"), F.lit(2)).alias("v"))
-    rows = text.select("path", F.map_from_arrays(F.array_distinct("k"), F.slice("v", 1, F.size(F.array_distinct("k")))).alias("fields"))
+    """A row for each flat YAML file of scalars: path, a map of its fields (of a repeated one the last), and epoch, step, loss, tag."""
+    field = F.lit(r"(?m)^(\w+): *([^\n#]*?) *(?:#.*)?$")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), *[F.regexp_extract_all("value", field, F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "v"))])
+    pairs = F.filter(F.arrays_zip("k", "v"), lambda x, i: ~F.array_contains(F.slice(F.col("k"), i + 2, F.size("k")), x["k"]))
+    rows = text.select("path", F.map_from_entries(pairs).alias("fields"))
     get: dict[str, Column] = {n: F.try_element_at("fields", F.lit(n)) for n in ("epoch", "step", "loss", "cv_loss", "tag")}
     return rows.select("path", "fields", get["epoch"].cast("int").alias("epoch"), get["step"].cast("bigint").alias("step"), F.coalesce(get["loss"], get["cv_loss"]).try_cast("double").alias("loss"), get["tag"].alias("tag"))
 
 
+def synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """(phrase, other) word arrays of lines ``phrase | other ; other``; ``#`` begins a comment."""
+    line = F.trim(F.regexp_replace("value", "#.*", ""))
+    rows = spark.read.text(path).select(F.split(line, r"\|", 2).alias("x")).filter(F.size("x") == 2)
+    rows = rows.select(F.get("x", F.lit(0)).alias("phrase"), F.explode(F.split(F.get("x", F.lit(1)), ";")).alias("other"))
+    return rows.select(*[F.filter(F.split(c, r"\s+"), lambda w: w != "").alias(c) for c in ("phrase", "other")]).filter(F.size("phrase") > 0)
+
+
+def norms(spark: SparkSession, path: str) -> DataFrame:
+    """(path, label, words) of JSON files of normalised forms: for each label of a reference its candidates' words."""
+    kind = "map<string,struct<candidates:array<struct<verbalization:array<string>>>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.explode(F.from_json("value", kind)).alias("label", "x"))
+    return rows.select("path", "label", F.explode("x.candidates").alias("c")).select("path", "label", F.col("c.verbalization").alias("words"))
+
+
 def cmvn(spark: SparkSession, path: str) -> DataFrame:
     """(dim, n, total, squares) of a JSON file of sums."""
     x = spark.read.schema("mean_stat array<double>, var_stat array<double>, frame_num bigint").option("multiLine", True).json(path)

@@ -1,15 +1,33 @@
-"""Streaming forms: tumbling and sliding chunks, batches and merges with state, dedup, quotas, and running error rates."""
+"""Streaming forms: tumbling and sliding chunks, batches and merges with state, dedup, quotas, and running error rates.
+
+Batches and merges are processors over a shard's state (``transformWithStateInPandas``, whose state is in RocksDB). A
+micro-batch's rows of a shard are taken in the order of pos and key; what a micro-batch leaves open is added to the state,
+without writing again what is there. A row whose ``last`` is true ends its shard: what is open is sent. So is what a shard
+holds when it is quiet for wait_ms. Numbers of batches go on afterwards. A query with such timers makes batches without data
+for ever; one that is to end with its input (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled=false``.
+"""
 
 from __future__ import annotations
 
+import heapq
+import json
+import threading
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from ..operators.batching import merges
+from ..functions.files import system
 from ..functions.text import SWITCH
 
 
+REASONS = ("minlen", "maxlen", "lbl_minlen", "lbl_maxlen", "min_ratio", "max_ratio")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def chunks(stream: DataFrame, ts: str, aggs: list[Column], *by: str, seconds: int = 10, late: str = "1 minute") -> DataFrame:
     """Fixed chunks of a stream, each on its own."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds").alias("chunk"), *by).agg(*aggs)
@@ -30,123 +48,324 @@ def one_per_job(stream: DataFrame, ts: str, job: str = "job", late: str = "10 mi
 
 
 def rejections(stream: DataFrame, reason: Column, name: str = "rejections") -> DataFrame:
-    """The stream without rejected rows; counts by reason go to the query's listeners."""
-    kinds = ("minlen", "maxlen", "lbl_minlen", "lbl_maxlen", "min_ratio", "max_ratio")
-    counts = [F.count(F.when(reason == k, 1)).alias(k) for k in kinds]
+    """The stream without rejected rows; counts by reason go to the query's listeners, such as ``CountTable``."""
+    counts = [F.count(F.when(reason == k, 1)).alias(k) for k in REASONS]
     return stream.observe(name, F.count(F.lit(1)).alias("rows"), *counts).filter(reason.isNull())
 
 
-WAIT_MS = 5_000
+class CountTable(StreamingQueryListener):
+    """Appends what queries observe under a name to a table of JSON lines at path: (query, batch, stage, reason, n). ``ended`` is set when a query ends."""
 
+    def __init__(self, path: str, *names: str) -> None:
+        self.path, self.names, self.ended = path, names, threading.Event()
 
-def budget_batches(stream: DataFrame, shard: str, key: str, pos: str, length: str, most: float = 12000, wait_ms: int = WAIT_MS) -> DataFrame:
-    """(shard, batch_id, keys, longest) of batches that a frame budget cuts; the open batch waits in the shard's state and is sent when the shard is quiet for wait_ms."""
+    def onQueryStarted(self, event) -> None:
+        self.ended.clear()
 
-    def run(key_, batches, state):
-        held, batch = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield _batch(key_[0], batch, held)
-            return
-        longest = max((h[1] for h in held), default=0.0)
-        for pdf in batches:
-            for r in pdf.sort_values(["pos", "key"]).itertuples(index=False):
-                longest = max(longest, float(r.length))
-                if held and longest * (len(held) + 1) > most:
-                    yield _batch(key_[0], batch, held)
-                    held, longest, batch = [], float(r.length), batch + 1
-                held.append([str(r.key), float(r.length)])
-        state.update(([list(h) for h in held], batch))
-        state.setTimeoutDuration(wait_ms)
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        found = [(name, row.asDict()) for name, row in p.observedMetrics.items() if name in self.names]
+        append_counts(self.path, [{"query": str(p.id), "batch": p.batchId, "stage": name, "reason": k, "n": n} for name, counts in found for k, n in counts.items()])
 
-    rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(key).cast("string").alias("key"), F.col(pos).alias("pos"), F.col(length).cast("double").alias("length"))
-    return rows.groupBy("shard").applyInPandasWithState(run, "shard string, batch_id long, keys array<string>, longest double", "held array<struct<key:string,length:double>>, batch long", "append", "ProcessingTimeTimeout")
+    def onQueryIdle(self, event) -> None:
+        pass
 
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
 
-def _batch(shard: object, batch: int, held: list) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [str(shard)], "batch_id": [batch], "keys": [[h[0] for h in held]], "longest": [max(h[1] for h in held)]})
 
+def append_counts(path: str, rows: list[dict]) -> None:
+    """A file of JSON lines in a folder; few rows, so the driver writes them."""
+    if rows:
+        where, name = system(path)
+        where.create_dir(name)
+        with where.open_output_stream(f"{name}/{uuid.uuid4().hex}.json") as f:
+            f.write("".join(json.dumps(r) + "\n" for r in rows).encode())
 
-def merged_utterances(stream: DataFrame, shard: str, speaker: str, pos: str, seconds: str, text: str, **limits: float) -> DataFrame:
-    """(shard, first pos, seconds, txt) of merged utterances; the open one waits in the group's state until the shard is quiet."""
-    rule = {"least": 1.0, "enough": 10.0, "most": 20.0, "n_most": 7} | limits
 
-    def run(key, batches, state):
-        held = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            yield _merged(key[0], held)
-            return
-        rows = [tuple(h) for h in held]
-        for pdf in batches:
-            rows += [(int(r.pos), str(r.speaker), float(r.seconds), str(r.txt)) for r in pdf.itertuples(index=False)]
-        rows.sort()
-        groups: dict[int, list] = {}
-        for i, g, _ in merges(((i, r[1], r[2]) for i, r in enumerate(rows)), rule["least"], rule["enough"], rule["most"], int(rule["n_most"])):
-            groups.setdefault(g, []).append(rows[i])
-        *done, last = groups.values()
-        for g in done:
-            yield _merged(key[0], g)
-        state.update(([list(r) for r in last],))
-        state.setTimeoutDuration(WAIT_MS)
-
-    rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(speaker).cast("string").alias("speaker"), F.col(pos).cast("long").alias("pos"), F.col(seconds).cast("double").alias("seconds"), F.col(text).alias("txt"))
-    return rows.groupBy("shard").applyInPandasWithState(run, "shard string, pos long, seconds double, txt string", "held array<struct<pos:long,speaker:string,seconds:double,txt:string>>", "append", "ProcessingTimeTimeout")
-
-
-def _merged(shard: object, rows: list) -> pd.DataFrame:
-    text = rows[0][3]
-    for a, b in zip(rows, rows[1:], strict=False):
-        text += (" " if a[1] == b[1] else f" {SWITCH} ") + b[3]
-    return pd.DataFrame({"shard": [str(shard)], "pos": [rows[0][0]], "seconds": [sum(r[2] for r in rows)], "txt": [text.replace(f"{SWITCH} {SWITCH}", SWITCH)]})
-
-
-def group_batches(stream: DataFrame, shard: str, key: str, pos: str, group: Column, size: Column, wait_ms: int = WAIT_MS) -> DataFrame:
-    """(shard, group, batch_id, keys): rows of a shard and group in batches of the group's size, as they come; a group is a length bucket, or any window's key. What is left is sent when the group is quiet for wait_ms."""
-
-    def run(key_, batches, state):
-        held, batch = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        sent = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key_[0], key_[1], batch, held)], columns=names)
-            return
-        for pdf in batches:
-            for r in pdf.sort_values(["pos", "key"]).itertuples(index=False):
-                held.append(str(r.key))
-                if len(held) >= r.size:
-                    sent.append((key_[0], key_[1], batch, held))
-                    held, batch = [], batch + 1
-        state.update((held, batch))
-        if held:
-            state.setTimeoutDuration(wait_ms)
-        yield pd.DataFrame(sent, columns=names)
-
-    names = ["shard", "group", "batch_id", "keys"]
-    rows = stream.select(F.col(shard).cast("string").alias("shard"), group.cast("long").alias("group"), F.col(key).cast("string").alias("key"), F.col(pos).alias("pos"), size.cast("int").alias("size"))
-    return rows.groupBy("shard", "group").applyInPandasWithState(run, "shard string, group long, batch_id long, keys array<string>", "held array<string>, batch long", "append", "ProcessingTimeTimeout")
+def count_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("query string, batch long, stage string, reason string, n long").json(path)
+
+
+WAIT_MS = 5_000
+
+
+class _Shard(StatefulProcessor):
+    """What the processors below share: a timer that waits for a quiet shard, and its rows in order."""
+
+    wait_ms = WAIT_MS
+    #: Columns of the results.
+    names: list[str] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def close(self) -> None:
+        pass
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        """Results of rows (named tuples) in order."""
+        raise NotImplementedError
+
+    def flush(self) -> Iterator[tuple]:
+        raise NotImplementedError
+
+    def _results(self, key: tuple, found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        if some := [(key[0], *r) for r in found]:
+            yield pd.DataFrame(some, columns=self.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        every = pd.concat(list(rows), ignore_index=True).sort_values(["pos", "key"], kind="stable")
+        yield from self._results(key, self.take(list(every.itertuples(index=False))))
+        if every["last"].any():
+            yield from self._results(key, self.flush())
+        else:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._results(key, self.flush())
+
+
+def _processed(stream: DataFrame, shard: str, processor: _Shard, schema: str, columns: dict[str, Column], last: Column | None) -> DataFrame:
+    """The processor over the shards of a stream, whose rows have columns and last."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    processor.names = [c.split()[0] for c in schema.split(", ")]
+    rows = stream.select(F.col(shard).cast("string").alias("shard"), *[c.alias(n) for n, c in columns.items()], F.coalesce(last if last is not None else F.lit(False), F.lit(False)).alias("last"))
+    return rows.groupBy("shard").transformWithStateInPandas(processor, schema, "append", "processingTime")
+
+
+class Budgeted(_Shard):
+    """Batches that a frame budget cuts, with one row a job and quotas of words where these are asked for."""
+
+    def __init__(self, most: float, one_per_job: bool, per_epoch: int, per_batch: int, quiet_ms: int) -> None:
+        self.most, self.one_per_job, self.per_epoch, self.per_batch, self.quiet_ms = most, one_per_job, per_epoch, per_batch, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "batch long, n int, longest double")
+        self.held = handle.getListState("held", "key string")
+        self.jobs = handle.getMapState("jobs", "job string", "here boolean")
+        self.of_batch = handle.getMapState("of_batch", "word string", "n long")
+        self.of_epoch = handle.getMapState("of_epoch", "word string", "n long", self.quiet_ms)
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        batch, n, longest = self.open.get() if self.open.exists() else (0, 0, 0.0)
+        fresh: list[tuple] = []  # of the open batch, not in the state yet
+        jobs = {k[0] for k in self.jobs.keys()} if self.one_per_job else set()
+        new_jobs: set = set()
+        quotas = [(q, state, {}) for q, state in ((self.per_epoch, self.of_epoch), (self.per_batch, self.of_batch)) if q > 0]
+
+        def seen(state, counts: dict, word: str) -> int:
+            if word not in counts:
+                counts[word] = state.getValue((word,))[0] if state.containsKey((word,)) else 0
+            return counts[word]
+
+        for r in rows:
+            words = (r.txt or "").split(" ") if quotas else []
+            if self.one_per_job and (r.job or "") in jobs or not all(any(seen(state, counts, w) < q for w in words) for q, state, counts in quotas):
+                continue
+            longest = max(longest, float(r.length))
+            if n and longest * (n + 1) > self.most:
+                yield batch, [*[h[0] for h in self.held.get()], *[f[0] for f in fresh]]
+                for state in (self.held, self.jobs, self.of_batch):
+                    state.clear()
+                batch, n, longest, fresh, jobs, new_jobs = batch + 1, 0, float(r.length), [], set(), set()
+                for q in quotas:
+                    if q[1] is self.of_batch:
+                        q[2].clear()
+            n += 1
+            fresh.append((r.key,))
+            jobs.add(r.job or "")
+            new_jobs.add(r.job or "")
+            for w in words:
+                for _, state, counts in quotas:
+                    counts[w] = seen(state, counts, w) + 1
+        if fresh:
+            self.held.appendList(fresh)
+        for job in new_jobs if self.one_per_job else ():
+            self.jobs.updateValue((job,), (True,))
+        for _, state, counts in quotas:
+            for w, count in counts.items():
+                state.updateValue((w,), (count,))
+        self.open.update((batch, n, longest))
+
+    def flush(self) -> Iterator[tuple]:
+        batch, n, _ = self.open.get() if self.open.exists() else (0, 0, 0.0)
+        if n:
+            yield batch, [h[0] for h in self.held.get()]
+            for state in (self.held, self.jobs, self.of_batch):
+                state.clear()
+            self.open.update((batch + 1, 0, 0.0))
+
+
+def budget_batches(
+    stream: DataFrame, shard: str, key: str, pos: str, length: str, most: float = 12000, wait_ms: int = WAIT_MS, last: Column | None = None, *,
+    job: str | None = None, text: str | None = None, max_words_per_epoch: int = -1, max_words_per_batch: int = -1, quiet_ms: int = 86_400_000,
+) -> DataFrame:
+    """(shard, batch_id, keys) of batches that a frame budget cuts, in order.
+
+    With job, a batch has one row of each job, and later ones are left out; with text and quotas, a row is taken if any of its
+    words is below its quota in the shard so far, and in the batch. A word's count of the shard goes when the word isn't met for
+    quiet_ms.
+    """
+    processor = Budgeted(most, job is not None, max_words_per_epoch if text else -1, max_words_per_batch if text else -1, quiet_ms)
+    processor.wait_ms = wait_ms
+    none = F.lit(None).cast("string")
+    columns = {"key": F.col(key).cast("string"), "pos": F.col(pos), "length": F.col(length).cast("double"), "job": F.col(job).cast("string") if job else none, "txt": F.col(text).cast("string") if text else none}
+    return _processed(stream, shard, processor, "shard string, batch_id long, keys array<string>", columns, last)
+
+
+class Merged(_Shard):
+    """Utterances that follow each other put together, as ``batching.merges`` does; the state has what is open as one text."""
+
+    def __init__(self, least: float, enough: float, most: float, n_most: int) -> None:
+        self.least, self.enough, self.most, self.n_most = least, enough, most, n_most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "pos long, total double, n int, speaker string, txt string")
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        held = self.open.get() if self.open.exists() else None
+        for r in rows:
+            if held is not None and not (held[1] < self.least or held[1] > self.enough or held[2] >= self.n_most or held[1] + r.seconds > self.most):
+                between = " " if r.key == held[3] else f" {SWITCH} "
+                held = (held[0], held[1] + r.seconds, held[2] + 1, r.key, held[4] + between + r.txt)
+                continue
+            if held is not None:
+                yield self._row(held)
+            held = (int(r.pos), float(r.seconds), 1, r.key, r.txt)
+        self.open.update(held)
+
+    @staticmethod
+    def _row(held: tuple) -> tuple:
+        return held[0], held[1], held[4].replace(f"{SWITCH} {SWITCH}", SWITCH)
+
+    def flush(self) -> Iterator[tuple]:
+        if self.open.exists():
+            yield self._row(self.open.get())
+            self.open.clear()
+
+
+def merged_utterances(stream: DataFrame, shard: str, speaker: str, pos: str, seconds: str, text: str, wait_ms: int = WAIT_MS, last: Column | None = None, **limits: float) -> DataFrame:
+    """(shard, first pos, seconds, txt) of merged utterances, in order of pos."""
+    rule = {"least": 1.0, "enough": 10.0, "most": 20.0, "n_most": 7} | limits
+    processor = Merged(**rule)
+    processor.wait_ms = wait_ms
+    columns = {"key": F.coalesce(F.col(speaker).cast("string"), F.lit("")), "pos": F.col(pos).cast("long"), "seconds": F.col(seconds).cast("double"), "txt": F.coalesce(text, F.lit(""))}
+    return _processed(stream, shard, processor, "shard string, pos long, seconds double, txt string", columns, last)
+
+
+class Grouped(_Shard):
+    """Batches of groups (length buckets, or any window's keys), each full at its size; with a bound on the rows held, the largest group goes when they reach it."""
+
+    def __init__(self, max_held: int) -> None:
+        self.max_held = max_held
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.groups = handle.getMapState("groups", "grp long", "n int, batch long, opened long")
+        self.held = handle.getMapState("held", "grp long, place int", "key string")
+        self.count = handle.getValueState("count", "rows long, opened long")
+
+    def _keys(self, group: int, stored: int, fresh: list[str]) -> list[str]:
+        """A group's rows, which leave the state."""
+        out = [self.held.getValue((group, i))[0] for i in range(stored)]
+        for i in range(stored):
+            self.held.removeKey((group, i))
+        return [*out, *fresh]
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        total, opened = self.count.get() if self.count.exists() else (0, 0)
+        groups = {g[0]: [*v, v[0], []] for g, v in self.groups.iterator()}  # n, batch, when it was opened, rows in the state, others
+        sizes = [(-v[0], v[2], g) for g, v in groups.items() if v[0]]
+        heapq.heapify(sizes)
+        touched = set()
+
+        def send(group: int) -> tuple:
+            v = groups[group]
+            out = (group, v[1], self._keys(group, v[3], v[4]))
+            groups[group] = [0, v[1] + 1, v[2], 0, []]
+            return out
+
+        for r in rows:
+            g = int(r.group)
+            v = groups.setdefault(g, [0, 0, 0, 0, []])
+            if not v[0]:
+                v[2], opened = opened, opened + 1
+            v[0] += 1
+            v[4].append(r.key)
+            total += 1
+            touched.add(g)
+            if v[0] >= r.size:
+                total -= v[0]
+                yield send(g)
+            else:
+                heapq.heappush(sizes, (-v[0], v[2], g))
+            if total == self.max_held:
+                while sizes:  # entries of a group's earlier sizes are passed over
+                    n, since, largest = heapq.heappop(sizes)
+                    if groups[largest][0] == -n and groups[largest][2] == since:
+                        total += n
+                        touched.add(largest)
+                        yield send(largest)
+                        break
+        for g in touched:
+            n, batch, since, stored, fresh = groups[g]
+            for i, key in enumerate(fresh):
+                self.held.updateValue((g, stored + i), (key,))
+            self.groups.updateValue((g,), (n, batch, since))
+        self.count.update((total, opened))
+
+    def flush(self) -> Iterator[tuple]:
+        """All groups that hold rows, in the order in which they were opened."""
+        for g, (n, batch, since) in sorted(((g[0], v) for g, v in self.groups.iterator() if v[0]), key=lambda x: x[1][2]):
+            yield g, batch, self._keys(g, n, [])
+            self.groups.updateValue((g,), (0, batch + 1, since))
+        if self.count.exists():
+            self.count.update((0, self.count.get()[1]))
+
+
+def group_batches(stream: DataFrame, shard: str, key: str, pos: str, group: Column, size: Column, wait_ms: int = WAIT_MS, last: Column | None = None, max_held: int = 0) -> DataFrame:
+    """(shard, group, batch_id, keys): rows of a shard and group in batches of the group's size; with max_held, a shard holds fewer rows than that."""
+    processor = Grouped(max_held)
+    processor.wait_ms = wait_ms
+    columns = {"key": F.col(key).cast("string"), "pos": F.col(pos), "group": group.cast("long"), "size": size.cast("int")}
+    return _processed(stream, shard, processor, "shard string, group long, batch_id long, keys array<string>", columns, last)
+
+
+class Rationed(_Shard):
+    """Rows any of whose words is below its quota so far."""
+
+    def __init__(self, quota: int, quiet_ms: int) -> None:
+        self.quota, self.quiet_ms = quota, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.words = handle.getMapState("words", "word string", "n long", self.quiet_ms)
+
+    def take(self, rows: list[tuple]) -> Iterator[tuple]:
+        counts: dict[str, int] = {}
+        for r in rows:
+            words = r.key.split(" ")
+            for w in words:
+                if w not in counts:
+                    counts[w] = self.words.getValue((w,))[0] if self.words.containsKey((w,)) else 0
+            if any(counts[w] < self.quota for w in words):
+                for w in words:
+                    counts[w] += 1
+                yield int(r.pos), r.key
+        for w, n in counts.items():
+            self.words.updateValue((w,), (n,))
+
+    def flush(self) -> Iterator[tuple]:
+        return iter(())
 
 
 def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int, quiet_ms: int = 86_400_000) -> DataFrame:
-    """Rows any of whose words is below its quota in the shard so far; counts are the shard's state, which goes when the shard is quiet for quiet_ms."""
-
-    def run(key_, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=["shard", "pos", "txt"])
-            return
-        seen = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out = []
-        for pdf in batches:
-            for r in pdf.sort_values("pos").itertuples(index=False):
-                words = str(r.txt).split(" ")
-                if any(seen.get(w, 0) < quota for w in words):
-                    for w in words:
-                        seen[w] = seen.get(w, 0) + 1
-                    out.append((str(key_[0]), int(r.pos), str(r.txt)))
-        state.update((list(seen), list(seen.values())))
-        state.setTimeoutDuration(quiet_ms)
-        yield pd.DataFrame(out, columns=["shard", "pos", "txt"])
-
-    rows = stream.select(F.col(shard).cast("string").alias("shard"), F.col(pos).cast("long").alias("pos"), F.col(text).alias("txt"))
-    return rows.groupBy("shard").applyInPandasWithState(run, "shard string, pos long, txt string", "words array<string>, counts array<long>", "append", "ProcessingTimeTimeout")
+    """(shard, pos, txt) of rows any of whose words is below its quota in the shard so far; a word's count goes when it isn't met for quiet_ms."""
+    processor = Rationed(quota, quiet_ms)
+    processor.wait_ms = quiet_ms
+    return _processed(stream, shard, processor, "shard string, pos long, txt string", {"key": F.coalesce(text, F.lit("")), "pos": F.col(pos).cast("long")}, None)
