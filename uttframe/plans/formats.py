@@ -259,7 +259,7 @@ def _stored(t: Tables, kinds: dict[str, str]) -> str:
         where.create_dir(name)
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                with where.open_output_stream(f"{name}/{path}") as f:
+                with where.open_output_stream(f"{name}/{path}", compression=None) as f:
                     f.write(data)
             yield pdf[["path"]]
 

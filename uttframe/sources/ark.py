@@ -366,7 +366,7 @@ class ArkWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> ArkPart:
         where, job = system(self.job)
         name, at, n = f"part-{uuid.uuid4().hex}", 0, 0
-        with where.open_output_stream(f"{job}/{name}.ark", buffer_size=BUFFER) as ark, where.open_output_stream(f"{job}/{name}.scp", buffer_size=BUFFER) as index:
+        with where.open_output_stream(f"{job}/{name}.ark", compression=None, buffer_size=BUFFER) as ark, where.open_output_stream(f"{job}/{name}.scp", compression=None, buffer_size=BUFFER) as index:
             for batch in iterator:
                 for row in batch.to_pylist():
                     head = row["key"].encode() + b" "
