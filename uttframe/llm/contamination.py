@@ -15,7 +15,8 @@ one. The edits of a leak are the least of its longest segments found, its span c
 All texts are searched whole, in small Arrow batches, against an index of the benchmark that each Python worker holds. The
 benchmark is cut into parts by a hash of the item, as many as keep a part near ``PART_CHARS`` characters; each part is a
 pass of its own over the documents, so neither the driver nor a task ever holds more than one part. Very long texts are
-hashed in pieces; a worker holds the code points of one text. A null text has no leaks. Items of null text, or without
+hashed and counted in pieces of CHUNK characters; a worker holds the code points of one text, the hits of one piece, and the
+bands found, one in 2k + 1 characters at most for each segment that the text repeats throughout. A null text has no leaks. Items of null text, or without
 words, are not searched; a null item_id is an id like others, and repeated items are one. Repeated rows are searched alike. Ties of
 place are not told apart: a leak has the span of all its places. Empty tables give an empty result. Other columns,
 whatever their names, are ignored by ``query`` and kept by ``drop_leaks``.
@@ -37,8 +38,8 @@ from .common import code_points, is_word, light_batches, materialise
 Q, ERROR, SEGMENT, QUOTE = 8, 0.08, 160, 80
 PART_CHARS = 4_000_000
 BITS = 20
-CHUNK = 1 << 18
-LEAKS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
+#: Characters whose hits are counted at once, and how many of them the next piece has too: more than a band's hits of a segment span.
+CHUNK, OVERLAP = 1 << 14, 512
 
 
 def budget(length: int) -> int:
@@ -102,23 +103,20 @@ class Grams:
         self.table[self.hashes >> np.uint64(64 - BITS)] = True
 
     def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in c and the numbers of the q-grams found there; long texts in pieces."""
-        places, grams = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for start in range(0, len(c), CHUNK):
-            h = gram_hashes(c[start : start + CHUNK + self.q - 1], self.q)
-            pos = np.flatnonzero(self.table[h >> np.uint64(64 - BITS)])
-            low = np.searchsorted(self.hashes, h[pos])
-            n = np.searchsorted(self.hashes, h[pos], side="right") - low
-            places.append(np.repeat(pos + start, n))
-            grams.append(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
-        return np.concatenate(places), np.concatenate(grams)
+        """Positions in c and the numbers of the q-grams found there."""
+        h = gram_hashes(c, self.q)
+        pos = np.flatnonzero(self.table[h >> np.uint64(64 - BITS)])
+        low = np.searchsorted(self.hashes, h[pos])
+        n = np.searchsorted(self.hashes, h[pos], side="right") - low
+        return np.repeat(pos, n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Index:
     """The segments of items (id, code points, budget, least number of q-grams), and their q-grams by q."""
 
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]]) -> None:
         self.segments, hashes, of = [], {}, {}
+        self.best: dict[object, tuple[int, int]] = {}  # what the longest segment of an item gives without edits
         for item, text in items:
             n = normal(text)[0]
             known = {}
@@ -128,12 +126,22 @@ class Index:
                 hashes.setdefault(q, []).append(known[q][start : end - q + 1 : q])
                 of.setdefault(q, []).append(len(self.segments))
                 self.segments.append((item, n[start:end], k, (end - start) // q - k))
+                self.best[item] = min(self.best.get(item, (0, 0)), (start - end, 0))
         self.grams = [Grams(q, hashes[q], of[q]) for q in sorted(hashes)]
         self.least = np.array([s[3] for s in self.segments], dtype=np.int64)
         self.width = np.array([2 * s[2] + 1 for s in self.segments], dtype=np.int64)
 
-    def bands(self, c: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(segment, first diagonal) of the bands with enough of the segment's q-grams."""
+    def bands(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments and first diagonals of the bands with enough of the segment's q-grams, by diagonal. Long texts are counted in pieces, each with the end of the one before."""
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for start in range(0, max(len(c) - OVERLAP, 1), CHUNK - OVERLAP):
+            found += [np.column_stack(x) for x in self._bands(c[start : start + CHUNK], start)]
+        every = np.unique(np.concatenate(found), axis=0)
+        order = np.argsort(every[:, 1], kind="stable")
+        return every[order, 0], every[order, 1]
+
+    def _bands(self, c: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same of a piece that starts at a place of its text."""
         for grams in self.grams:
             pos, hit = grams.hits(c)
             seg, which, count = np.unique(grams.of[hit], return_inverse=True, return_counts=True)
@@ -142,25 +150,34 @@ class Index:
                 continue
             hit, rank, width = hit[keep], which[keep], self.width[grams.of[hit[keep]]]
             # Band b holds the diagonals from b * width to (b + 2) * width; each diagonal lies in two, and a q-gram counts once in a band.
-            band = (pos[keep] - grams.at[hit]) // width + SEGMENT + 1
+            band = (pos[keep] + start - grams.at[hit]) // width - (start - SEGMENT) // width + 1
             n_bands, at = int(band.max()) + 1, grams.at[hit] // grams.q
             cells = np.unique(np.concatenate([(rank * n_bands + b) * SEGMENT + at for b in (band, band - 1)])) // SEGMENT
             cells, count = np.unique(cells, return_counts=True)
-            found = cells[count >= self.least[seg[cells // n_bands]]]
-            yield from ((s, (b - SEGMENT - 1) * int(self.width[s])) for s, b in zip(seg[found // n_bands].tolist(), (found % n_bands).tolist(), strict=True))
+            enough = cells[count >= self.least[seg[cells // n_bands]]]
+            s = seg[enough // n_bands]
+            yield s, (enough % n_bands - 1 + (start - SEGMENT) // self.width[s]) * self.width[s]
 
-    def leaks(self, text: str) -> list[tuple[int | None, int, int, int]]:
+    def leaks(self, text: str) -> list[tuple[object, int, int, int]]:
         """(item, start, end, edits) with code points of the text as given."""
         c, at = normal(text)
-        best: dict[int | None, tuple[int, int, tuple[int, int]]] = {}
-        for seg, diagonal in self.bands(c):
+        segments, diagonals = self.bands(c)
+        # From both ends inwards: then what lies between the first and the last place of an item found without edits changes nothing.
+        order = np.empty(len(segments), dtype=np.int64)
+        order[::2], order[1::2] = np.arange((len(order) + 1) // 2), len(order) - 1 - np.arange(len(order) // 2)
+        best: dict[object, tuple[int, int, tuple[int, int]]] = {}
+        for seg, diagonal in zip(segments[order].tolist(), diagonals[order].tolist(), strict=True):
             item, pattern, k, _ = self.segments[seg]
-            if found := align(pattern, c, diagonal - k, diagonal + 2 * int(self.width[seg]) + k, k):
+            low, high = diagonal - k, diagonal + 2 * int(self.width[seg]) + k
+            held = best.get(item)
+            if held and held[2] == self.best[item] and held[0] <= max(low, 0) and min(high + len(pattern), len(c)) <= held[1]:
+                continue
+            if found := align(pattern, c, low, high, k):
                 edits, start, end = found
                 least = (-len(pattern), edits)
-                first, last, other = best.get(item, (start, end, least))
+                first, last, other = held or (start, end, least)
                 best[item] = (min(first, start), max(last, end), min(least, other))
-        return [(item, int(at[start]), int(at[end - 1]) + 1, edits) for item, (start, end, (_, edits)) in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
+        return [(item, int(at[start]), int(at[end - 1]) + 1, edits) for item, (start, end, (_, edits)) in sorted(best.items(), key=lambda x: (x[0] is None, 0 if x[0] is None else x[0]))]
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:
@@ -197,7 +214,7 @@ def _n_parts(benchmark: DataFrame) -> int:
 _HELD: dict[str, Index] = {}
 
 
-def _held(number: str, items: list[tuple[int | None, str]]) -> Index:
+def _held(number: str, items: list[tuple[object, str]]) -> Index:
     """The index of a part, kept by a worker until it meets another part."""
     if number not in _HELD:
         _HELD.clear()
@@ -210,7 +227,7 @@ def leaks(text: Column, benchmark: DataFrame, part: int, n_parts: int) -> Column
     rows = benchmark.filter("text IS NOT NULL").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == part).select("item_id", "text").distinct()
     shared, number = benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows.toLocalIterator()]), uuid.uuid4().hex
 
-    @F.pandas_udf(LEAKS)
+    @F.pandas_udf(f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},start:int,end:int,edits:int>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = _held(number, shared.value)
         for texts in batches:
@@ -241,7 +258,7 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return found.select("doc_id", F.col("x.item_id").alias("item_id"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.edits").alias("edits"))
 
     if n <= 1:
-        return search(0) if n else docs.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), *[F.lit(None).cast("int").alias(c) for c in ("start", "end", "edits")])
+        return search(0) if n else docs.limit(0).select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *[F.lit(None).cast("int").alias(c) for c in ("start", "end", "edits")])
     out = materialise(search(0), "leaks")
     for i in range(1, n):
         out = out.unionByName(materialise(search(i), "leaks"))

@@ -72,12 +72,15 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", *, depth: int = 3, mi
     # Lines are summed by leaf, position and token; only sums meet.
     tokens = hot.select("leaf", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda t: F.xxhash64(_masked(t)))).alias("i", "token"))
     best = tokens.groupBy("leaf", "n", "i", "token").agg(F.count("*").alias("c")).groupBy("leaf", "n", "i").agg(F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("all"))
-    fixed = best.filter(F.col("top.c") >= share * F.col("all")).groupBy("leaf", "n").agg(F.collect_list(F.struct("i", F.col("top.token").alias("token"))).alias("fixed"))
-    fixed = fixed.filter(F.size("fixed") * 2 >= F.col("n")).select("leaf", "fixed")
+    sums = best.groupBy("leaf", "n").agg(F.collect_list(F.when(F.col("top.c") >= share * F.col("all"), F.struct("i", F.col("top.token").alias("token")))).alias("fixed"), F.max("all").alias("lines"))
+    sums = materialise(sums.withColumn("fixed", F.when(F.size("fixed") * 2 >= F.col("n"), F.col("fixed"))), "log-sums")
+    total = sums.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    common_leaves = sums.filter(F.col("lines") > max(1_000, total // HOT_KEYS)).select("leaf")
+    fixed = sums.filter("fixed IS NOT NULL").select("leaf", "fixed")
 
     agrees = F.forall("fixed", lambda x: F.xxhash64(_masked(F.get("w", x["i"]))) == x["token"])
     own = F.xxhash64(F.lit("line"), F.transform("w", _masked))
-    named = materialise(hot.join(fixed, "leaf", "left").select("doc", "pos", "short", F.when(agrees, F.col("leaf")).otherwise(own).alias("template")), "log-templates")
+    named = materialise(spread_join(hot, fixed, ["leaf"], common_leaves, F.xxhash64("doc", "pos"), "left").select("doc", "pos", "short", F.when(agrees, F.col("leaf")).otherwise(own).alias("template")), "log-templates")
     common = materialise(_recurring(named, "template", min_docs, short_docs), "log-common")
     return _in(named, common, "template").groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
 

@@ -234,10 +234,16 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key_a", "left_semi").dropDuplicates(["_id", "key_a"])
     texts = materialise(texts.select("_id", "key_a", _each(_table, WORDS)(F.col("_text")).alias("t")).select("_id", "key_a", "t.*"), "passage-words")
     sides = texts.select("_id", "key_a", "words").join(wanted, _same_row("_fi", "_fk")).select("_fi", "_fk", F.explode(around()("words", "_wanted")).alias("s"))
-    sides = sides.select("_fi", "_fk", F.col("s.number").alias("_fn"), "s.before", "s.after")
-
-    hit = ["_id", "key_a", "number", "size", "opens", "closes"]
-    grams = later.filter("gram").alias("l").join(sides.alias("s"), (F.col("l._fk") == F.col("s._fk")) & (F.col("l._fn") == F.col("s._fn")) & F.col("l._fi").eqNullSafe(F.col("s._fi"))).select(*hit, "before", "after")
+    first_id = F.coalesce(F.concat(F.lit("1"), F.col("_fi").cast("string")), F.lit("0")).alias("_fs")
+    sides = sides.select(first_id, "_fk", F.col("s.number").alias("_fn"), "s.before", "s.after")
+
+    # A passage of very many texts has one first occurrence, whose words go to each of the tasks that its later ones are dealt to.
+    hit, place = ["_id", "key_a", "number", "size", "opens", "closes"], ["_fs", "_fk", "_fn"]
+    grams = later.filter("gram").select(*hit, first_id, "_fk", "_fn")
+    sizes = materialise(grams.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1000"), "passage-hot")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = sizes.filter(F.col("n") > total // HOT_KEYS).select(*place)
+    grams = spread_join(grams, sides, place, common, F.col("key_a")).select(*hit, "before", "after")
     lines = later.filter("NOT gram").select(*hit, F.lit(None).cast("binary").alias("before"), F.lit(None).cast("binary").alias("after"))
     hits = grams.unionByName(lines).groupBy(F.col("_id").alias("_i"), F.col("key_a").alias("_k")).agg(F.collect_set(F.struct(*hit[2:], "before", "after")).alias("hits"))
     spans = texts.join(hits, _same_row("_i", "_k")).select("_i", "_k", runs(min_words)("words", "lengths", "gaps", F.col("hits").cast(HITS)).alias("removed"))
