@@ -89,18 +89,23 @@ def beautify(tokens: Column) -> Column:
     kind = lambda t: F.when(joins(t), "join").when(t.contains("@@"), "piece").when(word(t), "word").otherwise("other")
     rows = F.transform(kept, lambda t: F.struct(t.alias("t"), kind(t).alias("kind")))
 
-    def readable(x: Column) -> Column:
-        def part(row: Column, i: Column) -> Column:
-            since = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(-1), i - 1), lambda j: F.get(x, j)["kind"] == "word")), F.lit(-1))
-            pieces = F.filter(F.slice(x, since + 2, i - since - 1), lambda r: r["kind"] == "piece")
-            before = F.array_join(F.transform(pieces, lambda r: F.replace(r["t"], F.lit("@@"), F.lit(""))), "")
-            space = F.when(F.coalesce(F.get(x, i + 1)["kind"] == "join", F.lit(False)), "").otherwise(" ")
-            return F.when(row["kind"] == "word", F.concat(before, row["t"], space)).when(row["kind"] == "piece", "").otherwise(row["t"])
-
-        whole = F.array_join(F.transform(x, part), "")
+    def readable(x: Column, ends: Column) -> Column:
+        """x in runs that end at the places of words (the last one may have none), so each token is looked at once."""
+
+        def run(g: Column) -> Column:
+            start, end = F.coalesce(F.get(ends, g - 1) + 1, F.lit(0)), F.coalesce(F.get(ends, g), F.size(x) - 1)
+            own = F.slice(x, start + 1, end - start + 1)
+            texts = lambda keep: F.array_join(F.transform(F.filter(own, keep), lambda r: r["t"]), "")
+            pieces = F.replace(texts(lambda r: r["kind"] == "piece"), F.lit("@@"), F.lit(""))
+            space = F.when(F.coalesce(F.get(x, end + 1)["kind"] == "join", F.lit(False)), "").otherwise(" ")
+            ending = F.when(g < F.size(ends), F.concat(pieces, F.get(x, end)["t"], space)).otherwise("")
+            return F.concat(texts(lambda r: r["kind"].isin("join", "other")), ending)
+
+        whole = F.array_join(F.transform(F.sequence(F.lit(0), F.size(ends)), run), "")
         return F.when(F.forall(x, lambda r: r["kind"] == "join"), F.replace(whole, F.lit(" "), F.lit(""))).otherwise(strip(whole))
 
-    return bind(rows, readable)
+    places = lambda x: F.filter(F.transform(x, lambda r, i: F.when(r["kind"] == "word", i)), lambda i: i.isNotNull())
+    return bind(rows, lambda x: bind(places(x), lambda ends: readable(x, ends)))
 
 
 def job_id(key: Column) -> Column:

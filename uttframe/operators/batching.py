@@ -15,6 +15,7 @@ from itertools import groupby, islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from ..functions.stage import materialise
@@ -133,22 +134,51 @@ def distribute_batch(df: DataFrame, shard: str, order: list[str], key: str, leng
 
 
 def pad(xs: Column, n: Column, value: object) -> Column:
-    return F.concat(xs, F.array_repeat(F.lit(value), (n - F.size(xs)).cast("int")))
+    return F.concat(xs, F.array_repeat(value if isinstance(value, Column) else F.lit(value), (n - F.size(xs)).cast("int")))
+
+
+def collate(
+    df: DataFrame, batch: list[str], key: str, feats: str, label: str, feat_pad: float = 0.0, label_pad: int = -1,
+    more: tuple[str, ...] = (), padded: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row a batch, longest first: keys, padded feats and labels, their lengths, and the mask of padding.
+
+    Frames may be numbers or vectors, which are padded by vectors of zeros. more: columns that go along as arrays in the same order
+    (speakers, languages, tasks). padded: array columns that are padded by zeros, each with its lengths (waves, category
+    vectors), a null one as an empty one.
+    """
+    frames = df.schema[feats].dataType.elementType
+    pads = F.get("_r", F.lit(0))["x"]
+    filler = feat_pad if not isinstance(frames, ArrayType) else F.array_repeat(F.lit(feat_pad).cast(frames.elementType), F.size(F.get(pads, F.lit(0))))
+    own = [F.col(c).alias(f"m{i}") for i, c in enumerate(more)] + [F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(f"p{i}") for i, c in enumerate(padded)]
+    row = F.struct((-F.size(feats)).alias("minus"), F.col(key).alias("key"), F.col(feats).alias("x"), F.col(label).alias("y"), *own)
+    rows = df.groupBy(*batch).agg(F.array_sort(F.collect_list(row)).alias("_r"))
+    field = lambda f: F.transform("_r", lambda r: r[f])
+    sizes = lambda f: F.transform("_r", lambda r: F.size(r[f]))
 
+    def filled(f: str, longest: Column, value: object) -> Column:
+        return F.transform("_r", lambda r: pad(r[f], longest, value))
 
-def collate(df: DataFrame, batch: list[str], key: str, feats: str, label: str, feat_pad: float = 0.0, label_pad: int = -1) -> DataFrame:
-    """One row a batch, longest first: keys, padded feats and labels, their lengths, and the mask of padding."""
-    row = F.struct((-F.size(feats)).alias("minus"), F.col(key).alias("key"), F.col(feats).alias("x"), F.col(label).alias("y"))
-    rows = df.groupBy(*batch).agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    rows = rows.withColumns({"_nx": F.array_max(F.transform("_r", lambda r: F.size(r["x"]))), "_ny": F.array_max(F.transform("_r", lambda r: F.size(r["y"])))})
+    rows = rows.withColumns({"_nx": F.array_max(sizes("x")), "_ny": F.array_max(sizes("y"))} | {f"_np{i}": F.array_max(sizes(f"p{i}")) for i in range(len(padded))})
+    extra = [field(f"m{i}").alias(c) for i, c in enumerate(more)]
+    for i, c in enumerate(padded):
+        zero = F.lit(0).cast(df.schema[c].dataType.elementType)
+        extra += [filled(f"p{i}", F.col(f"_np{i}"), zero).alias(c), sizes(f"p{i}").alias(f"{c}_lengths")]
     return rows.select(
-        *batch, F.transform("_r", lambda r: r["key"]).alias("keys"),
-        F.transform("_r", lambda r: pad(r["x"], F.col("_nx"), feat_pad)).alias("feats"), F.transform("_r", lambda r: F.size(r["x"])).alias("feat_lengths"),
-        F.transform("_r", lambda r: pad(r["y"], F.col("_ny"), label_pad)).alias("labels"), F.transform("_r", lambda r: F.size(r["y"])).alias("label_lengths"),
-        F.transform("_r", lambda r: pad_mask(F.size(r["x"]), F.col("_nx"))).alias("mask"),
+        *batch, field("key").alias("keys"), filled("x", F.col("_nx"), filler).alias("feats"), sizes("x").alias("feat_lengths"),
+        filled("y", F.col("_ny"), label_pad).alias("labels"), sizes("y").alias("label_lengths"),
+        F.transform("_r", lambda r: pad_mask(F.size(r["x"]), F.col("_nx"))).alias("mask"), *extra,
     )
 
 
+def with_lists(batches: DataFrame, lists: DataFrame, batch: list[str], column: str = "ids", name: str = "bias") -> DataFrame:
+    """Batches with the nested list of (batch, column) rows, such as a batch's bias phrases as ids: padded by zeros, with the lengths."""
+    found = lists.select(*batch, F.coalesce(F.col(column), F.array().cast(lists.schema[column].dataType)).alias("_l"))
+    out = batches.join(found, batch, "left").withColumn("_l", F.coalesce("_l", F.array().cast(lists.schema[column].dataType)))
+    longest = F.coalesce(F.array_max(F.transform("_l", lambda x: F.size(x))), F.lit(0))
+    return out.select(*batches.columns, F.transform("_l", lambda x: pad(x, longest, 0)).alias(name), F.transform("_l", lambda x: F.size(x)).alias(f"{name}_lengths"))
+
+
 def pad_mask(length: Column, longest: Column) -> Column:
     """True where a place is padding."""
     return F.transform(F.sequence(F.lit(1), longest), lambda i: i > length)

@@ -118,6 +118,51 @@ def phrase_bonus(tokens: Column, phrases: list[list[int]], bonus: float) -> Colu
     return run(tokens)
 
 
+def ending(phrases: DataFrame, phrase: str, order: str) -> DataFrame:
+    """The phrases that end where a trie filled in order marks ends only at new nodes: those that no earlier one starts with."""
+    rows = phrases.select(F.col(phrase).alias("_p"), F.col(order).alias("_o")).filter(F.size("_p") > 0)
+    heads = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda n: F.slice("_p", F.lit(1), n))).alias("_p"), "_o")
+    first = heads.groupBy("_p").agg(F.min("_o").alias("_first"))
+    return rows.groupBy("_p").agg(F.min("_o").alias("_o")).join(first, "_p").filter("_o = _first").select(F.col("_p").alias(phrase))
+
+
+def phrase_matches(df: DataFrame, key: str, tokens: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """(key, place, n_tokens, phrase) of all places where a phrase of a table of any size stands in a token array.
+
+    Windows of the lengths that phrases have meet the phrases by two hashes; a table of a size that Spark broadcasts costs no
+    shuffle, and a larger one shuffles hashes, not windows. The lengths, few numbers, are part of the plan. Repeated phrases are one,
+    empty ones match nothing.
+    """
+    known = phrases.select(F.col(phrase).alias("phrase")).filter(F.size("phrase") > 0).distinct()
+    lengths = sorted(r[0] for r in known.select(F.size("phrase")).distinct().collect())
+    hashes = lambda x: (F.xxhash64(x).alias("_a"), F.hash(x).alias("_b"))
+
+    def windows(n: int) -> Column:
+        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("place"), F.lit(n).alias("n_tokens"), *hashes(F.slice(tokens, i + 1, F.lit(n)))))
+
+    kind = "array<struct<place:int,n_tokens:int,_a:bigint,_b:int>>"
+    every = F.flatten(F.array(*[windows(n) for n in lengths])) if lengths else F.array().cast(kind)
+    each = df.select(F.col(key).alias(key), F.explode(every).alias("_w")).select(key, "_w.place", "_w.n_tokens", "_w._a", "_w._b")
+    return each.join(known.select("phrase", *hashes(F.col("phrase"))), ["_a", "_b"]).select(key, "place", "n_tokens", "phrase")
+
+
+def phrase_bonus_join(df: DataFrame, key: str, tokens: str, phrases: DataFrame, bonus: float, phrase: str = "phrase", order: str | None = None) -> DataFrame:
+    """(key, bonus): ``phrase_bonus`` with a table of phrases of any size. With order, phrases end as ``ending`` says. Rows that share a key are one."""
+    known = ending(phrases, phrase, order) if order else phrases
+    found = phrase_matches(df, key, tokens, known, phrase).groupBy(F.col(key).alias("_k")).agg(F.sum("n_tokens").alias("_n"))
+    out = df.select(key).distinct().join(found, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return out.select(key, (F.coalesce("_n", F.lit(0)) * F.lit(float(bonus))).alias("bonus"))
+
+
+def phrase_list(phrases: DataFrame, phrase: str = "phrase", most: int = 200_000) -> list[list[int]]:
+    """The phrases of a table for a beam search, whose workers each hold them as a trie; more than ``most`` are an error."""
+    found = [list(r[0]) for r in phrases.select(phrase).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} phrases in one beam search")
+    return found
+
+
 def _plus(*xs: float) -> float:
     top = max(xs)
     return top if top == -np.inf else top + float(np.log(sum(np.exp(x - top) for x in xs)))

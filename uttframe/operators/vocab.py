@@ -16,13 +16,46 @@ def encode(tokens: Column, vocab: dict[str, int], unk: str = "<unk>") -> Column:
     return F.filter(ids, lambda i: i.isNotNull())
 
 
+#: Tasks that the rows of one token are dealt to, each with a copy of its entry.
+SALTS = 16
+
+
+def translate(df: DataFrame, key: str, items: str, table: DataFrame) -> DataFrame:
+    """(key, found) of (key, items array) rows, a struct (item, to) for each item in its place, from a table (item, to) of any size; to is null where it has none.
+
+    The items are joined with the table and put together again by place: no map is part of an expression. An item's different
+    keys are dealt to SALTS tasks, so that a common one is no task of its own. Rows that share a key are one: their items
+    follow each other by place. Null and empty arrays give empty ones. Of an item's several entries the least counts.
+    """
+    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")
+    entries = table.select("item", "to").filter("item IS NOT NULL").groupBy("item").agg(F.min("to").alias("to"))
+    entries = entries.select(F.col("item").alias("_item"), "to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    each = df.select(F.col(key).alias("_key"), salt.alias("_deal"), F.posexplode(items).alias("_i", "item"))
+    met = each.join(entries, (F.col("item") == F.col("_item")) & (F.col("_deal") == F.col("_salt")), "left")
+    found = met.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_i", "item", "to"))).alias("_x"))
+    out = df.select(F.col(key).alias("_k")).distinct().join(found, F.col("_k").eqNullSafe(F.col("_key")), "left")
+    kind = f"array<struct<item:{table.schema['item'].dataType.simpleString()},to:{table.schema['to'].dataType.simpleString()}>>"
+    return out.select(F.col("_k").alias(key), F.coalesce(F.transform("_x", lambda x: F.struct(x["item"].alias("item"), x["to"].alias("to"))).cast(kind), F.array().cast(kind)).alias("found"))
+
+
 def encode_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, unk: str = "<unk>") -> DataFrame:
-    """(key, ids) by a join with a table (token, id) of any size, without a map in each expression. Rows that share a key are one: their tokens follow each other by place."""
+    """(key, ids) by a join with a table (token, id) of any size; tokens that it lacks get the id of unk, or are left out if it has none."""
     spare = vocab.filter(F.col("token") == unk).agg(F.min("id").alias("_unk"))  # one row
-    each = df.select(key, F.posexplode(tokens).alias("_i", "token")).join(vocab, "token", "left").crossJoin(F.broadcast(spare))
-    found = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.coalesce("id", "_unk").isNotNull(), F.struct("_i", F.coalesce("id", "_unk").alias("id"))))).alias("_x"))
-    out = df.select(key).distinct().join(found, key, "left")
-    return out.select(key, F.coalesce(F.transform("_x", lambda x: x["id"]), F.array().cast("array<int>")).alias("ids"))
+    out = translate(df, key, tokens, vocab.select(F.col("token").alias("item"), F.col("id").alias("to"))).crossJoin(F.broadcast(spare))
+    return out.select(key, F.filter(F.transform("found", lambda x: F.coalesce(x["to"], F.col("_unk"))), lambda i: i.isNotNull()).alias("ids"))
+
+
+def decode_join(df: DataFrame, key: str, ids: str, vocab: DataFrame) -> DataFrame:
+    """(key, tokens) of ids by a join with a table (token, id) of any size; an unknown id is an error."""
+    out = translate(df, key, ids, vocab.select(F.col("id").alias("item"), F.col("token").alias("to")))
+    return out.select(key, F.transform("found", lambda x: F.coalesce(x["to"], F.raise_error(F.concat(F.lit("no token of id "), x["item"].cast("string"))))).alias("tokens"))
+
+
+def segment_join(df: DataFrame, key: str, text: str, pieces: DataFrame) -> DataFrame:
+    """(key, tokens): ``segment`` with a dictionary table (word, pieces) of any size."""
+    words = df.select(key, F.flatten(F.transform(split_cjk(F.col(text)), split_words)).alias("_words"))
+    out = translate(words, key, "_words", pieces.select(F.col("word").alias("item"), F.col("pieces").alias("to")))
+    return out.select(key, F.flatten(F.transform("found", lambda x: F.when(x["item"].rlike(f"^{CJK}$") | x["to"].isNull(), F.array(x["item"])).otherwise(F.split(x["to"], " ")))).alias("tokens"))
 
 
 def decode(ids: Column, vocab: dict[str, int]) -> Column:

@@ -22,9 +22,9 @@ from .speech import WORDS, _vectors, _words
 # Tokens and texts
 
 
-@query(f"SELECT doc_id, len({WORDS}) AS n_words, lang AS task, n_chars * 10 AS ms, [0.25::DOUBLE, 0.75::DOUBLE] AS verbatim FROM documents")
+@query(f"SELECT doc_id, len({WORDS}) AS n_words, 'transcribe' AS task, n_chars * 10 AS ms, [0.25::DOUBLE, 0.75::DOUBLE] AS verbatim FROM documents")
 def task_columns(t: Tables) -> DataFrame:
-    rows = filters.task(t.documents.select("doc_id", "lang", "text", "n_chars")).withColumn("task", F.col("lang"))
+    rows = filters.task(t.documents.select("doc_id", "text", "n_chars"))
     return rows.select("doc_id", T.count_words(F.col("text")).cast("long").alias("n_words"), "task", (filters.output_frame_ms(F.lit("linear")) * F.col("n_chars")).alias("ms"), filters.verbatimicity(0.25).alias("verbatim"))
 
 
@@ -155,12 +155,27 @@ def chunk_shift(t: Tables) -> DataFrame:
     return alignment.chunk_shift(words).select("file", "word_id", "start_ms", "end_ms")
 
 
-@query("""WITH y AS (SELECT doc_id, list_transform(range(n), lambda i: (doc_id + i * i) % 5) AS y FROM (SELECT doc_id, 5 + doc_id % 20 AS n FROM documents))
-    SELECT doc_id, len(list_filter(range(1, len(y)), lambda i: y[i] = 1 AND y[i + 1] = 2)) * 2.0 + len(list_filter(range(1, len(y) + 1), lambda i: y[i] = 4)) * 1.0 AS bonus FROM y""")
+PHRASES = f"""WITH b AS (SELECT {WORDS} AS w FROM benchmark), p AS (SELECT DISTINCT w[i:i + n - 1] AS phrase FROM b, (SELECT unnest([2, 3, 5]) AS n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+    d AS (SELECT doc_id, {WORDS} AS w FROM documents), x AS (SELECT doc_id, w[i:i + n - 1] AS phrase, n FROM d, (SELECT unnest([2, 3, 5]) AS n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+    hit AS (SELECT doc_id, count(*) AS n, sum(n) AS tokens FROM x JOIN p USING (phrase) GROUP BY doc_id)"""
+
+
+@query(f"{PHRASES} SELECT d.doc_id, 0.5::DOUBLE * coalesce(tokens, 0) AS bonus FROM d LEFT JOIN hit USING (doc_id)")
 def phrase_scores(t: Tables) -> DataFrame:
-    """Tokens (doc_id + i * i) mod 5 against the phrases 1 2 and 4."""
-    tokens = F.transform(F.sequence(F.lit(0), (4 + F.col("doc_id") % 20).cast("int")), lambda i: ((F.col("doc_id") + i * i) % 5).cast("int"))
-    return t.documents.select("doc_id", sequences.phrase_bonus(tokens, [[1, 2], [4]], 1.0).alias("bonus"))
+    """Words of documents against the runs of two, three and five words of the benchmark."""
+    w = T.split_words(F.col("text"))
+    runs = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i, n=n: F.slice(w, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>")) for n in (2, 3, 5)]
+    phrases = t.benchmark.select(F.explode(F.flatten(F.array(*runs))).alias("phrase"))
+    return sequences.phrase_bonus_join(t.documents.select("doc_id", w.alias("w")), "doc_id", "w", phrases, 0.5)
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS i FROM benchmark), v AS (SELECT DISTINCT unnest({WORDS}) AS word FROM documents)
+    SELECT item_id, list(CASE WHEN v.word IS NULL THEN w.word ELSE reverse(w.word) END ORDER BY i) AS tokens FROM w LEFT JOIN v ON v.word = w.word GROUP BY item_id""")
+def dictionary_of_words(t: Tables) -> DataFrame:
+    """Words of the benchmark through a dictionary of all words of documents, which has them backwards: a table, not a map."""
+    words = t.documents.select(F.explode(T.split_words(F.col("text"))).alias("item")).distinct()
+    found = vocab.translate(t.benchmark.select("item_id", T.split_words(F.col("text")).alias("w")), "item_id", "w", words.withColumn("to", F.reverse("item")))
+    return found.select("item_id", F.transform("found", lambda x: F.coalesce(x["to"], x["item"])).alias("tokens"))
 
 
 # Features, with parameters that leave nothing to chance

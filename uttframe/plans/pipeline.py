@@ -7,13 +7,18 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.files import open_range
 from ..functions.rand import uniform
+from ..functions.stage import materialise
 from ..functions.text import char_tokens
 from ..operators import batching, bias, features, filters, language, ranking, vocab
+from ..sources import archives
+from ..sources import text as S
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -23,7 +28,7 @@ DEFAULTS: dict[str, Any] = {
     "language": False, "language_conf": {"model": None},
     "category": False, "category_conf": {"column": "lang", "ids": {}, "n": 1, "force": ()},
     "bias": False, "bias_conf": {"threshold": 20, "n_order": 3, "p_keep": 1.0},
-    "collate": False, "collate_conf": {"feats": "feats"},
+    "collate": False, "collate_conf": {"feats": "feats", "more": (), "padded": ()},
     "tokenize": True, "tokenize_conf": {"symbols": False, "vocab": {"<unk>": 1}},
     "filter": True, "filter_conf": {},
     "speech_rate": False,
@@ -128,7 +133,7 @@ def build_pipeline(conf: dict[str, Any], order: tuple[str, ...] = ORDER) -> Stag
 
     stages: dict[str, Stage] = {
         "speakers": lambda df: filters.speaker_ids(df, of("speakers")["table"]), "language": spoken, "category": category, "bias": phrases,
-        "collate": lambda df: batching.collate(df, ["shard", "batch_id"], "key", of("collate")["feats"], "label"),
+        "collate": lambda df: batching.collate(df, ["shard", "batch_id"], "key", of("collate")["feats"], "label", more=tuple(of("collate")["more"]), padded=tuple(of("collate")["padded"])),
         "special_tokens": lambda df: filters.special_tokens(df, filters.SpecialTokens(**conf["special_tokens_conf"])),
         "tokenize": tokenize, "filter": length_filter,
         "speech_rate": lambda df: df.filter(filters.speech_rate_reason(F.col("txt"), F.col("n_frames") / 100).isNull()),
@@ -188,3 +193,35 @@ def build_features(conf: dict[str, Any], order: tuple[str, ...] = WAVE_ORDER) ->
         return df
 
     return run
+
+
+def read_corpus(spark: SparkSession, path: str | list[str], kind: str = "raw") -> DataFrame:
+    """(shard, pos, key, txt, extras, wav, error) of JSON-line manifests (raw, with paths of waves that tasks open) or archives (shard)."""
+    if kind == "shard":
+        rows = archives.archives(spark, path).withColumn("shard", F.col("tar_file_name"))
+    else:
+
+        @F.pandas_udf("binary")
+        def content(paths: pd.Series) -> pd.Series:
+            out = []
+            for p in paths:
+                try:
+                    with open_range(p) as f:
+                        out.append(f.read())
+                except (OSError, TypeError):
+                    out.append(None)
+            return pd.Series(out, dtype=object)
+
+        rows = S.manifest(spark, path).withColumn("shard", F.col("file_name")).withColumn("wav", content("wav"))
+    error = F.coalesce("error", F.when(F.col("wav").isNull(), "no wave").when(F.col("txt").isNull(), "no text"))
+    return rows.select("shard", F.col("key").alias("pos"), "key", "txt", "extras", "wav", error.alias("error"))
+
+
+def build_corpus(spark: SparkSession, conf: dict[str, Any], path: str | list[str], kind: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """(what ``build_pipeline`` makes of a corpus of files, rows with an error). Waves are decoded once; feats has a key's frames in order, n_frames their number. Keys must be unique."""
+    decoded = materialise(archives.waves(read_corpus(spark, path, kind)), "corpus")
+    sound, bad = S.quarantine(decoded)
+    frames = build_features(conf)(sound.select("key", "samples", "sample_rate"))
+    feats = frames.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "feat"))).alias("_f"))
+    feats = feats.select("key", F.transform("_f", lambda x: x["feat"]).alias("feats"), F.size("_f").alias("n_frames"))
+    return build_pipeline(conf)(sound.drop("samples", "sample_rate").join(feats, "key")), bad.select("shard", "key", "error")

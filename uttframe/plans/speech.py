@@ -198,6 +198,18 @@ def collate_pad(t: Tables) -> DataFrame:
     return batching.collate(rows, ["batch_id"], "vec_id", "x", "y").drop("feats")
 
 
+@query("""WITH r AS (SELECT vec_id // 16 AS batch_id, vec_id, embedding[1:10 + label] AS x, label, embedding[1:label % 3] AS v FROM embeddings), m AS (SELECT batch_id, max(len(v)) AS nv FROM r GROUP BY batch_id)
+    SELECT batch_id, list(vec_id ORDER BY -len(x), vec_id) AS keys, list(label ORDER BY -len(x), vec_id) AS label, list(v || list_transform(range(nv - len(v)), lambda i: 0::FLOAT) ORDER BY -len(x), vec_id) AS v,
+      list(len(v)::INT ORDER BY -len(x), vec_id) AS v_lengths, [[batch_id, 7], [7, 0]] AS bias, [2, 1] AS bias_lengths FROM r JOIN m USING (batch_id) GROUP BY batch_id""")
+def collate_more(t: Tables) -> DataFrame:
+    """Batches with a column, padded vectors, and a list of phrases a batch."""
+    batch = F.floor(F.col("vec_id") / 16).alias("batch_id")
+    rows = t.embeddings.select(batch, "vec_id", "label", F.slice("embedding", F.lit(1), F.col("label") + 10).alias("x"), F.array("label").alias("y"), F.slice("embedding", F.lit(1), F.col("label") % 3).alias("v"))
+    lists = t.embeddings.select(batch).distinct().select("batch_id", F.array(F.array("batch_id", F.lit(7).cast("long")), F.array(F.lit(7).cast("long"))).alias("ids"))
+    out = batching.with_lists(batching.collate(rows, ["batch_id"], "vec_id", "x", "y", more=("label",), padded=("v",)), lists, ["batch_id"])
+    return out.select("batch_id", "keys", "label", "v", "v_lengths", "bias", "bias_lengths")
+
+
 DIMS = "SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings"
 
 
