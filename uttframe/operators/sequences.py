@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from .ranking import top_k
 
 
@@ -137,12 +138,12 @@ def phrase_matches(df: DataFrame, key: str, tokens: str, phrases: DataFrame, phr
     lengths = sorted(r[0] for r in known.select(F.size("phrase")).distinct().collect())
     hashes = lambda x: (F.xxhash64(x).alias("_a"), F.hash(x).alias("_b"))
 
-    def windows(n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("place"), F.lit(n).alias("n_tokens"), *hashes(F.slice(tokens, i + 1, F.lit(n)))))
+    def windows(w: Column, n: int) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("place"), F.lit(n).alias("n_tokens"), *hashes(F.slice(w, i + 1, F.lit(n)))))
 
-    kind = "array<struct<place:int,n_tokens:int,_a:bigint,_b:int>>"
-    every = F.flatten(F.array(*[windows(n) for n in lengths])) if lengths else F.array().cast(kind)
+    # The tokens are bound, so that an expression for them is evaluated once a row.
+    every = bind(F.col(tokens), lambda w: F.flatten(F.array(*[windows(w, n) for n in lengths]))) if lengths else F.array().cast("array<struct<place:int,n_tokens:int,_a:bigint,_b:int>>")
     each = df.select(F.col(key).alias(key), F.explode(every).alias("_w")).select(key, "_w.place", "_w.n_tokens", "_w._a", "_w._b")
     return each.join(known.select("phrase", *hashes(F.col("phrase"))), ["_a", "_b"]).select(key, "place", "n_tokens", "phrase")
 

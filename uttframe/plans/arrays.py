@@ -164,8 +164,11 @@ PHRASES = f"""WITH b AS (SELECT {WORDS} AS w FROM benchmark), p AS (SELECT DISTI
 def phrase_scores(t: Tables) -> DataFrame:
     """Words of documents against the runs of two, three and five words of the benchmark."""
     w = T.split_words(F.col("text"))
-    runs = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i, n=n: F.slice(w, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>")) for n in (2, 3, 5)]
-    phrases = t.benchmark.select(F.explode(F.flatten(F.array(*runs))).alias("phrase"))
+
+    def runs(x: Column, n: int) -> Column:
+        return F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.slice(x, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
+
+    phrases = t.benchmark.select(F.explode(T.bind(w, lambda x: F.flatten(F.array(*[runs(x, n) for n in (2, 3, 5)])))).alias("phrase"))
     return sequences.phrase_bonus_join(t.documents.select("doc_id", w.alias("w")), "doc_id", "w", phrases, 0.5)
 
 
