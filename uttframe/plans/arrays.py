@@ -155,9 +155,10 @@ def chunk_shift(t: Tables) -> DataFrame:
     return alignment.chunk_shift(words).select("file", "word_id", "start_ms", "end_ms")
 
 
-PHRASES = f"""WITH b AS (SELECT {WORDS} AS w FROM benchmark), p AS (SELECT DISTINCT w[i:i + n - 1] AS phrase FROM b, (SELECT unnest([2, 3, 5]) AS n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
-    d AS (SELECT doc_id, {WORDS} AS w FROM documents), x AS (SELECT doc_id, w[i:i + n - 1] AS phrase, n FROM d, (SELECT unnest([2, 3, 5]) AS n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
-    hit AS (SELECT doc_id, count(*) AS n, sum(n) AS tokens FROM x JOIN p USING (phrase) GROUP BY doc_id)"""
+PHRASES = f"""WITH b AS (SELECT {WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {WORDS} AS w FROM documents), k AS (SELECT unnest([2, 3, 5]) AS n),
+    p AS (SELECT DISTINCT n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, k)),
+    x AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, k)),
+    hit AS (SELECT doc_id, sum(x.n) AS tokens FROM x JOIN p ON p.n = x.n AND p.phrase = x.phrase GROUP BY doc_id)"""
 
 
 @query(f"{PHRASES} SELECT d.doc_id, 0.5::DOUBLE * coalesce(tokens, 0) AS bonus FROM d LEFT JOIN hit USING (doc_id)")

@@ -102,8 +102,8 @@ def segmentation_dictionary(t: Tables) -> DataFrame:
 @query(f"SELECT word, count(*) AS freq FROM (SELECT unnest({WORDS}) AS word FROM benchmark) GROUP BY word")
 def word_frequencies(t: Tables) -> DataFrame:
     counts = bias.word_counts(t.benchmark, "text")
-    whole = counts.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "freq")))).alias("value"))
-    return S.word_frequencies(t.spark, _written(t, whole.repartition(1), "frequencies"))
+    parts = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "freq")))).alias("value"))
+    return S.word_frequencies(t.spark, _written(t, parts, "frequencies", "part"))
 
 
 # Times
