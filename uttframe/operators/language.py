@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .vocab import SALTS
+
 
 def ngrams(text: Column, n: int = 3) -> Column:
     padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
@@ -30,7 +32,10 @@ def detect(df: DataFrame, model: DataFrame, key: str, text: str, langs: list[str
     gains = model.filter("ngram IS NOT NULL").join(F.broadcast(unseen), "lang").select("lang", "ngram", (F.col("logp") - F.col("base")).alias("gain"))
     each = df.select(key, F.explode(ngrams(F.col(text), n)).alias("ngram")).groupBy(key, "ngram").agg(F.count("*").alias("c"))
     total = each.groupBy(key).agg(F.sum("c").alias("n"))
-    summed = each.join(gains, "ngram").groupBy(key, "lang").agg(F.sum(F.col("c") * F.col("gain")).alias("s"))
+    # The keys of a common n-gram are dealt to several tasks, each with a copy of its gains.
+    dealt = each.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    copies = gains.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    summed = dealt.join(copies, ["ngram", "_deal"]).groupBy(key, "lang").agg(F.sum(F.col("c") * F.col("gain")).alias("s"))
     pairs = total.crossJoin(F.broadcast(unseen)).join(summed, [key, "lang"], "left")  # languages are few
     scored = pairs.select(key, "lang", (F.col("n") * F.col("base") + F.coalesce("s", F.lit(0.0))).alias("score"))
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "lang"))
