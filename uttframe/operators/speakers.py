@@ -1,48 +1,63 @@
-"""Words to speakers: an interval join by file and time bucket, with the nearest segment where none overlaps."""
+"""Words to speakers: interval joins by file and time cell, with the nearest segment where none overlaps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import bind
+
 
 def assign_speakers(words: DataFrame, segments: DataFrame, bucket: float = 10.0) -> DataFrame:
     """words (file, word_id, start, dur) with speaker, from segments (file, start, end, label).
 
     The label with the largest summed overlap wins, then the earlier start, then the label. A word that overlaps nothing,
     or has no length, gets the segment with the smallest gap (then the earlier start, then the label); a file without
-    segments gives the empty label. Segments that span several buckets are matched in the first bucket that both share.
+    segments gives the empty label.
+
+    Time is cut into cells no shorter than the longest word. A cell has the segments that a word which starts in it may meet,
+    the one that ended last before these, and the one that starts next after these; so a word meets one row, its cell's.
     """
-    w = words.withColumn("end", F.col("start") + F.col("dur"))
-    s = segments.select("file", F.col("start").alias("s"), F.col("end").alias("e"), "label")
-    pairs = _in_cells(w.select("file", "word_id", "start", "end"), s, bucket)
-    hits = pairs.filter((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
-    overlap = F.least("end", "e") - F.greatest("start", "s")
-    by_label = hits.groupBy("file", "word_id", "label").agg(F.sum(overlap).alias("overlap"), F.min("s").alias("first"))
-    best = by_label.groupBy("file", "word_id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "first", "label")).alias("best")).select("file", "word_id", F.col("best.label").alias("_hit"))
-    joined = w.join(best, ["file", "word_id"], "left")
-
-    # Only the two neighbours of an unmatched word can be nearest: the segment that ends last before it, and the one that
-    # starts first after it. A running maximum and minimum over the file's timeline find them.
-    lost = joined.filter("_hit IS NULL")
-    one = s.groupBy("file", "s", "e").agg(F.min("label").alias("label"))
-    before = one.select("file", F.col("e").alias("t"), F.struct(F.col("e").alias("at"), (-F.col("s")).alias("late"), "s", "label").alias("x"))
-    after = one.select("file", F.col("s").alias("t"), F.struct(F.col("s").alias("at"), "s", "label").alias("x"))
-    left = _running(before, lost.select("file", F.col("start").alias("t"), "word_id"), F.max, F.asc("t")).withColumnRenamed("x", "b")
-    right = _running(after, lost.select("file", F.col("end").alias("t"), "word_id"), F.min, F.desc("t")).withColumnRenamed("x", "a")
-    # A word without length may also lie inside a segment, at no distance.
-    around = pairs.filter((F.col("start") == F.col("end")) & (F.col("s") <= F.col("start")) & (F.col("start") <= F.col("e"))).groupBy("file", "word_id").agg(F.min(F.struct("s", "label")).alias("i"))
-    gap = lambda g, s_, label: F.struct(g.alias("gap"), s_.alias("s"), label.alias("label"))
-    near = lost.select("file", "word_id", "start", "end").join(left, ["file", "word_id"]).join(right, ["file", "word_id"]).join(around, ["file", "word_id"], "left")
-    near = near.select("file", "word_id", F.least(
-        F.when(F.col("i").isNotNull(), gap(F.lit(0.0), F.col("i.s"), F.col("i.label"))),
-        F.when(F.col("b").isNotNull(), gap(F.col("start") - F.col("b.at"), F.col("b.s"), F.col("b.label"))),
-        F.when(F.col("a").isNotNull(), gap(F.col("a.at") - F.col("end"), F.col("a.s"), F.col("a.label")))).alias("near"))
-    out = joined.join(near.select("file", "word_id", F.col("near.label").alias("_near")), ["file", "word_id"], "left")
-    return out.withColumn("speaker", F.coalesce("_hit", "_near", F.lit(""))).drop("_hit", "_near", "end")
+    longest = words.agg(F.max("dur")).first()[0] or 0
+    width = float(max(bucket, longest))
+    cell = lambda t: F.floor(t / width)
+    w = words.withColumn("_cell", cell(F.col("start")))
+    s = segments.select("file", F.col("start").cast("double").alias("s"), F.col("end").cast("double").alias("e"), "label").withColumns({"_from": cell(F.col("s") - longest), "_to": cell(F.col("e"))})
+
+    inside = s.select("file", F.explode(F.sequence("_from", "_to")).alias("_cell"), F.struct("s", "e", "label").alias("x")).groupBy("file", "_cell").agg(F.collect_list("x").alias("_segments"))
+    past = s.groupBy("file", (F.col("_to") + 1).alias("_cell")).agg(F.min(F.struct((-F.col("e")).alias("minus"), "s", "label")).alias("_past"))
+    coming = s.groupBy("file", (F.col("_from") - 1).alias("_cell")).agg(F.min(F.struct("s", "label")).alias("_coming"))
+    cells = w.select("file", "_cell").distinct()
+    for part in (inside, past, coming):
+        cells = cells.unionByName(part, allowMissingColumns=True)
+    cells = cells.groupBy("file", "_cell").agg(F.first("_segments", ignorenulls=True).alias("_segments"), F.min("_past").alias("_past"), F.min("_coming").alias("_coming"))
+    line = Window.partitionBy("file").orderBy("_cell")
+    cells = cells.select(
+        "file", "_cell", "_segments", F.min("_past").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_past"),
+        F.min("_coming").over(line.rowsBetween(0, Window.unboundedFollowing)).alias("_coming"),
+    )
+    return w.join(cells, ["file", "_cell"], "left").withColumn("speaker", _speaker(F.col("start").cast("double"), (F.col("start") + F.col("dur")).cast("double"))).drop("_cell", "_segments", "_past", "_coming")
+
+
+def _speaker(start: Column, end: Column) -> Column:
+    """The label of a word beside the columns of its cell."""
+    met = F.filter("_segments", lambda x: (x["s"] < end) & (start < x["e"]))
+
+    def best(hits: Column) -> Column:
+        def of(label: Column) -> Column:
+            own = F.filter(hits, lambda x: x["label"] == label)
+            overlap = F.aggregate(own, F.lit(0.0), lambda a, x: a + F.least(end, x["e"]) - F.greatest(start, x["s"]))
+            return F.struct((-overlap).alias("minus"), F.array_min(F.transform(own, lambda x: x["s"])).alias("s"), label.alias("label"))
+
+        return F.array_min(F.transform(F.array_distinct(F.transform(hits, lambda x: x["label"])), of))["label"]
+
+    gap = lambda g, x: F.struct(F.greatest(F.lit(0.0), *g).alias("gap"), x["s"].alias("s"), x["label"].alias("label"))
+    near = F.concat(
+        F.transform(F.coalesce("_segments", F.array().cast("array<struct<s:double,e:double,label:string>>")), lambda x: gap([start - x["e"], x["s"] - end], x)),
+        F.array(F.when(F.col("_past").isNotNull(), gap([start + F.col("_past.minus")], F.col("_past"))), F.when(F.col("_coming").isNotNull(), gap([F.col("_coming.s") - end], F.col("_coming")))),
+    )
+    return F.coalesce(bind(met, best), F.array_min(near)["label"], F.lit(""))
 
 
 def _in_cells(words: DataFrame, segments: DataFrame, bucket: float) -> DataFrame:
@@ -52,13 +67,6 @@ def _in_cells(words: DataFrame, segments: DataFrame, bucket: float) -> DataFrame
     return pairs.filter(F.greatest(F.floor(F.col("start") / bucket), F.floor(F.col("s") / bucket)) == F.col("cell"))
 
 
-def _running(points: DataFrame, words: DataFrame, best: Callable, order: Column) -> DataFrame:
-    """For each word, the best x of the file's points up to its time, in the order given."""
-    line = points.unionByName(words, allowMissingColumns=True)
-    w = Window.partitionBy("file").orderBy(order, F.col("word_id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return line.withColumn("x", best("x").over(w)).filter("word_id IS NOT NULL").select("file", "word_id", "x")
-
-
 def overlap_seconds(words: DataFrame, segments: DataFrame, bucket: float = 10.0) -> DataFrame:
     """Seconds that each speaker's segments overlap the words of a file."""
     w = words.withColumn("end", F.col("start") + F.col("dur")).select("file", "start", "end")
