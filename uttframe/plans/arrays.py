@@ -198,6 +198,24 @@ def trimmed_frames(t: Tables) -> DataFrame:
     return features.trim_tail(frames, F.lit(25), longest=1).select("key", "frame_idx", F.get("logp", F.lit(0)).alias("x"))
 
 
+@query("SELECT count(DISTINCT vec_id // 25) AS n_keys, true AS first_ones, true AS within, true AS differ FROM embeddings")
+def trimmed_lengths(t: Tables) -> DataFrame:
+    """One to eight last frames taken off: what stays are a key's first frames, of several numbers."""
+    rows = features.trim_tail(_vectors(t), F.lit(25), longest=8)
+    each = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("frame_idx").alias("last"))
+    return each.agg(F.count("*").alias("n_keys"), F.every(F.col("last") + 1 == F.col("n")).alias("first_ones"), F.every(F.col("n").between(17, 24)).alias("within"), (F.count_distinct("n") > 1).alias("differ"))
+
+
+@query("SELECT count(*) AS n, 0::BIGINT AS n_strange, true AS changed FROM embeddings")
+def substituted_frames(t: Tables) -> DataFrame:
+    """Frames of which some are earlier ones of their key; none is a later one, or of another key."""
+    frames = _vectors(t).select("key", "frame_idx", "logp")
+    rows = features.substitute_earlier(frames, F.lit(25), feat="logp", longest=10)
+    origin = frames.groupBy("key", "logp").agg(F.min("frame_idx").alias("_from"))
+    met = rows.join(origin, ["key", "logp"], "left")
+    return met.agg(F.count("*").alias("n"), F.count(F.when(F.col("_from").isNull() | (F.col("_from") > F.col("frame_idx")), 1)).alias("n_strange"), (F.count(F.when(F.col("_from") < F.col("frame_idx"), 1)) > 0).alias("changed"))
+
+
 @query("SELECT vec_id, len(embedding) + 3 AS n, [0.5::FLOAT, 0.0::FLOAT, 0.5::FLOAT] AS tail FROM embeddings")
 def features_with_category(t: Tables) -> DataFrame:
     vector = filters.category_vector(F.lit("a"), {"a": 0, "b": 1}, 3, force=(2,))
@@ -248,11 +266,14 @@ def log_mel_frames(t: Tables) -> DataFrame:
 # Joins and sets
 
 
-@query("SELECT doc_id, 0 AS bank_id, 'only' AS noise FROM documents")
+@query("SELECT count(*) AS n, 0::BIGINT AS n_wrong, 25::BIGINT AS n_partners, true AS half FROM documents")
 def random_partner(t: Tables) -> DataFrame:
-    """The one row of a bank for each document: with probability 1, and nothing to choose from."""
-    bank = t.region.filter("r_regionkey = 0").select(F.col("r_regionkey").cast("int").alias("bank_id"), F.lit("only").alias("noise"))
-    return vocab.random_partner(t.documents.select("doc_id"), bank, 1, key="doc_id", p=1.0).select("doc_id", "bank_id", "noise")
+    """Half of the documents with one of 25 nations: each has its partner's own name, and all partners come up."""
+    bank = t.nation.select(F.col("n_nationkey").cast("int").alias("bank_id"), F.col("n_name").alias("noise"))
+    rows = vocab.random_partner(t.documents.select("doc_id"), bank, 25, key="doc_id", p=0.5)
+    rows = rows.join(F.broadcast(t.nation.select(F.col("n_nationkey").cast("int").alias("bank_id"), F.col("n_name").alias("_name"))), "bank_id", "left")
+    share = F.count("bank_id") / F.count("*")
+    return rows.agg(F.count("*").alias("n"), F.count(F.when(~F.col("noise").eqNullSafe(F.col("_name")), 1)).alias("n_wrong"), F.count_distinct("bank_id").alias("n_partners"), share.between(0.4, 0.6).alias("half"))
 
 
 @query("SELECT doc_id, least(n_chars, ceil(n_chars * 3 / 10.0::DOUBLE))::BIGINT AS n FROM documents")

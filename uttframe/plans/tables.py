@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import batching, filters, ranking, scoring, vocab
 from .base import Tables, query
@@ -109,3 +110,12 @@ def loss_table(t: Tables) -> DataFrame:
 @query("SELECT o_orderkey FROM orders")
 def shuffled_orders(t: Tables) -> DataFrame:
     return ranking.shuffled(t.orders.select("o_orderkey"), "o_orderkey", seed=3, epoch=1)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_keys, true AS mixed FROM orders")
+def shuffled_places(t: Tables) -> DataFrame:
+    """Shuffled orders by their place: each order once, and about as often a smaller key after a larger one as the reverse."""
+    rows = ranking.shuffled(t.orders.select("o_orderkey"), "o_orderkey", seed=3, epoch=1).withColumn("place", F.monotonically_increasing_id())
+    part = F.shiftright("place", 33)
+    before = F.lag("o_orderkey").over(Window.partitionBy(part).orderBy("place"))
+    return rows.withColumn("_b", before).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"), (F.count(F.when(F.col("_b") > F.col("o_orderkey"), 1)) / F.count("_b")).between(0.45, 0.55).alias("mixed"))
