@@ -59,10 +59,10 @@ def substitute_earlier(frames: DataFrame, n_frames: Column, key: str = "key", fe
     return wanted.join(frames.select(key, F.col("frame_idx").alias("_from"), feat), [key, "_from"]).drop("_from").select(*frames.columns)
 
 
-def trim_tail(frames: DataFrame, n_frames: Column, key: str = "key", longest: int = 20, seed: int = 0) -> DataFrame:
-    """Up to ``longest`` last frames taken off, where that is less than half of them."""
+def trim_tail(frames: DataFrame, n_frames: Column, key: str = "key", longest: int = 20, seed: int = 0, share: float = 0.5) -> DataFrame:
+    """Up to ``longest`` last frames taken off, where that is less than ``share`` of them."""
     cut = 1 + below(longest, key, op="trim", seed=seed)
-    return frames.filter(F.col("frame_idx") < n_frames - F.when(cut < n_frames / 2, cut).otherwise(0))
+    return frames.filter(F.col("frame_idx") < n_frames - F.when(cut < n_frames * share, cut).otherwise(0))
 
 
 @cache
