@@ -31,3 +31,8 @@ def test_frames_of_short_waves(spark, folder, name, bins, count):
 
 def test_trimmed_lengths_of_short_keys(spark, folder):
     assert [tuple(r) for r in QUERIES["trimmed_lengths"](spark, folder).collect()] == [(25, True, True, True)]
+
+
+def test_tasks_are_the_rows_own(spark, tmp_path):
+    spark.createDataFrame([(1, "a b", "en", 3), (2, "c", "de", 1), (3, None, None, 0)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.task for r in QUERIES["task_columns"](spark, str(tmp_path)).collect()} == {1: "en", 2: "de", 3: None}

@@ -132,7 +132,8 @@ def speaker_ids(df: DataFrame, speakers: DataFrame, on: str = "speaker") -> Data
     return df.join(table, on, "left").withColumn("speaker_id", F.coalesce("_id", F.lit(0))).drop("_id")
 
 
-def task(df: DataFrame, name: str = "transcribe") -> DataFrame:
+def task(df: DataFrame, name: str | Column = "transcribe") -> DataFrame:
+    """df with column task: one name, or a row's own."""
     return df.withColumn("task", F.lit(name))
 
 
