@@ -59,3 +59,21 @@ def test_one_passage_and_one_line_in_every_row(spark):
     assert found[0].n_removed == 0 and all(found[i].removed_words >= 60 for i in range(1, 2_500))
     gone = {r.doc_id: r.dropped_lines for r in log_templates.query(docs).collect()}
     assert all(gone[i] == "1" for i in range(2_500))
+
+
+def test_sets_of_a_large_family_are_not_repeated_as_rows(spark):
+    """A family of 600 near copies in blocks of 16: its blocks go to their pairs as whole rows, and no link is lost."""
+    from uttframe.llm import chosen_path
+
+    rng = random.Random(3)
+    words = prose(rng, 120).split()
+    texts = [" ".join([*words[: i % 60], f"v{i}", *words[i % 60 :]]) for i in range(600)]
+    rows, sent = [(i, t) for i, t in enumerate(texts)], []
+    by_bucket = chosen_path._by_bucket
+    try:
+        chosen_path._by_bucket = lambda df, *order: (sent.append(df), by_bucket(df, *order))[1]
+        out = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=10, block=16, recall=0.9999)
+        got = {(r.class_id, r.n_links) for r in out.collect()}
+        assert got == {(0, 599)} and sum(df.count() for df in sent) < 10 * 600 * 16
+    finally:
+        chosen_path._by_bucket = by_bucket

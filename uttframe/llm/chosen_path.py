@@ -12,7 +12,7 @@ Recall. Two sets of similarity ``threshold`` share on average one extension of a
 0.63 at depth 1. Runs are repeated until this gives the recall at any depth.
 
 Buckets are never capped. Those over ``block`` sets, or ``block_tokens`` shingles, are cut into blocks, and each pair of
-blocks is a group of its own. A pair that meets in several buckets counts in the first of them, so no pairs are emitted: a
+blocks is a group of its own. A block is one row, which goes to its groups as it is: sets are not repeated as rows. A pair that meets in several buckets counts in the first of them, so no pairs are emitted: a
 bucket gives, for each set, its number of links and the root of its component there. Shingles are sent only for sets that
 have a partner which sizes and signatures leave possible. A signature has the parity of the number of a set's shingles in
 each of about n cells; two sets differ in at least as many shingles as their signatures do in bits, so no link is lost.
@@ -215,8 +215,8 @@ def _pairs(group: pa.Table, threshold: float) -> np.ndarray:
     return m
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The groups of (path, i, j) with two rows or more in a partition that is ordered by them."""
+def _groups(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[pa.Table]:
+    """The groups of (path, i, j) with ``least`` rows or more in a partition that is ordered by them."""
     rest: pa.Table | None = None
     for batch in batches:
         whole = pa.Table.from_batches([batch])
@@ -225,12 +225,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         keys = np.stack([whole[c].to_numpy() for c in ("path", "i", "j")])
         edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         bounds = [0, *edges.tolist()]
-        yield from (whole.slice(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1)
+        yield from (whole.slice(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= least)
         rest = whole.slice(bounds[-1])
-    if rest is not None and len(rest) > 1:
+    if rest is not None and len(rest) >= least:
         yield rest
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of rows that are whole blocks, with a row a set."""
+    for group in _groups(batches, 1):
+        blocks = group["sets"].combine_chunks()
+        sets, sizes = blocks.flatten(), blocks.value_lengths().to_numpy(zero_copy_only=False)
+        keys = {c: pa.array(np.repeat(group[c].to_numpy(), sizes)) for c in ("path", "i", "j", "own")}
+        yield pa.table(dict(zip([f.name for f in sets.type], sets.flatten(), strict=True)) | keys)
+
+
 def _in_batches(rows: Iterator[dict[str, np.ndarray]], schema: pa.Schema, least: int = 2_000) -> Iterator[pa.RecordBatch]:
     def batch(found: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[f.name] for x in found]), f.type) for f in schema], schema=schema)
@@ -239,7 +248,7 @@ def _in_batches(rows: Iterator[dict[str, np.ndarray]], schema: pa.Schema, least:
     n = 0
     for x in rows:
         found.append(x)
-        n += len(x["a"])
+        n += len(x[schema.names[0]])
         if n > least:
             yield batch(found)
             found, n = [], 0
@@ -252,6 +261,7 @@ def _schema(**types: pa.DataType) -> pa.Schema:
 
 
 LIKELY = _schema(a=pa.int64(), b=pa.int64(), path=pa.int64(), i=pa.int32(), j=pa.int32(), own=pa.int32())
+MET = _schema(path=pa.int64(), i=pa.int32(), j=pa.int32())
 LINKS = _schema(a=pa.int64(), b=pa.int64(), links=pa.int64(), ra=pa.int64(), rb=pa.int64())
 
 
@@ -267,11 +277,22 @@ def _likely(threshold: float) -> Callable:
     return lambda batches: _in_batches(rows(batches), LIKELY)
 
 
-def _links(threshold: float) -> Callable:
+def _met(threshold: float) -> Callable:
+    """The groups of blocks with a pair that is possible there."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for group in _unpacked(batches):
+            if _pairs(group, threshold).any():
+                yield {c: group[c].to_numpy()[:1] for c in MET.names}
+
+    return lambda batches: _in_batches(rows(batches), MET)
+
+
+def _links(threshold: float, groups: Callable = _groups) -> Callable:
     """For each set with links in a group: their number in rows, and the root of its component there."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        for group in _groups(batches):
+        for group in groups(batches):
             m = _pairs(group, threshold)
             if not m.any():
                 continue
@@ -293,8 +314,13 @@ def _links(threshold: float) -> Callable:
     return lambda batches: _in_batches(rows(batches), LINKS)
 
 
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "a", "b")
+def _by_bucket(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", *order)
+
+
+def _packed(rows: DataFrame, *cols: str) -> DataFrame:
+    """A row for each block: path, own, h, sets."""
+    return rows.groupBy("path", "own").agg(F.first("h").alias("h"), F.collect_list(F.struct(*cols)).alias("sets"))
 
 
 # Buckets
@@ -349,7 +375,7 @@ def _levels(sets: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, th
     return materialise(ends, "path-leaves"), every.select("a", "b", "path"), total
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.98, small: int = 200, block: int = 128, block_tokens: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.98, small: int = 200, block: int = 512, block_tokens: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: _id, key_a, key_b, a, b; sets: a, b, first row, copies; links: a, b, links, ra, rb)."""
     light_batches(docs.sparkSession)
     seen = docs.select(F.col(id_col).alias("_id"), *row_key(F.col(id_col), F.col(text_col)), describe(F.col(text_col), k, threshold, n_runs(recall)).alias("x"))
@@ -373,17 +399,31 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     placed = placed.groupBy("a", "b").agg(F.collect_set(F.struct("path", blocks.alias("h"))).alias("buckets"))
     placed = materialise(sets.select("a", "b", "n", "copies", "bits").join(placed, ["a", "b"]).withColumn("leaves", F.transform("buckets", lambda x: x["path"])), "path-placed")
 
-    # Block x of a bucket of h blocks meets each block y: in the group (x, y), or (y, x) if y is less.
-    at = placed.withColumn("_p", F.explode("buckets"))
-    at = at.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "a", "b"), F.col("_p.h")).cast("int")).withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_p.h") - 1)))
-    group = [F.col("_p.path").alias("path"), F.least("own", "_y").alias("i"), F.greatest("own", "_y").alias("j"), "own"]
-    likely = _by_bucket(at.select("a", "b", "n", "bits", "leaves", *group)).mapInArrow(_likely(threshold), "a long, b long, path long, i int, j int, own int")
+    at = placed.select("a", "b", "n", "copies", "bits", "leaves", F.inline("buckets"))
+    at = at.withColumn("own", F.pmod(F.xxhash64(F.lit(9), "a", "b"), F.col("h")).cast("int"))
+    whole = at.filter("h = 1").select("a", "b", "n", "bits", "leaves", "path", F.lit(0).alias("i"), F.lit(0).alias("j"), "own")
+    likely = _by_bucket(whole, "a", "b").mapInArrow(_likely(threshold), "a long, b long, path long, i int, j int, own int")
     likely = likely.groupBy("a", "b").agg(F.collect_list(F.struct("path", "i", "j", "own")).alias("groups"))
 
     full = with_text(placed.drop("buckets").join(likely, ["a", "b"]))
     full = full.select("a", "b", "n", "copies", "bits", "leaves", "groups", _tokens(F.col("_text"), k).alias("tokens"))
-    compared = _by_bucket(full.select("a", "b", "n", "copies", "bits", "leaves", "tokens", F.inline("groups")))
-    links = compared.mapInArrow(_links(threshold), "a long, b long, links long, ra long, rb long")
+    compared = _by_bucket(full.select("a", "b", "n", "copies", "bits", "leaves", "tokens", F.inline("groups")), "a", "b")
+    types = "a long, b long, links long, ra long, rb long"
+    links = compared.mapInArrow(_links(threshold), types)
+
+    if leaves.filter(blocks > 1).count():
+        # Block x of a bucket of h blocks meets each block y: in the group (x, y), or (y, x) if y is less.
+        cut = at.filter("h > 1")
+        group = [F.least("own", "_y").alias("i"), F.greatest("own", "_y").alias("j")]
+        pairs = _packed(cut, "a", "b", "n", "bits", "leaves").withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+        met = materialise(_by_bucket(pairs.select("path", *group, "own", "sets"), "own").mapInArrow(_met(threshold), "path long, i int, j int"), "path-met")
+        ends = met.select("path", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+        mine = cut.join(ends.select("path", "own").distinct(), ["path", "own"], "left_semi").groupBy("a", "b").agg(F.collect_list(F.struct("path", "own", "h")).alias("blocks"))
+        full = with_text(placed.drop("buckets").join(mine, ["a", "b"]))
+        full = full.select("a", "b", "n", "copies", "bits", "leaves", "blocks", _tokens(F.col("_text"), k).alias("tokens"))
+        packed = _packed(full.select("a", "b", "n", "copies", "bits", "leaves", "tokens", F.inline("blocks")), "a", "b", "n", "copies", "bits", "leaves", "tokens")
+        compared = _by_bucket(packed.join(ends, ["path", "own"]).select("path", "i", "j", "own", "sets"), "own")
+        links = links.unionByName(compared.mapInArrow(_links(threshold, _unpacked), types))
     return rows, sets, materialise(links, "path-links")
 
 
