@@ -86,3 +86,20 @@ def test_readable_text_of_many_tokens(spark):
     began = time.time()
     out = many.select(T.beautify(F.col("t")).alias("x")).first().x
     assert time.time() - began < 20 and out.startswith("thword word word word thword中word word thword ") and out.count("中") == sum(i % 7 == 0 and i % 5 != 0 for i in range(30_001))
+
+
+def test_ngrams_are_counted_in_their_text_and_not_shuffled(spark):
+    from collections import Counter
+
+    from uttframe.operators import language
+
+    texts = ["", None, "a", "Ab\t ab  AB", "\U0001f600\U0001f600\U0001f600x\U0001f600\U0001f600\U0001f600", "der hund und die katze"]
+    df = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "k int, t string, lang string")
+    for n in (3, 4):
+        rows = df.select("k", language.ngram_counts(F.col("t"), n).alias("x")).collect()
+        plain = lambda t: f" {' '.join(t.lower().split())} "
+        assert {r.k: {x.ngram: x.c for x in r.x or []} for r in rows} == {i: dict(Counter(plain(t)[j : j + n] for j in range(len(plain(t)) - n + 1))) if t else {} for i, t in enumerate(texts)}
+    out = language.detect(df, language.train(df, "t", "lang"), "k", "t")
+    assert "hashpartitioning(ngram" not in out._jdf.queryExecution().executedPlan().toString() and out.filter("k >= 3").count() == 3
+
+
