@@ -36,3 +36,10 @@ def test_trimmed_lengths_of_short_keys(spark, folder):
 def test_tasks_are_the_rows_own(spark, tmp_path):
     spark.createDataFrame([(1, "a b", "en", 3), (2, "c", "de", 1), (3, None, None, 0)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.task for r in QUERIES["task_columns"](spark, str(tmp_path)).collect()} == {1: "en", 2: "de", 3: None}
+
+
+def test_token_objects_share_files(spark, tmp_path):
+    rows = [(i, 1, "user", f"a\tb  {i} \"c\\") for i in range(200)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = QUERIES["token_info"](spark, str(tmp_path))
+    assert {r.file for r in out.filter("n_tokens > 0").collect()} == set(range(200)) and len(out.inputFiles()) < 50

@@ -136,11 +136,11 @@ def label_lines(t: Tables) -> DataFrame:
 
 @query(f"""{TIMED} SELECT file, string_agg(word, '' ORDER BY word_id) AS text, avg(1.0 / length(word)) AS confidence, count(*) AS n_tokens, min(ws) AS first, max(we) AS last FROM t GROUP BY file""")
 def token_info(t: Tables) -> DataFrame:
-    """JSON objects of tokens, written and parsed again."""
+    """JSON objects of tokens, written and parsed again: many to a text file, a line each behind its own file's name."""
     tokens = _words(t).select("file", F.col("word_id").alias("idx"), F.col("word").alias("token"), "start", (F.col("start") + F.col("dur")).alias("end"), (1.0 / F.length("word")).alias("confidence"))
-    path = _written(t, sinks.token_info(tokens, ["file"]), "tokens", "file")
+    path = _written(t, sinks.token_info(tokens, ["file"]).select(F.concat_ws("\t", F.col("file").cast("string"), "value").alias("value")), "tokens")
     shape = "text string, confidence double, tokens array<struct<token:string,start:double,end:double,confidence:double>>"
-    rows = t.spark.read.text(path).select("file", F.from_json("value", shape).alias("x"))
+    rows = t.spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("file"), F.from_json(F.regexp_extract("value", r"(?s)^[^\t]*\t(.*)$", 1), shape).alias("x"))
     return rows.select(F.col("file").cast("long").alias("file"), "x.text", F.round("x.confidence", 9).alias("confidence"), F.size("x.tokens").cast("long").alias("n_tokens"), F.array_min("x.tokens.start").alias("first"), F.array_max("x.tokens.end").alias("last"))
 
 
