@@ -43,3 +43,9 @@ def test_token_objects_share_files(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     out = QUERIES["token_info"](spark, str(tmp_path))
     assert {r.file for r in out.filter("n_tokens > 0").collect()} == set(range(200)) and len(out.inputFiles()) < 50
+
+
+@pytest.mark.parametrize("name", ["posterior_records", "network_times"])
+def test_pairs_reach_python_in_small_batches(spark, folder, name):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert QUERIES[name](spark, folder).count() == 325 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.stage import stage_path
 from ..operators import bias, features, scoring
 from ..functions import files
+from ..llm.common import light_batches
 from ..sources import archives, ark, sinks
 from ..sources import text as S
 from .base import Tables, query
@@ -366,7 +367,8 @@ def list_difference(t: Tables) -> DataFrame:
 
 
 def _packed(t: Tables, kind: str, value: Column) -> DataFrame:
-    """embeddings as one record a file (content), with a value of pairs."""
+    """embeddings as one record a file (content), with a value of pairs; few rows at a time are Python objects."""
+    light_batches(t.spark)
 
     @F.pandas_udf("binary")
     def encode(keys: pd.Series, values: pd.Series) -> pd.Series:
