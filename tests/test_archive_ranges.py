@@ -194,6 +194,17 @@ def test_archives_by_range_equal_archives_by_value(spark, tmp_path):
     assert ranged.filter("tar_file_name LIKE '%c.zip'").select(F.spark_partition_id()).distinct().count() > 2
 
 
+def test_many_small_archives_share_tasks(spark, tmp_path):
+    for i in range(120):
+        make_tar(tmp_path / (f"{i}.tar.gz" if i % 3 == 0 else f"{i}.tar"), [("a.wav", bytes(3000)), ("a.txt", str(i).encode())], "w:gz" if i % 3 == 0 else "w")
+    least = archives.SHARE * spark.sparkContext.defaultParallelism
+    listed = archives.list_samples(spark.createDataFrame([(f"{tmp_path}/0.tar.gz",)], "path string")).first()
+    assert listed.members[0].stored == os.path.getsize(tmp_path / "0.tar.gz")
+    found = archives.archives(spark, str(tmp_path), range_bytes=1000)
+    assert 1 < found.rdd.getNumPartitions() <= least
+    assert sorted(int(r.txt) for r in found.collect()) == list(range(120))
+
+
 def test_a_cut_archive_gives_its_whole_samples_and_an_error(spark, tmp_path):
     make_tar(tmp_path / "a.tar", [(f"{i}.wav", bytes(2000)) for i in range(5)])
     data = (tmp_path / "a.tar").read_bytes()

@@ -25,6 +25,11 @@ def open_range(path: str, buffer: int = BUFFER) -> io.BufferedReader:
     return io.BufferedReader(where.open_input_file(name), buffer)
 
 
+def size_of(path: str) -> int:
+    where, name = system(path)
+    return where.get_file_info(name).size or 0
+
+
 def listed(path: str, *suffixes: str) -> list[str]:
     """A file, or the files of a folder that end in one of the suffixes (of the first that any file has)."""
     where, name = system(path)

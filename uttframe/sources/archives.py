@@ -22,12 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.files import open_range
+from ..functions.files import open_range, size_of
 from ..functions.stage import materialise
 
 AUDIO = frozenset(("flac", "mp3", "m4a", "ogg", "opus", "wav", "wma"))
 SOME = 16  # samples that leave Python at once
 RANGE = 64 << 20  # bytes of an archive that a task reads
+SHARE = 4  # tasks a core at least, where there are so many ranges; short ranges and small archives share these
 #: A sample's members: where its bytes begin (in a zip, its local head), how many are stored, how (none, or deflated), size and checksum (zip) of the bytes.
 LISTED = "path string, place long, key string, members array<struct<postfix:string,at:long,stored:long,method:int,size:long,crc:long>>, error string"
 STREAM = -1  # method of a whole compressed tar
@@ -128,7 +129,7 @@ def list_samples(files: DataFrame) -> DataFrame:
         how = _zip_list if path.endswith(".zip") else _tar_list if path.endswith(".tar") else None
         try:
             if path.endswith(("tar.gz", ".tgz")):
-                yield path, 0, None, [("", 0, 0, STREAM, 0, None)], None
+                yield path, 0, None, [("", 0, size_of(path), STREAM, 0, None)], None
                 return
             if how is None:
                 raise ValueError("unknown kind of archive")
@@ -149,8 +150,12 @@ def list_samples(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(run, LISTED)
 
 
+def _least(spark: SparkSession) -> int:
+    return SHARE * spark.sparkContext.defaultParallelism
+
+
 def read_samples(listed: DataFrame, range_bytes: int = RANGE) -> DataFrame:
-    """The samples of LISTED rows, a range of an archive a task."""
+    """The samples of LISTED rows. Ranges of archives are dealt to tasks: as many as their bytes ask for, or the cores, never one for each small archive."""
 
     def of(path: str, rows: Iterator[tuple]) -> Iterator[dict]:
         held = None
@@ -176,8 +181,10 @@ def read_samples(listed: DataFrame, range_bytes: int = RANGE) -> DataFrame:
             yield pd.DataFrame([[r.get(c) for c in names] for r in some], columns=names, dtype=object)
 
     ranged = materialise(listed.withColumn("_range", F.floor(F.col("place") / range_bytes)), "archive-list")
-    n = max(1, ranged.select("path", "_range").distinct().count())  # a number, as Spark would join so short a list to one task
-    return ranged.repartition(n, "path", "_range").sortWithinPartitions("path", "place").mapInPandas(run, SCHEMA)
+    stored = F.aggregate(F.coalesce(F.col("members.stored"), F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    n, size = ranged.groupBy("path", "_range").agg(F.sum(stored).alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(n, max(_least(ranged.sparkSession), -(-size // RANGE))))  # a number, as Spark would join so short a list to one task
+    return ranged.repartition(tasks, "path", "_range").sortWithinPartitions("path", "place").mapInPandas(run, SCHEMA)
 
 
 def zip_samples(data: bytes, shard: str) -> Iterator[dict]:
@@ -217,7 +224,7 @@ def explode_archives(files: DataFrame) -> DataFrame:
 def archives(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE) -> DataFrame:
     """Samples of archive files: tar (also compressed) and zip by suffix; others, and broken archives, give a row with an error."""
     files = spark.read.format("binaryFile").load(path).select("path")  # names alone: contents are not read
-    return read_samples(list_samples(files.repartition("path")), range_bytes)
+    return read_samples(list_samples(files.repartition(_least(spark), "path")), range_bytes)  # a number here too: names are a short list
 
 
 def shards(spark: SparkSession, lists: DataFrame) -> DataFrame:
