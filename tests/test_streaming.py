@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import time
 import uuid
-from collections import Counter
+from collections import Counter, namedtuple
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +180,57 @@ def test_word_quotas_over_four_batches(spark, tmp_path, rows):
     assert {(r.shard, r.pos) for r in spark.table(name).collect()} == want
 
 
+def test_word_quotas_of_single_words_in_parts_of_a_shard(spark, tmp_path, rows):
+    """A text with a blank is one word too; the parts make up the shard."""
+    q, name = run(jobs.word_quota(in_order(spark, str(tmp_path / "w"), rows), "shard", "pos", "txt", 2, single=True))
+    want, seen = set(), Counter()
+    for r in rows.orderBy("shard", "pos").collect():
+        seen[r.shard, r.txt] += 1
+        if seen[r.shard, r.txt] <= 2:
+            want.add((r.shard, r.pos))
+    assert {(r.shard, r.pos) for r in spark.table(name).collect()} == want and len(want) < rows.count()
+    q.stop()
+
+
+class Calls:
+    """A handle and its states, empty, that count what is asked of them."""
+
+    def __init__(self) -> None:
+        self.n = 0
+
+    def __getattr__(self, name: str):
+        def call(*args):
+            self.n += name not in ("getValueState", "getListState", "getMapState")
+            return self if name.endswith("State") else iter(()) if name in ("get", "keys", "iterator") else False
+
+        return call
+
+
+def test_the_state_is_not_asked_for_each_batch():
+    row = namedtuple("row", "key pos length job txt last group size")
+    rows = [row(str(i), i, 100.0, f"j{i}", "w", False, 0, 6) for i in range(600)]
+    for processor in (jobs.Budgeted(650.0, True, -1, -1, 1000), jobs.Grouped(0)):
+        handle = Calls()
+        processor.init(handle)
+        assert [k for _, _, k in processor.take(rows)] if isinstance(processor, jobs.Grouped) else len(list(processor.take(rows))) == 99
+        assert handle.n < 20
+
+
+def test_a_query_of_few_shards_has_few_parts_of_state(spark, tmp_path, monkeypatch):
+    from uttframe.plans import arrays, base
+
+    spark.createDataFrame([(i, i, "ab"[i % 2]) for i in range(40)], "event_id long, user_id long, event_type string").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    seen, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(arrays, "_runs", lambda *a: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), a[2].drop("_top").write.parquet(f"{a[1]}/out")))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        found = arrays._streamed(base.Tables(spark, str(tmp_path)), None, "append", []).filter("last").collect()
+        assert seen == [2 * spark.sparkContext.defaultParallelism] and spark.conf.get("spark.sql.shuffle.partitions") == "300"
+        assert sorted((r.event_type, r.event_id) for r in found) == [("a", 38), ("b", 39)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_counts_that_a_listener_writes(spark, stream, tmp_path):
     df = spark.createDataFrame([(i, [None, "minlen", "maxlen"][i % 3]) for i in range(9)], "i int, reason string")
     listener = jobs.CountTable(str(tmp_path / "counts"), "rejections")

@@ -117,7 +117,8 @@ class _Shard(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
-        every = pd.concat(list(rows), ignore_index=True).sort_values(["pos", "key"], kind="stable")
+        every = pd.concat(list(rows), ignore_index=True)
+        every = every.sort_values("pos" if every["pos"].is_unique else ["pos", "key"], kind="stable")
         yield from self._results(key, self.take(list(every.itertuples(index=False))))
         if every["last"].any():
             yield from self._results(key, self.flush())
@@ -128,12 +129,12 @@ class _Shard(StatefulProcessor):
         yield from self._results(key, self.flush())
 
 
-def _processed(stream: DataFrame, shard: str, processor: _Shard, schema: str, columns: dict[str, Column], last: Column | None) -> DataFrame:
-    """The processor over the shards of a stream, whose rows have columns and last."""
+def _processed(stream: DataFrame, shard: str, processor: _Shard, schema: str, columns: dict[str, Column], last: Column | None, part: Column | None = None) -> DataFrame:
+    """The processor over the shards of a stream, whose rows have columns and last; over parts of shards where these are given."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     processor.names = [c.split()[0] for c in schema.split(", ")]
-    rows = stream.select(F.col(shard).cast("string").alias("shard"), *[c.alias(n) for n, c in columns.items()], F.coalesce(last if last is not None else F.lit(False), F.lit(False)).alias("last"))
-    return rows.groupBy("shard").transformWithStateInPandas(processor, schema, "append", "processingTime")
+    rows = stream.select(F.col(shard).cast("string").alias("shard"), *[c.alias(n) for n, c in columns.items()], F.coalesce(last if last is not None else F.lit(False), F.lit(False)).alias("last"), *([part.alias("part")] if part is not None else []))
+    return rows.groupBy("shard", *(["part"] if part is not None else [])).transformWithStateInPandas(processor, schema, "append", "processingTime")
 
 
 class Budgeted(_Shard):
@@ -152,6 +153,7 @@ class Budgeted(_Shard):
 
     def take(self, rows: list[tuple]) -> Iterator[tuple]:
         batch, n, longest = self.open.get() if self.open.exists() else (0, 0, 0.0)
+        stored = n > 0  # the state has rows of the open batch; each call of the state is a round trip, so a batch that began here makes none
         fresh: list[tuple] = []  # of the open batch, not in the state yet
         jobs = {k[0] for k in self.jobs.keys()} if self.one_per_job else set()
         new_jobs: set = set()
@@ -159,7 +161,8 @@ class Budgeted(_Shard):
 
         def seen(state, counts: dict, word: str) -> int:
             if word not in counts:
-                counts[word] = state.getValue((word,))[0] if state.containsKey((word,)) else 0
+                known = (state is self.of_epoch or stored) and state.containsKey((word,))
+                counts[word] = state.getValue((word,))[0] if known else 0
             return counts[word]
 
         for r in rows:
@@ -168,9 +171,11 @@ class Budgeted(_Shard):
                 continue
             longest = max(longest, float(r.length))
             if n and longest * (n + 1) > self.most:
-                yield batch, [*[h[0] for h in self.held.get()], *[f[0] for f in fresh]]
-                for state in (self.held, self.jobs, self.of_batch):
-                    state.clear()
+                yield batch, [*([h[0] for h in self.held.get()] if stored else []), *[f[0] for f in fresh]]
+                if stored:
+                    for state in (self.held, self.jobs, self.of_batch):
+                        state.clear()
+                    stored = False
                 batch, n, longest, fresh, jobs, new_jobs = batch + 1, 0, float(r.length), [], set(), set()
                 for q in quotas:
                     if q[1] is self.of_batch:
@@ -187,7 +192,7 @@ class Budgeted(_Shard):
         for job in new_jobs if self.one_per_job else ():
             self.jobs.updateValue((job,), (True,))
         for _, state, counts in quotas:
-            for w, count in counts.items():
+            for w, count in counts.items() if state is self.of_epoch or n else ():
                 state.updateValue((w,), (count,))
         self.open.update((batch, n, longest))
 
@@ -280,7 +285,7 @@ class Grouped(_Shard):
     def take(self, rows: list[tuple]) -> Iterator[tuple]:
         total, opened = self.count.get() if self.count.exists() else (0, 0)
         groups = {g[0]: [*v, v[0], []] for g, v in self.groups.iterator()}  # n, batch, when it was opened, rows in the state, others
-        sizes = [(-v[0], v[2], g) for g, v in groups.items() if v[0]]
+        sizes = [(-v[0], v[2], g) for g, v in groups.items() if v[0]] if self.max_held else []  # asked for at the bound alone
         heapq.heapify(sizes)
         touched = set()
 
@@ -302,7 +307,7 @@ class Grouped(_Shard):
             if v[0] >= r.size:
                 total -= v[0]
                 yield send(g)
-            else:
+            elif self.max_held:
                 heapq.heappush(sizes, (-v[0], v[2], g))
             if total == self.max_held:
                 while sizes:  # entries of a group's earlier sizes are passed over
@@ -337,10 +342,10 @@ def group_batches(stream: DataFrame, shard: str, key: str, pos: str, group: Colu
 
 
 class Rationed(_Shard):
-    """Rows any of whose words is below its quota so far."""
+    """Rows any of whose words is below its quota so far; with single, a row's text is one word, and parts of a shard have words of their own."""
 
-    def __init__(self, quota: int, quiet_ms: int) -> None:
-        self.quota, self.quiet_ms = quota, quiet_ms
+    def __init__(self, quota: int, quiet_ms: int, single: bool) -> None:
+        self.quota, self.quiet_ms, self.single = quota, quiet_ms, single
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -349,7 +354,7 @@ class Rationed(_Shard):
     def take(self, rows: list[tuple]) -> Iterator[tuple]:
         counts: dict[str, int] = {}
         for r in rows:
-            words = r.key.split(" ")
+            words = [r.key] if self.single else r.key.split(" ")
             for w in words:
                 if w not in counts:
                     counts[w] = self.words.getValue((w,))[0] if self.words.containsKey((w,)) else 0
@@ -364,8 +369,17 @@ class Rationed(_Shard):
         return iter(())
 
 
-def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int, quiet_ms: int = 86_400_000) -> DataFrame:
-    """(shard, pos, txt) of rows any of whose words is below its quota in the shard so far; a word's count goes when it isn't met for quiet_ms."""
-    processor = Rationed(quota, quiet_ms)
+PARTS = 64  # of a shard whose rows are single words
+
+
+def word_quota(stream: DataFrame, shard: str, pos: str, text: str, quota: int, quiet_ms: int = 86_400_000, single: bool = False) -> DataFrame:
+    """(shard, pos, txt) of rows any of whose words is below its quota in the shard so far; a word's count goes when it isn't met for quiet_ms.
+
+    With single, the whole text is one word, so rows of different texts don't depend on each other: a shard's texts are dealt to
+    PARTS keys of the state, and few long shards keep many tasks busy.
+    """
+    processor = Rationed(quota, quiet_ms, single)
     processor.wait_ms = quiet_ms
-    return _processed(stream, shard, processor, "shard string, pos long, txt string", {"key": F.coalesce(text, F.lit("")), "pos": F.col(pos).cast("long")}, None)
+    txt = F.coalesce(text, F.lit(""))
+    part = F.pmod(F.xxhash64(txt), F.lit(PARTS)).cast("int") if single else None
+    return _processed(stream, shard, processor, "shard string, pos long, txt string", {"key": txt, "pos": F.col(pos).cast("long")}, None, part)
