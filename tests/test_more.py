@@ -126,6 +126,25 @@ def test_binary_pairs():
     assert data[2:9] == b"\0B\4" + (2).to_bytes(4, "little") and [r["times"] for r in ark.records(data, "times")] == [times]
 
 
+def test_a_pipeline_makes_tokens_once_and_orders_places_alone(spark, monkeypatch):
+    """Rows that share a key and texts of any kind count as before; no step but the first sees a text."""
+    texts = ["ab c", " x\ty ", "", None, "\U0001F600 é", "a" * 9]
+    made = [("s" if i % 3 else None, i, f"k{i // 2 if i < 4 else i}", texts[i % 6], 30 + i) for i in range(24)]
+    rows = spark.createDataFrame(made, "shard string, pos int, key string, txt string, n_frames int")
+    conf = {"tokenize_conf": {"vocab": {"<unk>": 1, T.SPACE: 2, "a": 3}}, "filter_conf": {"min_length": 0}, "sort_conf": {"buffer": 5}, "batch_conf": {"max_frames": 100}}
+    staged = []
+    monkeypatch.setattr(pipeline, "materialise", lambda df, name: (staged.append((name, df.columns)), stage.materialise(df, name))[1])
+    built = pipeline.build_pipeline(conf)(rows)
+    assert [name for name, _ in staged] == ["pipeline-rows", "pipeline-ranks"] and not {"txt", "tokens", "label"} & set(staged[1][1])
+    # The same stages one by one.
+    tokens = rows.withColumn("tokens", T.char_tokens(F.col("txt"))).withColumn("label", pipeline.vocab.encode(F.col("tokens"), conf["tokenize_conf"]["vocab"]))
+    kept = pipeline.filters.task(pipeline.filters.length_filter(tokens, F.col("n_frames"), F.size("label"), pipeline.filters.Bounds(min_length=0)))
+    ranked = pipeline.ranking.sorted_blocks(kept.withColumn("_o", F.xxhash64("key", F.lit(0), F.lit(0))), ["shard"], ["_o", "key"], "n_frames", 5).drop("_o")
+    cut = pipeline.batching.dynamic_batch(ranked, "shard", ["block", "rank"], "key", "n_frames", 100)
+    want = ranked.join(cut.filter("batch_id IS NOT NULL"), ["shard", "key"])
+    assert built.columns == want.columns and sorted(map(repr, built.collect())) == sorted(map(repr, want.collect())) and want.count() > 8
+
+
 def test_presets_and_quotas(spark):
     conf = {"batch_conf": {"batch_type": "distribute", "max_frames": 100, "job": "lang"}, "tokenize_conf": {"vocab": {"<unk>": 1}}, "filter_conf": {"max_length": 1e9, "min_length": 0}, "shuffle": False}
     rows = spark.createDataFrame([("s", i, f"k{i}", f"text {i}", 30, "ab"[i % 2], f"p{i % 2}") for i in range(6)], "shard string, pos int, key string, txt string, n_frames int, lang string, speaker string")

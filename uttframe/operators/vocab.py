@@ -13,7 +13,7 @@ def encode(tokens: Column, vocab: dict[str, int], unk: str = "<unk>") -> Column:
     """Ids of tokens; others get the id of unk, or are left out if the vocabulary has none."""
     table = F.create_map(*[F.lit(x) for pair in vocab.items() for x in pair])
     ids = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(vocab.get(unk)).cast("int")))
-    return F.filter(ids, lambda i: i.isNotNull())
+    return ids if vocab.get(unk) is not None else F.filter(ids, lambda i: i.isNotNull())
 
 
 #: Tasks that the rows of one token are dealt to, each with a copy of its entry.

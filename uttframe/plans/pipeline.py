@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.files import open_range
 from ..functions.rand import uniform
 from ..functions.stage import materialise
-from ..functions.text import char_tokens
+from ..functions.text import char_tokens, strip
 from ..operators import batching, bias, features, filters, language, ranking, vocab
 from ..sources import archives
 from ..sources import text as S
@@ -89,10 +89,12 @@ def build_pipeline(conf: dict[str, Any], order: tuple[str, ...] = ORDER) -> Stag
 
     def tokenize(df: DataFrame) -> DataFrame:
         c = DEFAULTS["tokenize_conf"] | conf["tokenize_conf"]
+        if not c["symbols"] and c["vocab"].get("<unk>") is not None:  # a label a character: the filter needs no tokens, which it would make once more
+            df = df.withColumn("_n_label", F.length(strip(F.col("txt"))))
         return df.withColumn("tokens", char_tokens(F.col("txt"), c["symbols"])).withColumn("label", vocab.encode(F.col("tokens"), c["vocab"]))
 
     def length_filter(df: DataFrame) -> DataFrame:
-        n = F.size("label") if "label" in df.columns else F.lit(None).cast("int")
+        n = F.col("_n_label") if "_n_label" in df.columns else F.size("label") if "label" in df.columns else F.lit(None).cast("int")
         return filters.length_filter(df, F.col("n_frames"), n, filters.Bounds(**conf["filter_conf"]))
 
     def sort(df: DataFrame) -> DataFrame:
@@ -101,6 +103,17 @@ def build_pipeline(conf: dict[str, Any], order: tuple[str, ...] = ORDER) -> Stag
         ranked = ranking.sorted_blocks(df.withColumn("_o", first), ["shard"], ["_o", "key"], "n_frames", conf["sort_conf"]["buffer"])
         return ranked.drop("_o")
 
+    def sort_and_batch(df: DataFrame) -> DataFrame:
+        """sort, then dynamic batches: only places of rows are ordered and cut. Tokens and labels, if their texts are as they were, are made at the end alone."""
+        before = names[: names.index("sort_and_batch")]
+        late = "tokenize" in before and "special_tokens" not in before[before.index("tokenize") :]
+        rows = materialise((df.drop("tokens", "label", "_n_label") if late else df).withColumn("_id", F.monotonically_increasing_id()), "pipeline-rows")
+        ranked = materialise(sort(rows.select("_id", "shard", "pos", "key", "n_frames")).drop("pos"), "pipeline-ranks")
+        kept = batching.dynamic_batch(ranked, "shard", ["block", "rank"], "key", "n_frames", (DEFAULTS["batch_conf"] | conf["batch_conf"])["max_frames"])
+        placed = ranked.join(kept.filter("batch_id IS NOT NULL"), ["shard", "key"]).select("_id", "block", "rank", "batch_id")
+        joined = rows.join(placed, "_id")
+        return (tokenize(joined) if late else joined).select("shard", "key", *[c for c in df.columns if c not in ("shard", "key")], "block", "rank", "batch_id")
+
     def batch(df: DataFrame) -> DataFrame:
         c = DEFAULTS["batch_conf"] | conf["batch_conf"]
         by = ["block", "rank"] if "rank" in df.columns else ["pos"]
@@ -138,14 +151,17 @@ def build_pipeline(conf: dict[str, Any], order: tuple[str, ...] = ORDER) -> Stag
         "tokenize": tokenize, "filter": length_filter,
         "speech_rate": lambda df: df.filter(filters.speech_rate_reason(F.col("txt"), F.col("n_frames") / 100).isNull()),
         "skip_tagged": lambda df: filters.skip_tagged(df, F.col("txt"), F.col("key"), conf["skip_tagged_conf"]["p"]),
-        "task": filters.task, "sort": sort, "batch": batch,
+        "task": filters.task, "sort": sort, "batch": batch, "sort_and_batch": sort_and_batch,
     }
+    names = [name for name in order if conf.get(name, True)]
+    if (DEFAULTS["batch_conf"] | conf["batch_conf"])["batch_type"] == "dynamic" and ("sort", "batch") in zip(names, names[1:], strict=False):
+        at = names.index("sort")
+        names[at : at + 2] = ["sort_and_batch"]
 
     def run(df: DataFrame) -> DataFrame:
-        for name in order:
-            if conf.get(name, True):
-                df = df.transform(stages[name])
-        return df
+        for name in names:
+            df = df.transform(stages[name])
+        return df.drop("_n_label")
 
     return run
 
