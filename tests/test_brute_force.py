@@ -57,6 +57,19 @@ def test_phrases_and_distractors(spark):
     assert again == {r.key: r for r in bias.bias_phrases(df, table).collect()}
 
 
+def test_phrases_without_the_places_of_common_words(spark):
+    """The list of common words has the most frequent ones, never a rare one, and leaves the result as it is."""
+    texts = ["a b a c rare a b", "a b c c a other a b", "a rare b d d d d", "", None]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "key string, txt string")
+    counts = bias.word_counts(df, "txt")
+    rare = bias.rare_words(counts, 2)
+    assert [r.word for r in bias.common_words(counts, 2, 2).orderBy("word").collect()] == ["a", "b"] and {r.word for r in bias.common_words(counts, 2).collect()} == {"a", "b", "c", "d"}
+    want = {r.key: r for r in bias.bias_phrases(df, rare).collect()}
+    assert set(want) == {"k0", "k1", "k2"}
+    for most in (0, 2, 50):
+        assert {r.key: r for r in bias.bias_phrases(df, rare, common=bias.common_words(counts, 2, most)).collect()} == want
+
+
 def test_lists_of_a_batch(spark):
     rows = [(0, ["a b", "c"], ["x", "y z"]), (0, ["d"], [f"q{i}" for i in range(8)]), (1, [], []), (1, ["e"], ["w"])]
     df = spark.createDataFrame(rows, "batch int, phrases array<string>, distractors array<string>")

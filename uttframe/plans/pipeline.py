@@ -141,8 +141,9 @@ def build_pipeline(conf: dict[str, Any], order: tuple[str, ...] = ORDER) -> Stag
 
     def phrases(df: DataFrame) -> DataFrame:
         c = of("bias")
-        rare = bias.rare_words(bias.word_counts(df, "txt"), c["threshold"])
-        return df.join(bias.bias_phrases(df, rare, n_order=c["n_order"], p_keep=c["p_keep"]), "key", "left")
+        counts = materialise(bias.word_counts(df, "txt"), "word-counts")
+        rare, common = bias.rare_words(counts, c["threshold"]), bias.common_words(counts, c["threshold"])
+        return df.join(bias.bias_phrases(df, rare, n_order=c["n_order"], p_keep=c["p_keep"], common=common), "key", "left")
 
     stages: dict[str, Stage] = {
         "speakers": lambda df: filters.speaker_ids(df, of("speakers")["table"]), "language": spoken, "category": category, "bias": phrases,
