@@ -103,3 +103,12 @@ def test_ngrams_are_counted_in_their_text_and_not_shuffled(spark):
     assert "hashpartitioning(ngram" not in out._jdf.queryExecution().executedPlan().toString() and out.filter("k >= 3").count() == 3
 
 
+
+
+def test_a_phrase_does_not_match_a_longer_window_with_nulls(spark):
+    """Tokens are hashed one by one, so a null is a token of its own and not left out of a window."""
+    df = spark.createDataFrame([("k", [None, "x", "p", "q"]), ("n", None), ("e", [])], "key string, w array<string>")
+    phrases = spark.createDataFrame([(["x"],), (["p", "q"],), (["x"],), ([],), (["q", "p"],)], "phrase array<string>")
+    found = sequences.phrase_matches(df, "key", "w", phrases).collect()
+    assert sorted((r.key, r.place, r.n_tokens, r.phrase) for r in found) == [("k", 1, 1, ["x"]), ("k", 2, 2, ["p", "q"])]
+    assert sequences.phrase_matches(df, "key", "w", phrases.filter("size(phrase) = 0")).count() == 0

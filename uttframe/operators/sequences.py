@@ -136,16 +136,19 @@ def phrase_matches(df: DataFrame, key: str, tokens: str, phrases: DataFrame, phr
     """
     known = phrases.select(F.col(phrase).alias("phrase")).filter(F.size("phrase") > 0).distinct()
     lengths = sorted(r[0] for r in known.select(F.size("phrase")).distinct().collect())
-    hashes = lambda x: (F.xxhash64(x).alias("_a"), F.hash(x).alias("_b"))
+    of_tokens = lambda w: F.transform(w, lambda t: F.struct(F.xxhash64(t).alias("a"), F.hash(t).alias("b")))
+    hashes = lambda own: (F.xxhash64(*[x["a"] for x in own]).alias("_a"), F.hash(*[x["b"] for x in own]).alias("_b"))
+    of_phrase = {n: F.struct(*hashes([F.get(of_tokens(F.col("phrase")), F.lit(k)) for k in range(n)])) for n in lengths}
 
-    def windows(w: Column, n: int) -> Column:
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("place"), F.lit(n).alias("n_tokens"), *hashes(F.slice(w, i + 1, F.lit(n)))))
+    def windows(h: Column, n: int) -> Column:
+        at = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("place"), F.lit(n).alias("n_tokens"), *hashes([F.get(h, i + k) for k in range(n)])))
 
-    # The tokens are bound, so that an expression for them is evaluated once a row.
-    every = bind(F.col(tokens), lambda w: F.flatten(F.array(*[windows(w, n) for n in lengths]))) if lengths else F.array().cast("array<struct<place:int,n_tokens:int,_a:bigint,_b:int>>")
+    # A token is hashed once, and a window from its tokens' hashes; these are bound, so that they are made once a row.
+    every = bind(of_tokens(F.col(tokens)), lambda h: F.flatten(F.array(*[windows(h, n) for n in lengths]))) if lengths else F.array().cast("array<struct<place:int,n_tokens:int,_a:bigint,_b:int>>")
     each = df.select(F.col(key).alias(key), F.explode(every).alias("_w")).select(key, "_w.place", "_w.n_tokens", "_w._a", "_w._b")
-    return each.join(known.select("phrase", *hashes(F.col("phrase"))), ["_a", "_b"]).select(key, "place", "n_tokens", "phrase")
+    hashed = F.coalesce(*[F.when(F.size("phrase") == n, x) for n, x in of_phrase.items()]) if lengths else F.lit(None).cast("struct<_a:bigint,_b:int>")
+    return each.join(known.select("phrase", hashed.alias("_h")).select("phrase", "_h._a", "_h._b"), ["_a", "_b"]).select(key, "place", "n_tokens", "phrase")
 
 
 def phrase_bonus_join(df: DataFrame, key: str, tokens: str, phrases: DataFrame, bonus: float, phrase: str = "phrase", order: str | None = None) -> DataFrame:
