@@ -70,6 +70,38 @@ def test_phrases_without_the_places_of_common_words(spark):
         assert {r.key: r for r in bias.bias_phrases(df, rare, common=bias.common_words(counts, 2, most)).collect()} == want
 
 
+def test_each_rare_word_may_be_the_other_one(spark):
+    """Of 6,000 rare words each is drawn about as often as any other, and never by its own places."""
+    words = ["".join(p) for p in product("abcdefghijklmnopqr", repeat=3)] + [f"zz{a}{b}{c}" for a, b, c in product("abcdefgh", "abcde", "abcde")][:168]
+    texts = [" ".join(words[(i * 20 + j * 7) % 6000] for j in range(20)) for i in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key int, txt string")
+    rare = spark.createDataFrame([(w,) for w in [*words, *words[:50], None]], "word string")
+    rows = bias.bias_phrases(df, rare, n_order=1).collect()
+    assert {r.key: r.phrases for r in rows} == {i: t.split() for i, t in enumerate(texts)}
+    pairs = [(p, d) for r in rows for p, d in zip(r.phrases, r.distractors, strict=True)]
+    drawn = Counter(d for _, d in pairs)
+    assert len(pairs) == 30_000 and all(p != d for p, d in pairs) and set(drawn) <= set(words)
+    assert len(drawn) > 5_900 and max(drawn.values()) < 25  # 5,960 and 16 are to be expected of 30,000 even draws
+    lists = bias.bias_list(spark.createDataFrame(rows).withColumn("batch", F.lit(0)), "batch", ratio=1.0).first()
+    assert Counter(lists.words) == Counter(x for pair in pairs for x in pair)
+
+
+def test_few_rare_words_and_first_places(spark):
+    """Each distractor has another rare word while there is one, and words of the utterance for rare words at its start too."""
+    df = spark.createDataFrame([(i, f"{'abc'[i % 3] * 3} u v w x y z") for i in range(60)] + [(60, "aaa"), (61, "bbb u")], "key int, txt string")
+    rows = bias.bias_phrases(df, spark.createDataFrame([("aaa",), ("bbb",), ("ccc",)], "word string")).collect()
+    assert len(rows) == 62 and all(len(r.phrases) == len(r.distractors) == 1 for r in rows)
+    for r in rows:
+        others = {"aaa", "bbb", "ccc"} - set(r.phrases)
+        assert len(others) == 2 and len(others & set(r.distractors[0].split())) == 1
+    assert {(r.phrases[0], w) for r in rows for w in r.distractors[0].split() if len(w) == 3} == {(a * 3, b * 3) for a in "abc" for b in "abc" if a != b}
+    assert {len(r.distractors[0].split()) for r in rows if r.key < 60} == {1, 2, 3}
+    assert max(len(r.distractors[0].split()) for r in rows if r.key >= 60) <= 2
+    alone = bias.bias_phrases(df, spark.createDataFrame([("aaa",)], "word string"), n_order=1).collect()
+    assert len(alone) == 21 and all((r.phrases, r.distractors) == (["aaa"], [""]) for r in alone)
+    assert not bias.bias_phrases(df, spark.createDataFrame([], "word string")).collect()
+
+
 def test_lists_of_a_batch(spark):
     rows = [(0, ["a b", "c"], ["x", "y z"]), (0, ["d"], [f"q{i}" for i in range(8)]), (1, [], []), (1, ["e"], ["w"])]
     df = spark.createDataFrame(rows, "batch int, phrases array<string>, distractors array<string>")
